@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .quality import op9_quality_rules
 from .simhash import op1_simhash_near_dedup
+from .tokens import op10_token_binary_output
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op9_quality_rules, op10_token_binary_output)}
 ORACLE: dict[str, str] = {}
