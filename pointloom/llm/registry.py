@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op2_benchmark_decontamination
+from .licenses import op5_license_scans
 from .quality import op9_quality_rules
 from .simhash import op1_simhash_near_dedup
 from .tokens import op10_token_binary_output
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op9_quality_rules, op10_token_binary_output)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op5_license_scans, op9_quality_rules, op10_token_binary_output)}
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE}
