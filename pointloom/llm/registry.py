@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from . import decontaminate
 from .decontaminate import op2_benchmark_decontamination
+from .fm_index import op4_substring_dedup
 from .licenses import op5_license_scans
 from .quality import op9_quality_rules
 from .simhash import op1_simhash_near_dedup
+from .suffix_family import op6_suffix_array_dedup
 from .tokens import op10_token_binary_output
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op5_license_scans, op9_quality_rules, op10_token_binary_output)}
+_ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_substring_dedup, op5_license_scans, op6_suffix_array_dedup, op9_quality_rules, op10_token_binary_output)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE}
