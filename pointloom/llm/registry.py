@@ -6,11 +6,14 @@ from . import decontaminate
 from .decontaminate import op2_benchmark_decontamination
 from .fm_index import op4_substring_dedup
 from .licenses import op5_license_scans
+from .line_dedup import op3_line_dedup
+from .pieces import op7_sentencepiece
 from .quality import op9_quality_rules
 from .simhash import op1_simhash_near_dedup
 from .suffix_family import op6_suffix_array_dedup
+from .token_counts import op8_token_counts
 from .tokens import op10_token_binary_output
 
-_ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_substring_dedup, op5_license_scans, op6_suffix_array_dedup, op9_quality_rules, op10_token_binary_output)
+_ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_substring_dedup, op5_license_scans, op6_suffix_array_dedup, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_binary_output)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE}
