@@ -1,4 +1,6 @@
 """Registered queries and their checking SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import scalars, selections  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
