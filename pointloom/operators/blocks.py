@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.morton import quad_cell
+from .staging import staged
 
 POINT = ("ux", "uy", "uz", "x", "y", "z", "k", "classification")
 
@@ -31,7 +32,8 @@ def numbered(p: DataFrame, order: tuple[str, ...], partitions: int | None = None
     """Global row numbers (from 0) along an order without a global window: ranges of the order are numbered
     apart and shifted by the counts of the ranges before."""
     n = partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = p.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    # two plans would sample different bounds: write the ranges once
+    ranged = staged(p.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").count()
     # a row for each partition
     starts = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
