@@ -1,6 +1,6 @@
 """Registered queries and their checking SQL."""
 
-from . import layouts, scalars, selections  # noqa: F401
+from . import layouts, pipelines, scalars, selections  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
