@@ -75,7 +75,9 @@ def links(fps: DataFrame) -> DataFrame:
     index = _variants(fps)
     keys = stage(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.max("fp").alias("u")).filter("n > 1"), "keys")
     pairs = keys.filter("n = 2").select("u", "v").filter(near)
-    dense = stage(index.join(keys.filter("n > 2").select("key"), "key", "left_semi").select("fp").distinct(), "dense")
+    # the crowded keys grow with the corpus: never broadcast
+    crowded = keys.filter("n > 2").select("key").hint("merge")
+    dense = stage(index.join(crowded, "key", "left_semi").select("fp").distinct(), "dense")
     points = _points(dense)
     least = points.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("v")).filter("n > 1").select("point", "v")
     stars = points.join(least, "point").select(F.col("fp").alias("u"), "v").filter("u <> v").filter(near)
