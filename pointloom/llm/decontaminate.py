@@ -117,11 +117,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
     """All rows of ``docs``; hit words go from ``text`` with the separators after them."""
     bad = contamination(docs, benchmark, size).filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "spans").dropDuplicates(["_d", "_h"])
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    lead = F.regexp_extract("text", f"^{gap}+", 0)
-    units = F.regexp_extract_all("text", F.lit(f"{word}+{gap}*"), F.lit(0))
-    kept = F.filter(units, lambda u, i: ~F.exists("spans", lambda x: (i >= x.s) & (i < x.e)))
+    lead = F.regexp_extract(docs.text, f"^{gap}+", 0)
+    units = F.regexp_extract_all(docs.text, F.lit(f"{word}+{gap}*"), F.lit(0))
+    kept = F.filter(units, lambda u, i: ~F.exists(bad["spans"], lambda x: (i >= x.s) & (i < x.e)))
     joined = docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad._d) & (F.xxhash64(docs.text.cast("string")) == bad._h), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, ""))).alias("text")
+    text = F.when(bad["spans"].isNull(), docs.text).otherwise(F.concat(lead, F.array_join(kept, ""))).alias("text")
     return joined.select(*[text if c == "text" else docs[c] for c in docs.columns])
 
 
