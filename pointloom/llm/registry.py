@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, oracles
 from .decontaminate import op2_benchmark_decontamination
 from .fm_index import op4_substring_dedup
 from .licenses import op5_license_scans
@@ -16,4 +16,9 @@ from .tokens import op10_token_binary_output
 
 _ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_substring_dedup, op5_license_scans, op6_suffix_array_dedup, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_binary_output)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op4_substring_dedup": oracles.OP4,
+    "op6_suffix_array_dedup": oracles.OP6,
+    "op9_quality_rules": oracles.OP9,
+}
