@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import polygons as P
 from ..operators.staging import fresh, staged
 from ..sources import las, text
-from ..sources.points import POINTS_SQL, catalogue, dims, files, points, table
+from ..sources.points import catalogue, dims, files, points, table
 from ..streaming.ingest import enrich, ingest, running_extent
 from .base import query, sql_encode
 from .scalars import S_RECT, XYZ
@@ -329,5 +329,3 @@ def agg_load_speed(spark, d):
     """Points a second of every file in the log, averaged without the infinite ones."""
     return _loadstats(spark, d).agg(F.count("*").alias("files"), F.sum("points").alias("points"), F.avg(F.when(F.col("seconds") > 0, F.col("points") / F.col("seconds"))).alias("speed"))
 
-
-__all__ = ["POINTS_SQL"]

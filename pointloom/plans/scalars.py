@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import morton as M
-from ..operators.polygons import boxes, edges, join_cells, select_circle, select_rect, tiles
+from ..operators.polygons import boxes, edges, select_circle, tiles
 from ..sources.points import SCALE, catalogue, dims, files, points
 from .base import query, sql_encode, sql_gather
 
@@ -183,12 +183,10 @@ def query_boxes(spark, d):
     return boxes(catalogue(spark, d)).select("qid", "minx", "miny", "maxx", "maxy")
 
 
-@query("SELECT k, ux, uy FROM points WHERE x BETWEEN 200 AND 422 AND y BETWEEN 300 AND 523", name="sql_functions")
+@query("SELECT k, ux, uy FROM points WHERE x BETWEEN 200 AND 422 AND y BETWEEN 300 AND 523")
 def sql_functions(spark, d):
     """Selection through the session's SQL functions on a table that keeps the key alone."""
     M.register(spark)
     points(spark, d).select("k").createOrReplaceTempView("keys_only")
     return spark.sql("SELECT k, CAST(morton_decode_x(k) AS INT) AS ux, CAST(morton_decode_y(k) AS INT) AS uy FROM keys_only WHERE morton_decode_x(k) BETWEEN 20000 AND 42200 AND morton_decode_y(k) BETWEEN 30000 AND 52300")
 
-
-__all__ = ["S_RECT", "S_CIRC", "XYZ", "join_cells", "select_rect"]

@@ -40,8 +40,8 @@ def read_io(spark: SparkSession, path: str) -> DataFrame:
 
 def read_loadstats(spark: SparkSession, path: str) -> DataFrame:
     """`LOADSTATS file points seconds` lines of a log; malformed ones are skipped."""
-    v = F.split("value", " ")
-    rows = spark.read.text(path).filter("value like 'LOADSTATS%'").select(F.get(v, F.lit(1)).alias("file"), F.expr("try_cast(get(split(value, ' '), 2) AS bigint)").alias("points"), F.expr("try_cast(get(split(value, ' '), 3) AS double)").alias("seconds"))
+    lines = spark.read.text(path).filter("value like 'LOADSTATS%'").select(F.split("value", " ").alias("v"))
+    rows = lines.selectExpr("get(v, 1) AS file", "try_cast(get(v, 2) AS bigint) AS points", "try_cast(get(v, 3) AS double) AS seconds")
     return rows.filter("points is not null and seconds is not null")
 
 
