@@ -3,7 +3,7 @@
 A shard's pieces (see windows.py) are indexed together: suffix array by prefix doubling, its BWT in a wavelet
 tree (levelwise, with rank directories), LCP values and least document ranks over suffix intervals. Every
 piece is then streamed from right to left through backward search; an interval that holds no earlier
-document falls back to its parent in the suffix tree. The length kept so is the matching statistic against
+document falls back to the nearest ancestor in the suffix tree that does. The length kept so is the matching statistic against
 earlier documents; where it reaches 50 words, a window is reported.
 """
 
@@ -85,14 +85,14 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, ranks: np.ndarray, sigma: int):
         n = self.n = len(text)
-        levels = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
+        levels = [np.unique(text, return_inverse=True)[1].astype(np.int32)]
         k = 1
         while True:
-            rank = levels[-1]
+            rank = levels[-1].astype(np.int64)
             key = rank * (n + 1)
             key[: n - k] += rank[k:] + 1
             order = np.argsort(key, kind="stable")
-            now = np.empty(n, np.int64)
+            now = np.empty(n, np.int32)
             now[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
             levels.append(now)
             if now[order[-1]] == n - 1 or 2 * k >= n:
@@ -100,7 +100,7 @@ class FMIndex:
             k *= 2
         self.sa = order
         self.tree = WaveletTree(text[order - 1], sigma)
-        self.count = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))[:-1]
+        self.count = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.lcp = SparseMin(self._lcp(levels))
         self.first = SparseMin(ranks[order].astype(np.int32))
 
@@ -113,7 +113,7 @@ class FMIndex:
             padded = np.append(levels[j], -1)
             x, y = np.minimum(a + out, self.n), np.minimum(b + out, self.n)
             out += np.where((padded[x] == padded[y]) & (x < self.n) & (y < self.n), 1 << j, 0)
-        return np.concatenate(([0], out, [0])).astype(np.int32)
+        return np.minimum(np.concatenate(([0], out, [0])), np.iinfo(np.int16).max).astype(np.int16)
 
     def extend(self, c, low, high):
         """Interval of the string that c and the interval's string make."""
@@ -121,54 +121,78 @@ class FMIndex:
         m = len(c)
         return self.count[c] + both[:m], self.count[c] + both[m:]
 
-    def parent(self, low, high):
-        """Suffix-tree parent: interval and depth."""
-        values = self.lcp.flat[: self.lcp.width]
-        depth = np.maximum(values[low], values[high])
+    def widen(self, low, high, depth):
+        """Interval of the first ``depth`` symbols of an interval's string: the suffix-tree ancestor."""
         a, b = low.copy(), high.copy()
+        width, flat = self.lcp.width, self.lcp.flat
         for j in reversed(range(len(self.lcp.tables))):
             size = 1 << j
             # a moves left while the values of (a - size, a] reach the depth
-            ok = a - size >= 0
-            least = self.lcp.flat[j * self.lcp.width + np.maximum(a - size + 1, 0)]
-            a = np.where(ok & (least >= depth) & (depth > 0), a - size, a)
+            ok = (a >= size) & (flat[j * width + np.maximum(a - size + 1, 0)] >= depth)
+            a -= ok * size
             # b moves right while the values of [b, b + size) reach it
-            ok = b + size <= self.n
-            least = self.lcp.flat[j * self.lcp.width + np.minimum(b, self.lcp.width - 1)]
-            b = np.where(ok & (least >= depth) & (depth > 0), b + size, b)
+            ok = (b + size <= self.n) & (flat[j * width + np.minimum(b, width - 1)] >= depth)
+            b += ok * size
         root = depth <= 0
-        return np.where(root, 0, a), np.where(root, self.n, b), depth
-
-    def statistics(self, text: np.ndarray, ends: np.ndarray, sizes: np.ndarray, own: np.ndarray, cap: int):
+        return np.where(root, 0, a), np.where(root, self.n, b)
+
+    def feasible(self, low, high, own):
+        """Whether an interval holds a document before ``own``."""
+        ok = low < high
+        ok[ok] = self.first.least(low[ok], high[ok]) < own[ok]
+        return ok
+
+    def shorten(self, c, low, high, length, own):
+        """For intervals that c cannot extend: the longest prefix of their strings that it can, extended.
+        Depths are searched by halves, since an ancestor holds all that its descendants hold."""
+        low, high = low.copy(), high.copy()
+        least = np.zeros(len(c), np.int64)
+        most = length - 1
+        a, b = self.count[c], self.count[c + 1]
+        fits = self.feasible(a, b, own)
+        best_a, best_b = np.where(fits, a, 0), np.where(fits, b, self.n)
+        most = np.where(fits, most, 0)
+        while True:
+            at = np.flatnonzero(least < most)
+            if not len(at):
+                return best_a, best_b, np.where(fits, least + 1, 0)
+            mid = (least[at] + most[at] + 1) // 2
+            wide_a, wide_b = self.widen(low[at], high[at], mid)
+            a, b = self.extend(c[at], wide_a, wide_b)
+            ok = self.feasible(a, b, own[at])
+            good = at[ok]
+            least[good] = mid[ok]
+            best_a[good], best_b[good] = a[ok], b[ok]
+            most[at[~ok]] = mid[~ok] - 1
+
+    def statistics(self, text: np.ndarray, ends: np.ndarray, sizes: np.ndarray, own: np.ndarray, holds: np.ndarray, k: int, cap: int):
         """Yield (piece, place) wherever ``cap`` items or more that start there occur in an earlier document.
-        All pieces advance together, from their last item to their first."""
+        All pieces advance together, from their last item to their first. Every window of a piece holds its
+        minimizer, the ``k`` items from ``holds`` on: once a match that starts there or before no longer
+        reaches the minimizer's end, no window further left can match and the piece is through."""
         m = len(ends)
+        alive = np.ones(m, bool)
         low, high, length = np.zeros(m, np.int64), np.full(m, self.n, np.int64), np.zeros(m, np.int64)
         for step in range(int(sizes.max(initial=0))):
-            todo = np.flatnonzero(sizes > step)
-            c_all = text[ends[todo] - 1 - step]
-            wait = np.arange(len(todo))
-            while len(wait):
-                at, c = todo[wait], c_all[wait]
-                a, b = self.extend(c, low[at], high[at])
-                some = a < b
-                ok = some.copy()
-                ok[some] = self.first.least(a[some], b[some]) < own[at[some]]
-                good = at[ok]
-                low[good], high[good] = a[ok], b[ok]
-                length[good] += 1
-                bad = wait[~ok]
-                at = todo[bad]
-                up = length[at] > 0
-                at = at[up]
-                low[at], high[at], length[at] = self.parent(low[at], high[at])
-                wait = bad[up]
+            todo = np.flatnonzero((sizes > step) & alive)
+            if not len(todo):
+                continue
+            c = text[ends[todo] - 1 - step]
+            a, b = self.extend(c, low[todo], high[todo])
+            ok = self.feasible(a, b, own[todo])
+            good, bad = todo[ok], todo[~ok]
+            low[good], high[good] = a[ok], b[ok]
+            length[good] += 1
+            if len(bad):
+                low[bad], high[bad], length[bad] = self.shorten(c[~ok], low[bad], high[bad], length[bad], own[bad])
+            start = sizes[todo] - 1 - step
+            alive[todo] = (start > holds[todo]) | (start + length[todo] >= holds[todo] + k)
             full = todo[length[todo] >= cap]
             if len(full):
                 yield full, sizes[full] - 1 - step
 
 
-def resolve(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, window: int = WINDOW) -> tuple:
+def resolve(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, holds: np.ndarray, window: int = WINDOW) -> tuple:
     """(piece, start, end) of the windows of each piece that also start in a piece of a smaller id, runs
     joined."""
     words = b"".join(items).split()
@@ -182,7 +206,7 @@ def resolve(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, window: int
     ends = np.cumsum(sizes) + np.arange(n)
     index = FMIndex(text, np.repeat(ranks, sizes + 1), len(codes) + 1)
     pieces, places = [], []
-    for piece, place in index.statistics(text, ends, sizes.astype(np.int64), ranks, window):
+    for piece, place in index.statistics(text, ends, sizes.astype(np.int64), ranks, holds.astype(np.int64), WORDS.k, window):
         pieces.append(piece)
         places.append(place)
     if not pieces:
@@ -210,7 +234,7 @@ def repeated_words(docs):
     one id never remove each other. Windows do not cross documents. Empty tables give no rows; other columns
     are ignored.
     """
-    return deduplicated(docs, WORDS, resolve, RESULT, _report)
+    return deduplicated(docs, WORDS, resolve, RESULT, _report, shards_a_group=4)
 
 
 def op4_substring_dedup(spark, sf_dir):

@@ -16,8 +16,8 @@ a chain of Spark jobs over these:
 4. ``judged``  the marks and the texts of a group of documents meet, once, and give the result rows.
 
 Groups are pmod(hash(doc_id, text)), so no key of the data decides a group's size. Rows in 1 to 3 are packed
-arrays. Hot minimizers (over HOT documents) have their contexts spread over all buckets and their pieces over
-shards by window content, so no bucket or shard grows with one passage.
+arrays. Hot minimizers (over HOT documents) have their contexts spread over all buckets. Their windows go to
+shards by hash, the least id of each window in a group alone, so no bucket or shard grows with one passage.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from .common import mix, powers, prefix, release, run_hash, sliding, stage
 
 WINDOW = 50
 GROUP_BYTES = 12 << 20
-SHARDS_A_GROUP = 8
 HOT = 4096
+#: A minimizer with more contexts than this is treated like a hot one, so that a shard's index stays small.
+CROWDED = 1000
 CHUNK = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 
@@ -92,10 +93,14 @@ def _pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def _split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts keys 0..n-1, and the bounds of each key in it."""
+def _dealt(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places of each key, by ascending key; the work grows with the keys there are, not with their range."""
+    if not len(keys):
+        return []
     order = np.argsort(keys, kind="stable")
-    return order, np.searchsorted(keys[order], np.arange(n + 1))
+    ranked = keys[order]
+    cut = np.concatenate(([0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1))
+    return [(int(ranked[x]), order[x:y]) for x, y in zip(cut, np.append(cut[1:], len(order)))]
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -157,10 +162,9 @@ def repeated(rows: DataFrame, n: int, unit: Unit) -> DataFrame:
         total = np.bincount(inverse, weights=c)[inverse]
         keep = total >= 2
         g = np.repeat(table.column("grp").to_numpy(), sizes)[keep]
-        order, bounds = _split(g, n)
-        h, hot = h[keep][order], (total[keep] > HOT)[order]
-        used = np.flatnonzero(np.diff(bounds))
-        return pa.table({"grp": pa.array(used, pa.int32()), "keys": pa.array([_pack(h[bounds[i] : bounds[i + 1]]) for i in used], pa.binary()), "hot": pa.array([_pack(hot[bounds[i] : bounds[i + 1]].view(np.uint8)) for i in used], pa.binary())})
+        h, hot = h[keep], (total[keep] > HOT).view(np.uint8)
+        parts = _dealt(g)
+        return pa.table({"grp": pa.array([i for i, _ in parts], pa.int32()), "keys": pa.array([_pack(h[s]) for _, s in parts], pa.binary()), "hot": pa.array([_pack(hot[s]) for _, s in parts], pa.binary())})
 
     sent = rows.select("grp", "text").mapInArrow(scan, "bucket int, grp int, keys binary, counts binary")
     return stage(sent.groupBy("bucket").applyInArrow(answer, "grp int, keys binary, hot binary"), "repeated")
@@ -202,9 +206,7 @@ def occurrences(rows: DataFrame, known: DataFrame, n: int, unit: Unit) -> DataFr
         item = np.empty(len(o), np.int32)
         item[o] = np.cumsum(new) - 1
         head = o[new]
-        bounds = np.searchsorted(b[head], np.arange(n + 1))
-        used = np.flatnonzero(np.diff(bounds))
-        out = [{"grp": grp, "bucket": int(i), "anchors": _pack(anchor[s]), "contexts": _pack(context[s]), "ids": _pack(doc[s]), "hot": _pack(warm[s])} for i in used for s in [head[bounds[i] : bounds[i + 1]]]]
+        out = [{"grp": grp, "bucket": i, "anchors": _pack(anchor[s]), "contexts": _pack(context[s]), "ids": _pack(doc[s]), "hot": _pack(warm[s])} for i, at_ in _dealt(b[head]) for s in [head[at_]]]
         by_place = np.lexsort((at, row))
         out.append({"grp": grp, "bucket": -1, "row": _pack(row[by_place].astype(np.int32)), "place": _pack(at[by_place].astype(np.int32)), "item": _pack(item[by_place])})
         return pa.Table.from_pylist(out, schema)
@@ -228,10 +230,12 @@ def first_contexts(places: DataFrame) -> DataFrame:
         new_c = new_a | np.concatenate(([True], c[1:] != c[:-1]))
         first = np.empty(len(o), np.int64)
         first[o] = ids[o][np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
-        many = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))[np.cumsum(new_a) - 1] > 1
+        many = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))[np.cumsum(new_a) - 1]
         go = np.zeros(len(o), np.uint8)
-        go[o] = (ids[o] == first[o]) & (many | (hot[o] > 0))
-        go[(go > 0) & (hot > 0)] = 2
+        go[o] = (ids[o] == first[o]) & ((many > 1) | (hot[o] > 0))
+        crowd = np.empty(len(o), bool)
+        crowd[o] = many > CROWDED
+        go[(go > 0) & ((hot > 0) | crowd)] = 2
         ends = np.cumsum(sizes)
         spans = list(zip(ends - sizes, ends))
         return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "first": pa.array([_pack(first[x:y]) for x, y in spans], pa.binary()), "status": pa.array([_pack(go[x:y]) for x, y in spans], pa.binary()), "anchors": table.column("anchors")})
@@ -255,21 +259,21 @@ def marks(rows_of: DataFrame, answers: DataFrame) -> DataFrame:
     return stage(rows_of.filter("bucket < 0").groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(join, schema), "marks")
 
 
-PIECES = "shard int, grp int, contexts binary, starts binary, ids binary, sizes binary, items binary"
+PIECES = "shard int, grp int, kind int, contexts binary, starts binary, ids binary, sizes binary, holds binary, items binary, windows binary"
+#: Kinds of packed rows: pieces for the shard's index, windows of hot minimizers by hash, ranges already found.
+PIECE, HASHED, DONE = 0, 1, 2
 
 
 def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window: int = WINDOW) -> DataFrame:
-    """The items around one place of every context that goes on, packed by group and shard. Pieces of hot
-    minimizers are dealt by the content of each single window, so equal windows meet and no shard takes them
-    all."""
+    """The items around one place of every context that goes on, packed by group and shard. Of hot minimizers
+    the single windows go by hash: the least id of each in the group is sent on, the others are done."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     kinds = {x.split()[0]: pa.int32() if x.endswith("int") else pa.binary() for x in PIECES.split(", ")}
     reach = window - unit.k
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], kinds[c]) for c in names})
         if not left.num_rows or not right.num_rows:
-            return empty
+            return pa.table({c: pa.array([], kinds[c]) for c in names})
         grp = left.column("grp")[0].as_py()
         get = lambda c, t: np.frombuffer(right.column(c)[0].as_py(), t)
         row, place, item = get("row", np.int32), get("place", np.int32), get("item", np.int32)
@@ -279,45 +283,49 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window:
         go = np.flatnonzero((status[item] > 0) & (doc == first[item]))
         # one place speaks for all of its context
         go = np.sort(go[np.unique(item[go], return_index=True)[1]])
-        out = {c: [] for c in ("shard", "context", "start", "id", "size", "items")}
+        shard, context, size, hold, items = [], [], [], [], []
+        hot: list[tuple] = []
         at = 0
         while at < len(go):
             r = row[go[at]]
-            end = at
-            while end < len(go) and row[go[end]] == r:
-                end += 1
+            end = at + int(np.searchsorted(row[go[at:]], r, side="right"))
+            some = go[at:end]
             source = unit.source(texts[order[r]])
-            n = len(source)
-            h = unit.hashes(source) if (status[item[go[at:end]]] == 2).any() else None
-            deal_to = mix(anchor[item[go[at:end]]]) % np.uint64(shards)
-            for j, shard in zip(go[at:end].tolist(), deal_to.tolist()):
-                p = int(place[j])
-                a, b = max(p - reach, 0), min(p + window, n)
-                spans = [(0, b - a, shard)]
-                if status[item[j]] == 2:
-                    starts = np.arange(b - a - window + 1)
-                    deal = run_hash(prefix(h[a:b]), starts, starts + window) % np.uint64(shards)
-                    spans = zip(starts.tolist(), (starts + window).tolist(), deal.tolist())
-                for s, e, d in spans:
-                    out["shard"].append(d)
-                    out["context"].append(item[j])
-                    out["start"].append(s)
-                    out["id"].append(doc[j])
-                    out["size"].append(e - s)
-                    out["items"].append(unit.cut(source, a + s, a + e))
+            a, b = np.maximum(place[some] - reach, 0), np.minimum(place[some] + window, len(source))
+            cold = status[item[some]] == 1
+            shard.append((mix(anchor[item[some]]) % np.uint64(shards)).astype(np.int64)[cold])
+            context.append(some[cold])
+            size.append((b - a)[cold])
+            hold.append((place[some] - a)[cold])
+            items += [unit.cut(source, x, y) for x, y in zip(a[cold].tolist(), b[cold].tolist())]
+            if not cold.all():
+                h = unit.hashes(source)
+                for j, x, y in zip(some[~cold].tolist(), a[~cold].tolist(), b[~cold].tolist()):
+                    starts = np.arange(y - x - window + 1)
+                    hot.append((np.full(len(starts), j), starts, run_hash(prefix(h[x:y]), starts, starts + window)))
             at = end
-        if not out["shard"]:
-            return empty
-        o, bounds = _split(np.array(out["shard"]), shards)
         made = {c: [] for c in names}
-        arrays = {"contexts": np.array(out["context"], np.int32), "starts": np.array(out["start"], np.int32), "ids": np.array(out["id"], np.int64), "sizes": np.array(out["size"], np.int32)}
-        for x in np.flatnonzero(np.diff(bounds)):
-            s = o[bounds[x] : bounds[x + 1]]
-            made["shard"].append(int(x))
-            made["grp"].append(grp)
-            for c, v in arrays.items():
-                made[c].append(_pack(v[s]))
-            made["items"].append(b"".join([out["items"][i] for i in s]))
+
+        def add(shard, kind, **columns):
+            for c in names:
+                made[c].append({"shard": shard, "grp": grp, "kind": kind}.get(c, columns.get(c)))
+
+        if items:
+            shard, context, size, hold = (np.concatenate(x) for x in (shard, context, size, hold))
+            for x, s in _dealt(shard):
+                add(x, PIECE, contexts=_pack(item[context[s]]), ids=_pack(doc[context[s]]), starts=_pack(np.zeros(len(s), np.int32)), sizes=_pack(size[s].astype(np.int32)), holds=_pack(hold[s].astype(np.int32)), items=b"".join([items[i] for i in s]))
+        if hot:
+            j, start, key = (np.concatenate(x) for x in zip(*hot))
+            o = np.lexsort((doc[j], key))
+            j, start, key = j[o], start[o], key[o]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            least = doc[j][new][np.cumsum(new) - 1]
+            done = doc[j] > least
+            if done.any():
+                add(grp % shards, DONE, contexts=_pack(item[j[done]]), starts=_pack(start[done].astype(np.int32)))
+            j, start, key = j[~done], start[~done], key[~done]
+            for x, s in _dealt((key % np.uint64(shards)).astype(np.int64)):
+                add(x, HASHED, contexts=_pack(item[j[s]]), starts=_pack(start[s].astype(np.int32)), ids=_pack(doc[j[s]]), windows=_pack(key[s]))
         return pa.table({c: pa.array(made[c], kinds[c]) for c in names})
 
     return rows.groupBy("grp").cogroup(marked.groupBy("grp")).applyInArrow(cut, PIECES)
@@ -326,24 +334,39 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window:
 FOUND = "grp int, contexts binary, starts binary, ends binary"
 
 
-def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray], tuple]) -> DataFrame:
-    """Item ranges of pieces, counted from the context's start, whose windows start in an earlier document
-    too. ``resolve(items, sizes, ids)`` gets one shard's pieces and returns (piece, start, end) arrays."""
+def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray, np.ndarray], tuple], window: int = WINDOW) -> DataFrame:
+    """Item ranges of contexts, counted from the context's start, whose windows start in an earlier document
+    too. ``resolve(items, sizes, ids, holds)`` gets one shard's pieces (``holds``: where in each the minimizer
+    stands) and returns (piece, start, end) arrays."""
 
     def run(table: pa.Table) -> pa.Table:
-        join_up = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        counts = np.array([len(x) // 4 for x in table.column("sizes").to_pylist()])
-        grp = np.repeat(table.column("grp").to_numpy(), counts)
-        context, start, ids, size = join_up("contexts", np.int32), join_up("starts", np.int32), join_up("ids", np.int64), join_up("sizes", np.int32)
-        piece, a, b = resolve(table.column("items").to_pylist(), size, ids)
-        order, bounds = _split(grp[piece], int(grp.max()) + 1)
+        kind = table.column("kind").to_numpy()
+        found = []
+        for what in (PIECE, HASHED, DONE):
+            some = table.filter(pa.array(kind == what))
+            if not some.num_rows:
+                continue
+            join_up = lambda c, t: np.frombuffer(b"".join(some.column(c).to_pylist()), t)  # noqa: B023, E731
+            counts = np.array([len(x) // 4 for x in some.column("contexts").to_pylist()])
+            grp = np.repeat(some.column("grp").to_numpy(), counts)
+            context, start = join_up("contexts", np.int32), join_up("starts", np.int32)
+            if what == PIECE:
+                piece, a, b = resolve(some.column("items").to_pylist(), join_up("sizes", np.int32), join_up("ids", np.int64), join_up("holds", np.int32))
+                found.append((grp[piece], context[piece], a, b))
+                continue
+            hit = np.ones(len(start), bool)
+            if what == HASHED:
+                key, ids = join_up("windows", np.uint64), join_up("ids", np.int64)
+                o = np.lexsort((ids, key))
+                new = np.concatenate(([True], key[o][1:] != key[o][:-1]))
+                hit[o] = ids[o] > ids[o][new][np.cumsum(new) - 1]
+            found.append((grp[hit], context[hit], start[hit], start[hit] + window))
+        grp, context, a, b = (np.concatenate(x) for x in zip(*found))
         made = {"grp": [], "contexts": [], "starts": [], "ends": []}
-        for x in np.flatnonzero(np.diff(bounds)):
-            s = order[bounds[x] : bounds[x + 1]]
-            made["grp"].append(int(x))
-            made["contexts"].append(_pack(context[piece[s]]))
-            made["starts"].append(_pack((start[piece[s]] + a[s]).astype(np.int32)))
-            made["ends"].append(_pack((start[piece[s]] + b[s]).astype(np.int32)))
+        for x, s in _dealt(grp):
+            made["grp"].append(x)
+            for c, v in (("contexts", context), ("starts", a), ("ends", b)):
+                made[c].append(_pack(v[s].astype(np.int32)))
         return pa.table({"grp": pa.array(made["grp"], pa.int32()), **{c: pa.array(made[c], pa.binary()) for c in ("contexts", "starts", "ends")}})
 
     return stage(sent.groupBy("shard").applyInArrow(run, FOUND), "found")
@@ -402,12 +425,12 @@ def judged(rows: DataFrame, marked: DataFrame, found: DataFrame, unit: Unit, sch
     return rows.groupBy("grp").cogroup(a.unionByName(b).groupBy("grp")).applyInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, unit: Unit, resolve: Callable, schema: str, report: Callable) -> DataFrame:
+def deduplicated(docs: DataFrame, unit: Unit, resolve: Callable, schema: str, report: Callable, shards_a_group: int) -> DataFrame:
     rows, n = grouped(docs)
     known = repeated(rows, n, unit)
     places = occurrences(rows, known, n, unit)
     release(known)
     marked = marks(places, first_contexts(places))
     release(places)
-    found = matched(pieces(rows, marked, SHARDS_A_GROUP * n, unit), resolve)
+    found = matched(pieces(rows, marked, shards_a_group * n, unit), resolve)
     return judged(rows, marked, found, unit, schema, report)
