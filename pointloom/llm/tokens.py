@@ -10,6 +10,7 @@ two or three bytes without decoding what stands before it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,6 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CHUNK_TOKENS = 1 << 19
 RANK_BITS = 512
-TAIL = ",.!?;:"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -33,71 +33,53 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """The tokenizers library behind a memory of words.
+    """The tokenizers library behind a bounded memory of words.
 
-    White space always ends a pre-token of this vocabulary, so a text's ids are those of its words. Words
-    not met before go to the library: letters-only cores many at a time (an id with the word-end mark
-    closes each), all others one by one. Texts with a special token's string, or with control characters
-    that only Python takes for white space, go to the library whole. Both memories are bounded.
+    White space always ends a pre-token of this vocabulary, so a text's ids are those of its words. Words not
+    met before go to the library many at a time, joined by spaces, and are told apart by the offsets of their
+    ids. Texts with a special token's string, or with control characters that only Python takes for white
+    space, go to the library whole.
     """
 
-    words_kept, cores_kept = 250_000, 500_000
+    words_kept, words_a_call = 800_000, 2000
+    #: One mark between a plain letter and white space is a pre-token of its own: a space may stand before it.
+    tail = re.compile(r"([.,!?;:])(?<=[a-zß-öø-ɏ].)(?=\s|$)")
+    #: Capitals whose lower case depends on their neighbours in Python, or has two characters.
+    odd_case = ("Σ", "İ")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        ends = [i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]
-        self.closes = np.zeros(self.library.get_vocab_size() + 1, bool)
-        self.closes[ends] = True
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = ("\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.library.get_added_tokens_decoder().values()))
 
     def ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_cores(self, cores: list[str]) -> None:
-        if len(self.cores) + len(cores) > self.cores_kept:
-            self.cores.clear()
-        for i in range(0, len(cores), 5000):
-            part = cores[i : i + 5000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(part):
-                self.cores.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *ends], ends))
-            else:
-                self.cores.update((w, self.ids(w)) for w in part)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.words_kept:
-            self.words.clear()
-        split, rest = [], []
-        for w in words:
-            low = w.lower()
-            core = low[:-1] if low[-1] in TAIL else low
-            if core.isalpha() and max(w) < "ɐ":
-                split.append((w, core, low[len(core) :]))
-            else:
-                rest.append(w)
-        wanted = {x for _, core, tail in split for x in (core, tail)} - {""}
-        if new := [x for x in wanted if x not in self.cores]:
-            tails = [x for x in new if x in TAIL]
-            self._learn_cores([x for x in new if x not in TAIL])
-            self.cores.update((x, self.ids(x)) for x in tails)
-            if len(wanted) > len(new) and not all(x in self.cores for x in wanted):  # the memory was cleared
-                self.cores.update((x, self.ids(x)) for x in wanted if x not in self.cores)
-        for w, core, tail in split:
-            self.words[w] = self.cores[core] + (self.cores[tail] if tail else b"")
-        for w in rest:
-            self.words[w] = self.ids(w)
+    def _split(self, text: str) -> list[str] | None:
+        if any(map(text.__contains__, self.whole)):
+            return None
+        if any(map(text.__contains__, self.odd_case)):
+            return text.split()
+        return self.tail.sub(r" \1", text.lower()).split()
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), self.words_a_call):
+            part = words[i : i + self.words_a_call]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *map(len, part)])[:-1] + np.arange(len(part))
+            firsts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            bounds = (np.searchsorted(firsts, starts) * 4).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(part, bounds, [*bounds[1:], len(raw)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = []
         for i in range(0, len(texts), 500):
-            split = [None if any(map(t.__contains__, ("\x1c", "\x1d", "\x1e", "\x1f", *self.special))) else t.split() for t in texts[i : i + 500]]
+            split = list(map(self._split, texts[i : i + 500]))
             seen = set()
             for words in split:
                 seen.update(words or ())
@@ -105,13 +87,22 @@ class WordEncoder:
             if len(self.words) + len(missing) > self.words_kept:
                 self.words.clear()
                 missing = seen
-            if missing:
-                self._learn(missing)
+            self._learn(list(missing))
             get = self.words.__getitem__
             out += [self.ids(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts[i : i + 500], split)]
         return out
 
 
+_loaded: dict[str, WordEncoder] = {}
+
+
+def loaded(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    if path not in _loaded:
+        _loaded[path] = WordEncoder(path)
+    return _loaded[path]
+
+
 # --- directly addressable codes ------------------------------------------------------------------
 
 
@@ -167,7 +158,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         from pyspark import TaskContext
 
         part, chunk, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
-        coder = WordEncoder(vocabulary)
+        coder = loaded(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
 
         def close():
