@@ -2,9 +2,9 @@
 
 A positional index holds, for each licence template, its words of highest IDF (document frequencies are
 counted over all documents). A scan probes every word of a file; a posting that matches fixes where the
-template would start, the template's mandatory phrase is compared there word by word, and the postings that
-agree on a start are summed up. Each template's own rarest word is among its postings, so no place where a
-phrase stands is missed.
+template would start, the template's mandatory phrase is compared there word by word, and all postings that
+agree on a start are summed up, however many templates a file holds. Each template's own rarest word is among
+its postings, so no place where a phrase stands is missed.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ TEMPLATES = [
     ("spdx", "spdx license identifier", "spdx license identifier"),
 ]
 ANCHORS = 4
-FILE_WORDS = 8
 MIN_SHARE = 0.5
 MARK = "\x00"
 
@@ -91,12 +90,8 @@ def scan(docs: DataFrame) -> DataFrame:
     verified = F.slice("words", F.greatest(start + F.col("key_at") + 1, F.lit(1)), F.greatest(F.size("key"), F.lit(1))) == F.col("key")
     found = found.select("doc_id", "th", F.size("words").cast("long").alias("n_words"), "word", "tid", "label", "base", "weight", start.cast("long").alias("start"), ((F.col("tid") < 0) | ((start + F.col("key_at") >= 0) & verified)).alias("ok"))
     found = stage(found.filter("ok").drop("ok"), "licences")
-    rare = found.filter("tid >= 0 and not base").groupBy("doc_id", "th").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("weight")).alias("w"), "word"))), 1, FILE_WORDS).alias("top"))
-    rare = rare.select(F.col("doc_id").alias("di"), F.col("th").alias("ti"), F.transform("top", lambda x: x.word).alias("top"))
-    agree = found.join(rare, F.col("doc_id").eqNullSafe(F.col("di")) & (F.col("th") == F.col("ti")), "left")
-    agree = agree.filter("tid < 0 or base or array_contains(top, word)")
     # equal rows of one doc_id repeat each posting: count them once, by their number of marks
-    starts = agree.groupBy("doc_id", "th", "n_words", "tid", "label", "base", "start", "word").agg(F.max("weight").alias("weight"), F.count("*").alias("copies"))
+    starts = found.groupBy("doc_id", "th", "n_words", "tid", "label", "base", "start", "word").agg(F.max("weight").alias("weight"), F.count("*").alias("copies"))
     starts = starts.groupBy("doc_id", "th", "n_words", "tid", "label", "base", "start").agg(F.sum("weight").alias("share"), F.max("copies").alias("copies"))
     taken = F.col("base") | (F.col("share") >= MIN_SHARE)
     is_base = F.col("base") & (F.col("tid") >= 0)

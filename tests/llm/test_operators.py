@@ -217,6 +217,17 @@ def test_op5(docs, empty, rows):
     assert licenses.scan(empty).count() == 0
 
 
+def test_op5_file_with_all_templates(spark):
+    """However many templates one file holds, each keeps all its anchors: every label, full score."""
+    everything = " filler ".join([*licenses.BASE, *(text for _, text, _ in licenses.TEMPLATES)])
+    four = " filler ".join(text for label, text, _ in licenses.TEMPLATES if label in ("bsd", "isc", "mit", "mpl-2.0"))
+    docs = spark.createDataFrame([(1, everything), (2, four), (3, "plain words only")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert set(got[1].labels.split(",")) == {*licenses.BASE.values(), *(t[0] for t in licenses.TEMPLATES)}
+    assert got[2].labels == "bsd,isc,mit,mpl-2.0" and got[2].score == 1.0
+    assert got[3].labels == "" and got[3].score == 0.0
+
+
 def test_op7(docs, empty, rows):
     model = pieces.loaded(tokens.vocabulary_path(pieces.MODEL))
     scores = {model.names[i]: (s, int(i)) for i, s in zip(model.ids, model.scores)}
