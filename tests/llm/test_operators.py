@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pointloom.llm import components, decontaminate, fm_index, licenses, line_dedup, pieces, quality, registry, simhash, suffix_family, token_counts, tokens, windows
 
@@ -150,6 +151,23 @@ def test_op3(docs, empty, rows):
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_op3_lines_with_one_typo(spark):
+    """Lines of some 70 characters with one letter changed are similar at 5-character shingles."""
+    rng = np.random.default_rng(11)
+    lines = ["".join(rng.choice(list("abcdefghijklmnop "), 70)) for _ in range(60)]
+    typos = [x[:35] + "#" + x[36:] for x in lines]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(typos))], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
+    # similarity 0.86, so 6 bands of 3 find 0.998 of the pairs
+    assert kept[1] == "\n".join(lines) and len(kept[2].split("\n")) <= 2
+
+
+def test_shingles_of_lines(spark):
+    lines = ["x", "abcd", "abcde", "a cat sat", "tab\tand\rreturn \u2028 end", "你好 🙂🙂 one🙂two"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.shingles(F.col("line")).alias("s")).collect()
+    assert {r.line: r.s for r in got} == {x: [x[i : i + 5] for i in range(max(1, len(x) - 4))] for x in lines}
+
+
 def windows_removed(rows, cut, size):
     first = {}
     key = lambda i: 1 << 62 if i is None else i
