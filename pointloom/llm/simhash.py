@@ -7,6 +7,9 @@ Keys with more (near copies, boilerplate) are never paired off: their members ar
 65 points at distance one or less, where all that share a point are within two bits of each other, so a
 link of each member to the least one of its point loses no connection. Rows stay linear in the fingerprints
 however large a group of copies is.
+
+The pipeline's stage, :func:`keep_one`, is not bound to the operator's two bits, which only almost identical
+texts meet: it takes MinHash bands over five-word shingles and verifies pairs by their exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -19,9 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import column_bytes, stage, table
 from .components import components
+from .line_dedup import candidates, jaccard
 
 SEED = 42
 CHUNK = 1 << 16
+#: The pipeline's stage, apart from the operator's contract: shingle words, similarity, bands of MinHash rows.
+NEAR_WORDS, NEAR_THRESHOLD = 5, 0.8
+NEAR_BANDS, NEAR_ROWS = 8, 3
+NEAR_MASKS = np.array([xxhash.xxh64_intdigest(str(i), 9) for i in range(NEAR_BANDS * NEAR_ROWS)], np.uint64)
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -103,11 +111,76 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The documents whose doc_id names their component, all columns kept: one doc_id of each group.
-    Rows without a doc_id stay, as nothing tells them apart."""
-    losers = near_duplicates(docs, words).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(losers, docs.doc_id.cast("long") == losers._lost, "left_anti")
+def shingle_set(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct signed 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    found = text.lower().split()
+    grams = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    return np.unique(np.frombuffer(b"".join(map(_digest, grams)), ">i8").astype(np.int64))
+
+
+def _digest(gram: bytes) -> bytes:
+    return xxhash.xxh64_digest(gram, SEED)
+
+
+def _bands(s: np.ndarray) -> list[int]:
+    """One key for each band of the MinHash signature of a set; an empty set has none."""
+    if not len(s):
+        return []
+    least = np.full(len(NEAR_MASKS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), CHUNK):
+        np.minimum(least, (s[i : i + CHUNK].view(np.uint64)[None, :] ^ NEAR_MASKS[:, None]).min(axis=1), out=least)
+    return [int.from_bytes(xxhash.xxh64_digest(r.tobytes(), b), "big", signed=True) for b, r in enumerate(least.reshape(NEAR_BANDS, NEAR_ROWS))]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _shingled(keyed: DataFrame, full: bool) -> DataFrame:
+    """``(doc_id, th, a, x)`` of every row, ``a`` being the hash of its shingle set and ``x`` the set itself
+    (``full``) or its bands."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t) for t in column_bytes(batch.column("text"))]
+            names = pa.array([int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True) for s in sets], pa.int64())
+            lists = pa.array(sets if full else map(_bands, sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), names, lists], ["doc_id", "th", "a", "x"])
+
+    return keyed.mapInArrow(run, "doc_id long, th long, a long, x array<long>")
+
+
+def near_links(keyed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(u, v)`` between shingle sets that share a band and whose exact Jaccard similarity reaches
+    ``threshold``. Equal sets are one node, so exact copies crowd no bucket."""
+    nodes = stage(rows.groupBy("a").agg(F.first("x").alias("bands"), F.min(F.struct("doc_id", "th")).alias("one")), "near")
+    pairs = stage(candidates(nodes.select("a", "bands")), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
+    one = nodes.join(wanted, "a", "left_semi").select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_h"))
+    texts = keyed.join(one, keyed.doc_id.eqNullSafe(one._d) & (keyed.th == one._h), "left_semi")
+    sets = stage(_shingled(texts, True).groupBy("a").agg(F.first("x").alias("s")), "sets")
+    return jaccard(pairs, sets, threshold)
+
+
+def keep_one(docs: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
+    """The documents of ``docs``, all columns kept, without those that are near copies of another: of each
+    component of texts linked by a Jaccard similarity of ``threshold`` or more between their sets of
+    NEAR_WORDS-word shingles, the row that comes first by doc_id (null ids last) and text hash stays.
+
+    Rows are told apart by doc_id and text hash, so a repeated or null id costs no other row its place; rows
+    equal in both stay or go together. Null and wordless texts are copies of each other.
+    """
+    keyed = _keyed(docs)
+    rows = stage(_shingled(keyed, False), "rows")
+    found = components(near_links(keyed, rows, threshold))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    each = rows.groupBy("a").agg(F.min(place).alias("first"))
+    each = stage(each.join(found, each.a == found.node, "left").select("a", "first", F.coalesce("component", "a").alias("c")), "named")
+    keep = each.groupBy("c").agg(F.min("first").alias("keep"))
+    lost = rows.join(each.join(keep, "c").select("a", "keep"), "a").filter(~place.eqNullSafe(F.col("keep")))
+    lost = lost.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
+    return docs.join(lost, docs.doc_id.cast("long").eqNullSafe(lost._d) & (F.xxhash64(docs.text.cast("string")) == lost._h), "left_anti")
 
 
 def op1_simhash_near_dedup(spark, sf_dir):
