@@ -22,15 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder all executors share; a temporary one only in local mode where none is named (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors,
     and lets Spark drop the shuffle files that made it."""
     spark = df.sparkSession
@@ -38,7 +40,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -74,14 +76,17 @@ BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class WordHashes(dict):
-    """XXH64 of byte words, remembered; forgets everything at ``limit`` so its memory is bounded."""
+    """XXH64 of byte words. Words of up to ``longest`` bytes are remembered; everything is forgotten at
+    ``limit`` words, so the memory is bounded in bytes too."""
 
-    limit = 400_000
+    limit, longest = 400_000, 200
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import column_bytes, stage, table
 from .components import components
-from .line_dedup import candidates, jaccard
+from .line_dedup import linked
 
 SEED = 42
 CHUNK = 1 << 16
+PART_ROWS = 20_000
 #: The pipeline's stage, apart from the operator's contract: shingle words, similarity, bands of MinHash rows.
 NEAR_WORDS, NEAR_THRESHOLD = 5, 0.8
 NEAR_BANDS, NEAR_ROWS = 8, 3
@@ -80,6 +81,10 @@ def _points(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Verified links ``(u, v)`` that connect all distinct fingerprints ``fps(fp)`` at two bits or fewer."""
     near: Column = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
+    # few bytes become 64 rows each: not to be left in the few partitions that bytes alone would make
+    fps = stage(fps, "fps")
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // PART_ROWS)
+    fps = fps.repartition(parts, "fp")
     index = _variants(fps)
     keys = stage(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.max("fp").alias("u")).filter("n > 1"), "keys")
     pairs = keys.filter("n = 2").select("u", "v").filter(near)
@@ -88,7 +93,7 @@ def links(fps: DataFrame) -> DataFrame:
     dense = stage(index.join(crowded, "key", "left_semi").select("fp").distinct(), "dense")
     points = _points(dense)
     least = points.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("v")).filter("n > 1").select("point", "v")
-    stars = points.join(least, "point").select(F.col("fp").alias("u"), "v").filter("u <> v").filter(near)
+    stars = points.join(least.hint("shuffle_merge"), "point").select(F.col("fp").alias("u"), "v").filter("u <> v").filter(near)
     return pairs.unionByName(stars).distinct()
 
 
@@ -104,11 +109,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     rows = stage(fingerprints(docs, words), "fp")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(fps.select("fp")))
-    named = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    # tables that grow with the corpus are merged, never broadcast
+    named = fps.join(found.hint("shuffle_merge"), fps.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     named = stage(named, "named")
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(names, "c").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = stage(named.join(names.hint("shuffle_merge"), "c").select("fp", "component_id"), "ids")
+    return rows.join(of_fp.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
@@ -154,13 +160,14 @@ def _shingled(keyed: DataFrame, full: bool) -> DataFrame:
 def near_links(keyed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Links ``(u, v)`` between shingle sets that share a band and whose exact Jaccard similarity reaches
     ``threshold``. Equal sets are one node, so exact copies crowd no bucket."""
-    nodes = stage(rows.groupBy("a").agg(F.first("x").alias("bands"), F.min(F.struct("doc_id", "th")).alias("one")), "near")
-    pairs = stage(candidates(nodes.select("a", "bands")), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-    one = nodes.join(wanted, "a", "left_semi").select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_h"))
-    texts = keyed.join(one, keyed.doc_id.eqNullSafe(one._d) & (keyed.th == one._h), "left_semi")
-    sets = stage(_shingled(texts, True).groupBy("a").agg(F.first("x").alias("s")), "sets")
-    return jaccard(pairs, sets, threshold)
+    nodes = stage(rows.groupBy(F.col("a").alias("id")).agg(F.first("x").alias("bands"), F.min(F.struct("doc_id", "th")).alias("one")), "near")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        one = nodes.join(ids, "id", "left_semi").select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_h"))
+        texts = keyed.join(one, keyed.doc_id.eqNullSafe(one._d) & (keyed.th == one._h), "left_semi")
+        return _shingled(texts, True).groupBy(F.col("a").alias("id")).agg(F.first("x").alias("x"))
+
+    return linked(nodes.select("id", "bands"), fetch, F.col, threshold)
 
 
 def keep_one(docs: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
@@ -176,9 +183,9 @@ def keep_one(docs: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     found = components(near_links(keyed, rows, threshold))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     each = rows.groupBy("a").agg(F.min(place).alias("first"))
-    each = stage(each.join(found, each.a == found.node, "left").select("a", "first", F.coalesce("component", "a").alias("c")), "named")
+    each = stage(each.join(found.hint("shuffle_merge"), each.a == found.node, "left").select("a", "first", F.coalesce("component", "a").alias("c")), "named")
     keep = each.groupBy("c").agg(F.min("first").alias("keep"))
-    lost = rows.join(each.join(keep, "c").select("a", "keep"), "a").filter(~place.eqNullSafe(F.col("keep")))
+    lost = rows.join(each.join(keep.hint("shuffle_merge"), "c").select("a", "keep").hint("shuffle_merge"), "a").filter(~place.eqNullSafe(F.col("keep")))
     lost = lost.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
     return docs.join(lost, docs.doc_id.cast("long").eqNullSafe(lost._d) & (F.xxhash64(docs.text.cast("string")) == lost._h), "left_anti")
 
