@@ -4,13 +4,15 @@ Documents are range-partitioned by doc_id, encoded with the public word vocabula
 as a Parquet table whose rows are chunks of whole documents. A chunk holds its ids as directly addressable
 codes: level k keeps 8 bits of every id that reaches it, a continuation bitmap says which ids go on, and a
 rank directory (set bits before every 512) finds an id's place in the next level, so any token is read from
-two or three bytes without decoding what stands before it.
+two or three bytes without decoding what stands before it (:func:`tokens_at`). The files are not compressed
+and chunks are small, so that nothing has to be unpacked on the way to those bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -22,7 +24,9 @@ from .common import shared_dir, stage, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 15
+#: Documents of a range partition; more partitions than Spark's setting where a table has more.
+PART_ROWS = 40_000
 RANK_BITS = 512
 
 
@@ -38,10 +42,11 @@ class WordEncoder:
     White space always ends a pre-token of this vocabulary, so a text's ids are those of its words. Words not
     met before go to the library many at a time, joined by spaces, and are told apart by the offsets of their
     ids. Texts with a special token's string, or with control characters that only Python takes for white
-    space, go to the library whole.
+    space, go to the library whole, as do texts that its normal form (NFC, before lower-casing) changes, or
+    whose lower case it would change. Words over ``longest`` characters are not remembered.
     """
 
-    words_kept, words_a_call = 800_000, 2000
+    words_kept, words_a_call, longest = 800_000, 2000, 100
     #: One mark between a plain letter and white space is a pre-token of its own: a space may stand before it.
     tail = re.compile(r"([.,!?;:])(?<=[a-zß-öø-ɏ].)(?=\s|$)")
     #: Capitals whose lower case depends on their neighbours in Python, or has two characters.
@@ -61,9 +66,13 @@ class WordEncoder:
     def _split(self, text: str) -> list[str] | None:
         if any(map(text.__contains__, self.whole)):
             return None
-        if any(map(text.__contains__, self.odd_case)):
-            return text.split()
-        return self.tail.sub(r" \1", text.lower()).split()
+        low = text.lower()
+        if not text.isascii():
+            if any(map(text.__contains__, self.odd_case)):
+                return text.split() if unicodedata.is_normalized("NFC", text) else None
+            if not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+                return None
+        return self.tail.sub(r" \1", low).split()
 
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), self.words_a_call):
@@ -90,6 +99,8 @@ class WordEncoder:
             self._learn(list(missing))
             get = self.words.__getitem__
             out += [self.ids(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts[i : i + 500], split)]
+            for w in (w for w in missing if len(w) > self.longest):
+                del self.words[w]
         return out
 
 
@@ -182,12 +193,12 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
     ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("levels", pa.list_(pa.struct([("data", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])))])
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS)
     ordered = rows.repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     chunks = ordered.mapInArrow(run, CHUNKS)
     if path is None:
-        return stage(chunks, "tokens")
-    chunks.write.parquet(path)
+        return stage(chunks, "tokens", compression="none")
+    chunks.write.parquet(path, compression="none")
     return spark.read.schema(CHUNKS).parquet(path)
 
 
@@ -212,14 +223,36 @@ def _read(chunks: DataFrame, with_ids: bool) -> DataFrame:
                 arrays = [pa.repeat(pa.scalar(row["part"], pa.int32()), n), pa.repeat(pa.scalar(row["chunk"], pa.int32()), n), pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), found]
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "doc_id", "at", "n_tokens", last.split()[0]])
 
+    bases = _bases(chunks)
+    rows = chunks.select("part", "chunk", "doc_ids", "lengths", "levels").mapInArrow(run, f"part int, chunk int, doc_id long, at long, n_tokens long, {last}")
+    return rows.join(bases.drop("n_tokens"), ["part", "chunk"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
+
+
+def _bases(chunks: DataFrame) -> DataFrame:
+    """``(part, chunk, n_tokens, base)``: the tokens before each chunk."""
     sizes = chunks.select("part", "chunk", "n_tokens")
     of_parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each file: a few thousand numbers
     of_parts = of_parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(of_parts, "part").select("part", "chunk", (F.col("base") + F.col("inner")).alias("base"))
-    rows = chunks.select("part", "chunk", "doc_ids", "lengths", "levels").mapInArrow(run, f"part int, chunk int, doc_id long, at long, n_tokens long, {last}")
-    return rows.join(bases, ["part", "chunk"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", last.split()[0])
+    return sizes.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(of_parts, "part").select("part", "chunk", "n_tokens", (F.col("base") + F.col("inner")).alias("base"))
+
+
+def tokens_at(chunks: DataFrame, positions: DataFrame) -> DataFrame:
+    """``(position, token)`` for each row of ``positions(position)``: the ids at places of the whole file set,
+    each read from its own bytes of one chunk. Null places and places outside have no row; repeats stay."""
+
+    def run(batches):
+        for batch in batches:
+            values = [dac_access(levels, at) for levels, at in zip(batch.column("levels").to_pylist(), batch.column("at").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(values, pa.int64())], ["position", "token"])
+
+    of = lambda c: F.floor(F.col(c) / CHUNK_TOKENS)
+    # a chunk meets its places by ranges of CHUNK_TOKENS places
+    ranges = _bases(chunks).withColumn("last", F.col("base") + F.col("n_tokens") - 1).withColumn("range", F.explode(F.sequence(of("base"), of("last"))))
+    met = positions.select(F.col("position").cast("long")).withColumn("range", of("position")).join(ranges, "range").filter("position between base and last")
+    found = met.select("part", "chunk", "position", (F.col("position") - F.col("base")).alias("at")).join(chunks.select("part", "chunk", "levels"), ["part", "chunk"])
+    return found.select("position", "at", "levels").mapInArrow(run, "position long, token long")
 
 
 def op10_token_binary_output(spark, sf_dir):
