@@ -23,7 +23,7 @@ from .tokens import vocabulary_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK = 64
 LARGEST_BLOCK = 512
-PIECES_KEPT = 300_000
+PIECES_KEPT, LONGEST_KEPT = 300_000, 200
 #: Fixed value: the pattern of the public vocabulary, which splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDITS = "array<struct<at:int,cut:int,put:string>>"
@@ -41,13 +41,15 @@ class Counter(dict):
         self.split = regex.compile(PATTERN).findall
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= PIECES_KEPT:
-            self.clear()
-        value = self[piece] = len(self.encode(piece))
+        value = len(self.encode(piece))
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= PIECES_KEPT:
+                self.clear()
+            self[piece] = value
         return value
 
-    def count(self, pieces: list[str]) -> int:
-        return sum(map(self.__getitem__, pieces))
+    def counts(self, pieces: list[str]) -> list[int]:
+        return list(map(self.__getitem__, pieces))
 
 
 _loaded: dict[str, Counter] = {}
@@ -61,34 +63,39 @@ def loaded(path: str) -> Counter:
 
 
 class CountTree:
-    """Segment tree over blocks of pre-tokens: characters and tokens below every node. A block is its text
-    and the lengths of its pre-tokens (splitting it alone could differ at its end)."""
+    """Segment tree over blocks of pre-tokens: characters and tokens below every node. A block is its text and
+    the lengths and token counts of its pre-tokens (splitting it alone could differ at its end)."""
 
-    def __init__(self, counter: Counter, blocks: list[str], sizes: list[list[int]], tokens: list[int]):
-        self.counter, self.blocks, self.sizes = counter, blocks, sizes
+    def __init__(self, counter: Counter, blocks: list[str], sizes: list[list[int]], counts: list[list[int]]):
+        self.counter, self.reencoded = counter, 0
+        self._index(blocks, sizes, counts)
+
+    def _index(self, blocks: list[str], sizes: list[list[int]], counts: list[list[int]]) -> None:
+        """Sums over the blocks; nothing is split or encoded."""
+        self.blocks, self.sizes, self.counts = blocks, sizes, counts
         self.width = 1 << max(len(blocks) - 1, 0).bit_length()
         pad = [0] * (self.width - len(blocks))
-        self.chars = [0] * self.width + [len(b) for b in blocks] + pad
-        self.tokens = [0] * self.width + list(tokens) + pad
+        self.chars = [0] * self.width + list(map(len, blocks)) + pad
+        self.tokens = [0] * self.width + list(map(sum, counts)) + pad
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
-        self.reencoded = 0
 
     @classmethod
     def of(cls, counter: Counter, text: str) -> CountTree:
         pieces = counter.split(text)
         parts = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-        return cls(counter, ["".join(p) for p in parts], [list(map(len, p)) for p in parts], [counter.count(p) for p in parts])
+        return cls(counter, ["".join(p) for p in parts], [list(map(len, p)) for p in parts], [counter.counts(p) for p in parts])
 
     @classmethod
-    def stored(cls, counter: Counter, text: str, sizes: list[int], in_block: list[int], tokens: list[int]) -> CountTree:
+    def stored(cls, counter: Counter, text: str, sizes: list[int], counts: list[int], in_block: list[int]) -> CountTree:
         """The tree of a row of :func:`build`."""
-        blocks, parts, i, place = [], [], 0, 0
+        blocks, parts, tokens, i, place = [], [], [], 0, 0
         for n in in_block:
             part = sizes[i : i + n]
             end = place + sum(part)
             blocks.append(text[place:end])
             parts.append(part)
+            tokens.append(counts[i : i + n])
             i, place = i + n, end
         return cls(counter, blocks, parts, tokens)
 
@@ -96,10 +103,10 @@ class CountTree:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _set(self, block: int, text: str, sizes: list[int], tokens: int) -> None:
-        self.blocks[block], self.sizes[block] = text, sizes
+    def _set(self, block: int, text: str, sizes: list[int], counts: list[int]) -> None:
+        self.blocks[block], self.sizes[block], self.counts[block] = text, sizes, counts
         i = self.width + block
-        self.chars[i], self.tokens[i] = len(text), tokens
+        self.chars[i], self.tokens[i] = len(text), sum(counts)
         while i > 1:
             i //= 2
             self._sum(i)
@@ -122,6 +129,7 @@ class CountTree:
         first, start = self.find(max(at - 2, 0))  # a pre-token that ends here can change its end
         last = max(first, self.find(min(at + cut, max(total - 1, 0)))[0])
         old, sizes = "".join(self.blocks[first : last + 1]), [n for part in self.sizes[first : last + 1] for n in part]
+        known = [n for part in self.counts[first : last + 1] for n in part]
         local, shift = at - start, len(put) - cut
         kept, done = 0, 0
         # up to two characters after a pre-token decide on its end: those that end before them stand
@@ -135,31 +143,36 @@ class CountTree:
                 place += n
                 if place >= local + cut:
                     bounds[place + shift] = i + 1
-            pieces, place, rest = [], done, None
+            pieces, place, rest, after = [], done, None, []
             for piece in self.counter.split(fresh[done:]):
                 pieces.append(piece)
                 place += len(piece)
                 if place in bounds and local + len(put) <= place < len(fresh) - 1:
-                    rest = sizes[bounds[place] :]
+                    rest, after = sizes[bounds[place] :], known[bounds[place] :]
                     break
             if rest is not None or last + 1 >= len(self.blocks):
                 break
             last += 1  # no boundary met: take the next block in
             old += self.blocks[last]
             sizes += self.sizes[last]
+            known += self.counts[last]
         self.reencoded += sum(map(len, pieces))
         whole = sizes[:kept] + list(map(len, pieces)) + (rest or [])
+        counts = known[:kept] + self.counter.counts(pieces) + after
+        if len(whole) <= LARGEST_BLOCK:
+            self._set(first, fresh, whole, counts)
+            for block in range(first + 1, last + 1):
+                self._set(block, "", [], [])
+            return
+        # too large for one block: cut in place into blocks of BLOCK pre-tokens, then sum up anew
         texts, place = [], 0
-        for n in whole:
-            texts.append(fresh[place : place + n])
-            place += n
-        self._set(first, fresh, whole, self.counter.count(texts))
-        for block in range(first + 1, last + 1):
-            self._set(block, "", [], 0)
-        if len(whole) > LARGEST_BLOCK:
-            again = CountTree.of(self.counter, self.text)
-            again.reencoded = self.reencoded
-            self.__dict__ = again.__dict__
+        for i in range(0, len(whole), BLOCK):
+            end = place + sum(whole[i : i + BLOCK])
+            texts.append(fresh[place:end])
+            place = end
+        cut_up = lambda x: [x[i : i + BLOCK] for i in range(0, len(x), BLOCK)]
+        put_in = lambda old, new: old[:first] + new + old[last + 1 :]
+        self._index(put_in(self.blocks, texts), put_in(self.sizes, cut_up(whole)), put_in(self.counts, cut_up(counts)))
 
     @property
     def text(self) -> str:
@@ -169,12 +182,13 @@ class CountTree:
     def total(self) -> int:
         return self.tokens[1]
 
-    def leaves(self) -> tuple[str, list[int], list[int], list[int]]:
-        return self.text, [n for part in self.sizes for n in part], list(map(len, self.sizes)), self.tokens[self.width : self.width + len(self.blocks)]
+    def leaves(self) -> tuple[str, list[int], list[int], list[int], list[int]]:
+        flat = lambda parts: [n for part in parts for n in part]
+        return self.text, flat(self.sizes), flat(self.counts), list(map(len, self.sizes)), self.tokens[self.width : self.width + len(self.blocks)]
 
 
-LEAVES = "text string, piece_chars array<int>, block_pieces array<int>, block_tokens array<int>"
-LEAF_TYPES = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+LEAVES = "text string, piece_chars array<int>, piece_tokens array<int>, block_pieces array<int>, block_tokens array<int>"
+LEAF_TYPES = [pa.string()] + [pa.list_(pa.int32())] * 4
 
 
 def _names(schema: str) -> list[str]:
@@ -182,7 +196,7 @@ def _names(schema: str) -> list[str]:
 
 
 def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, text, piece_chars, block_pieces, block_tokens)``: the leaves of every row's tree.
+    """``(doc_id, n_tokens, text, piece_chars, piece_tokens, block_pieces, block_tokens)``: the leaves of every row's tree.
     Null and empty texts have one empty block. Null or repeated doc_ids stay; empty tables give no rows;
     other columns, except ``edits``, are ignored."""
     vocabulary = vocabulary or vocabulary_path(VOCABULARY)
@@ -219,7 +233,7 @@ def apply_edits(state: DataFrame, vocabulary: str | None = None, with_state: boo
             for i in range(0, batch.num_rows, 500):
                 made: dict[str, list] = {c: [] for c in names}
                 for row in batch.slice(i, 500).to_pylist():
-                    tree = CountTree.stored(counter, row["text"], row["piece_chars"], row["block_pieces"], row["block_tokens"])
+                    tree = CountTree.stored(counter, row["text"], row["piece_chars"], row["piece_tokens"], row["block_pieces"])
                     before, edits = tree.total, row["edits"] or []
                     for e in edits:
                         tree.edit(e["at"] or 0, e["cut"] or 0, e["put"] or "")
@@ -233,7 +247,9 @@ def apply_edits(state: DataFrame, vocabulary: str | None = None, with_state: boo
 
 def derived_edits(docs: DataFrame, edits: int = 3) -> DataFrame:
     """``docs`` with edits that its own rows determine: at places hashed from doc_id and text, five
-    characters give way to the document's first eight, then to nothing, in turn."""
+    characters give way to the document's first eight, then to nothing, in turn. Null and empty texts get edits
+    at place 0; null ids and repeated rows are treated like others; other columns are left out; an empty table
+    gives no rows."""
     size = F.greatest(F.char_length(F.coalesce("text", F.lit(""))), F.lit(1))
 
     def one(i):
