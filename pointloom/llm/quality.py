@@ -1,14 +1,16 @@
 """Operator 9: quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are estimated on a bounded sample; rules then run in the order of rejections
-bought per second, each only over the documents that passed the rules before it. The verdict does not depend
-on the order. The base measures below are reported for every document.
+A rule computes what it needs of a text (words, lines, repeated windows …) when it runs; rules share what was
+computed before. Each task estimates cost and selectivity of the rules, their measures included, on a sample
+of its own rows, and orders them by rejections per second; a rule then runs only over the documents that
+passed those before it. The verdict does not depend on the order.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, column_bytes, prefix, run_hash, table
 
-SAMPLE_ROWS = 400
+#: Rows of a task's sample, spread over the first rows it gets.
+SAMPLE_ROWS, SAMPLE_OF = 40, 2000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
@@ -32,13 +35,51 @@ MAX_SHOUTED = 0.9
 _hashes = WordHashes()
 
 
-def measures(text: bytes) -> tuple[int, int, int, int, int]:
-    """Words, code points in words, symbols, repeated lines, and words in repeated 8-word windows."""
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    solid = b"".join(words)
-    chars = len(solid) if solid.isascii() else int(np.count_nonzero(np.frombuffer(solid, np.uint8) & 0xC0 != 0x80))
-    return len(words), chars, len(solid) - len(solid.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+class Text:
+    """One text and its measures, each computed once and only if asked for."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def solid(self) -> bytes:
+        return b"".join(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        """Code points in words."""
+        return len(self.solid) if self.solid.isascii() else int(np.count_nonzero(np.frombuffer(self.solid, np.uint8) & 0xC0 != 0x80))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.raw.split(b"\n") if x.strip()]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
+
+    @cached_property
+    def plain(self) -> str:
+        return self.raw.decode("utf-8", "replace")
+
+    def measures(self) -> tuple[int, int, int, int, int]:
+        return self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words
 
 
 def repeated_words(words: list[bytes], w: int = REPEAT_WINDOW) -> int:
@@ -61,90 +102,95 @@ def repeated_words(words: list[bytes], w: int = REPEAT_WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:n])))
 
 
-def _few_words(text: bytes, m: tuple) -> bool:
-    return m[0] < MIN_WORDS
+def _few_words(t: Text) -> bool:
+    # that many words take twice as many bytes, less one: short texts need no split
+    return len(t.raw) < 2 * MIN_WORDS - 1 or t.n_words < MIN_WORDS
 
 
-def _repeats(text: bytes, m: tuple) -> bool:
-    return 100 * m[4] > MAX_REPEAT_PERCENT * m[0]
+def _repeats(t: Text) -> bool:
+    return 100 * t.n_repeat_words > MAX_REPEAT_PERCENT * t.n_words
 
 
-def _symbols(text: bytes, m: tuple) -> bool:
-    return m[2] > MAX_SYMBOLS_PER_WORD * m[0]
+def _symbols(t: Text) -> bool:
+    # a word is a byte at least
+    return t.n_symbols > 0 and t.n_symbols > MAX_SYMBOLS_PER_WORD * t.n_words
 
 
-def _duplicate_lines(text: bytes, m: tuple) -> bool:
-    return m[3] > MAX_DUPLICATE_LINES * sum(1 for x in text.split(b"\n") if x.strip())
+def _duplicate_lines(t: Text) -> bool:
+    return t.n_dup_lines > MAX_DUPLICATE_LINES * len(t.lines)
 
 
-def _word_length(text: bytes, m: tuple) -> bool:
-    return not MEAN_WORD_CHARS[0] * m[0] <= m[1] <= MEAN_WORD_CHARS[1] * m[0]
+def _word_length(t: Text) -> bool:
+    return not MEAN_WORD_CHARS[0] * t.n_words <= t.word_chars <= MEAN_WORD_CHARS[1] * t.n_words
 
 
-def _letters(text: bytes, m: tuple) -> bool:
-    words = text.decode("utf-8", "replace").split()
+def _letters(t: Text) -> bool:
+    words = t.plain.split()
     return sum(1 for w in words if w.isalpha() or any(map(str.isalpha, w))) < MIN_WORDS_WITH_LETTER * len(words)
 
 
-def _shouted(text: bytes, m: tuple) -> bool:
-    plain = text.decode("utf-8", "replace")
-    cased = sum(map(str.isupper, plain)) if not plain.isascii() else len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    small = sum(map(str.islower, plain)) if not plain.isascii() else len(text) - len(text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-    return cased > MAX_SHOUTED * (cased + small)
+def _shouted(t: Text) -> bool:
+    if t.raw.isascii():
+        upper = len(t.raw) - len(t.raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        lower = len(t.raw) - len(t.raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
+    else:
+        upper, lower = sum(map(str.isupper, t.plain)), sum(map(str.islower, t.plain))
+    return upper > MAX_SHOUTED * (upper + lower)
 
 
-RULES: dict[str, Callable[[bytes, tuple], bool]] = {"few_words": _few_words, "repeats": _repeats, "symbols": _symbols, "duplicate_lines": _duplicate_lines, "word_length": _word_length, "letters": _letters, "shouted": _shouted}
+RULES: dict[str, Callable[[Text], bool]] = {"few_words": _few_words, "repeats": _repeats, "symbols": _symbols, "duplicate_lines": _duplicate_lines, "word_length": _word_length, "letters": _letters, "shouted": _shouted}
 
 
-def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on up to ``sample_rows`` documents; an empty sample keeps the
-    listed order."""
-    texts = [(r.text or "").encode("utf-8", "replace") for r in docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows).collect()]
-    known = [measures(t) for t in texts]
+def plan(texts: list[bytes]) -> list[str]:
+    """Rule names by rejections per second on a sample; each rule pays for its measures. An empty sample keeps
+    the listed order."""
     worth = {}
     for name, rule in RULES.items():
+        fresh = list(map(Text, texts))
         began = time.perf_counter()
-        rejected = sum(rule(t, m) for t, m in zip(texts, known))
+        rejected = sum(map(rule, fresh))
         worth[name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-6)
     return sorted(RULES, key=lambda name: -worth[name]) if texts else list(RULES)
 
 
+def _sampled(texts: list[bytes]) -> list[bytes]:
+    return texts[:SAMPLE_OF][:: max(min(len(texts), SAMPLE_OF) // SAMPLE_ROWS, 1)][:SAMPLE_ROWS]
+
+
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def assess(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Measures and verdict of every row. Null and empty texts have no words and fail. Rows with a null or
-    repeated doc_id are judged like others; an empty table gives no rows; other columns are ignored."""
-    order = order or plan(docs)
+    repeated doc_id are judged like others; an empty table gives no rows; other columns are ignored. Here all
+    base measures are reported, so only the further rules are spared."""
 
     def run(batches):
+        names = order
         for batch in batches:
-            texts = column_bytes(batch.column("text"))
-            m = [measures(t) for t in texts]
-            failed = [_few_words(t, x) or _repeats(t, x) for t, x in zip(texts, m)]
-            alive = [i for i, bad in enumerate(failed) if not bad]
-            for name in order:
-                rule = RULES[name]
-                alive = [i for i in alive if not rule(texts[i], m[i])]
-            kept = np.zeros(len(texts), bool)
-            kept[alive] = True
+            raw = column_bytes(batch.column("text"))
+            names = names or plan(_sampled(raw))
+            texts = list(map(Text, raw))
+            failed = [_few_words(t) or _repeats(t) for t in texts]
+            kept = [not bad and not any(RULES[name](t) for name in names) for t, bad in zip(texts, failed)]
+            m = [t.measures() for t in texts]
             columns = [pa.array(c, pa.int64()) for c in (zip(*m) if m else [[]] * 5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(failed, pa.bool_()), pa.array(kept)], [x.split()[0] for x in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], [x.split()[0] for x in RESULT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. The text alone decides, in one scan."""
-    order = plan(docs)
+def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, in one scan. The text alone decides: null and
+    empty ones go, repeated rows and rows without an id are judged like others, an empty table stays empty."""
 
     def run(batches):
+        names = order
         for batch in batches:
-            alive = []
-            for i, t in enumerate(column_bytes(batch.column("text"))):
-                m = measures(t)
-                if not any(RULES[name](t, m) for name in order):
-                    alive.append(i)
+            raw = column_bytes(batch.column("text"))
+            names = names or plan(_sampled(raw))
+            rules = [RULES[name] for name in names]
+            alive = [i for i, t in enumerate(map(Text, raw)) if not any(rule(t) for rule in rules)]
             yield batch.take(pa.array(alive, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)
