@@ -3,7 +3,8 @@
 A word's segmentation is the one of greatest score sum over the model's pieces. Words not met before are
 grouped by length and advance together, one numpy step for each end and piece length: the hashes of all
 substrings come from prefix sums, are looked up among the sorted hashes of the pieces, and the maxima store
-back pointers. Characters outside the vocabulary become byte pieces.
+back pointers. Characters outside the vocabulary become byte pieces. In a long word (text without spaces) the
+pieces of one length are looked up at all places together, and the maxima pass over the pieces found.
 
 The only public model here was trained for merges; its scores are minus the merge ranks. Viterbi finds the
 best segmentation under those scores, which can differ from what replaying the merges would give.
@@ -25,8 +26,9 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 UNUSED = -1e8
-WORDS_KEPT = 300_000
-BATCH_CELLS = 1 << 18
+#: Words of up to LONG characters are encoded in batches and remembered, up to so many; longer ones alone.
+WORDS_KEPT, LONG = 300_000, 200
+BATCH_CELLS, CHUNK = 1 << 18, 1 << 16
 
 
 class Pieces:
@@ -119,10 +121,44 @@ class Pieces:
             out.append(np.array(ids, "<u2").tobytes())
         return out
 
+    def long(self, word: str) -> bytes:
+        """Ids of one long word: the same segmentation as by :meth:`viterbi`, in time linear in its length."""
+        n = len(word)
+        points = np.frombuffer(word.encode("utf-32-le"), "<u4").reshape(1, n)
+        prefix, up = self._prefix(points)[0], powers(n)[0]
+        best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for a in range(0, n, CHUNK):
+            b = min(a + CHUNK, n)
+            found: list[list[tuple[int, float, int]]] = [[] for _ in range(b - a)]
+            for size in range(min(self.longest, n - a), 0, -1):  # longer pieces first: they win ties
+                starts = np.arange(a, min(b, n - size + 1))
+                key = mix((prefix[starts + size] - prefix[starts]) * up[starts] + np.uint64(size))
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == key)
+                for i, score, which in zip(hit.tolist(), self.scores[at[hit]].tolist(), self.ids[at[hit]].tolist()):
+                    found[i].append((size, score, which))
+            for i, pieces in enumerate(found, a):
+                base = best[i]
+                for size, score, which in pieces:
+                    if base + score > best[i + size]:
+                        best[i + size], back[i + size], piece[i + size] = base + score, i, which
+                if base + self.unknown > best[i + 1]:
+                    best[i + 1], back[i + 1], piece[i + 1] = base + self.unknown, i, -1
+        ids: list[int] = []
+        end = n
+        while end:
+            start = back[end]
+            ids += [piece[end]] if piece[end] >= 0 else [self.bytes_at + x for x in reversed(word[start].encode())]
+            end = start
+        return np.array(ids[::-1], "<u2").tobytes()
+
     def _learn(self, words: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w) + 1, []).append(w)
+            if len(w) > LONG:
+                self.words[w] = self.long(SPACE + w)
+            else:
+                by_length.setdefault(len(w) + 1, []).append(w)
         for length, some in by_length.items():
             step = max(BATCH_CELLS // length, 1)
             for i in range(0, len(some), step):
@@ -143,6 +179,8 @@ class Pieces:
             self._learn(missing)
             get = self.words.__getitem__
             out += [b"".join(map(get, words)) for words in split]
+            for w in (w for w in missing if len(w) > LONG):
+                del self.words[w]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -193,7 +231,9 @@ def decoded(tokens: DataFrame, model: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Encode and decode in one scan: ``(doc_id, n_tokens, ids_crc32, exact)``, the checksum being that of
-    the ids as 16-bit little-endian integers and ``exact`` whether decoding gives the text again."""
+    the ids as 16-bit little-endian integers and ``exact`` whether decoding gives the text again (it does not
+    where the text holds the space sign itself). Null texts count as empty. Null or repeated doc_ids stay;
+    empty tables give no rows; other columns are ignored."""
     model = model or vocabulary_path(MODEL)
 
     def run(batches):
@@ -202,7 +242,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
             for part in _slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 raw = pieces.encode(texts)
-                exact = [pieces.decode(np.frombuffer(x, "<u2")) == t.replace(SPACE, " ") for x, t in zip(raw, texts)]
+                exact = [pieces.decode(np.frombuffer(x, "<u2")) == t for x, t in zip(raw, texts)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 2 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "exact"])
 
     return _plain(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, exact boolean")
