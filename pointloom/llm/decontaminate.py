@@ -59,7 +59,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[Dat
         return F.transform(starts, lambda p: F.struct(F.lit(length).alias("l"), p.alias("p"), _hash(length, F.slice("words", p + 1, width)).alias("h")))
 
     mark = F.array(F.struct(F.lit(0).alias("l"), F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h")))
-    probes = rows.select("*", F.explode(F.concat(mark, *(scan(*x) for x in steps.items()))).alias("b")).select("doc_id", "th", "n_words", "words", "b.l", "b.p", "b.h")
+    # beyond the broadcast the marks stay out of the joins, where they would all have one key
+    all_scans = [scan(*x) for x in steps.items()]
+    probes = rows.select("*", F.explode(F.concat(*([mark] if small else []), *all_scans)).alias("b")).select("doc_id", "th", "n_words", "words", "b.l", "b.p", "b.h")
     table_of = blocks.unionByName(plain.sparkSession.range(1).select(F.lit(0).cast("long").alias("bh"), F.lit(0).alias("bl"))).distinct()
     step_of = F.element_at(F.create_map(*[F.lit(x) for pair in ({0: 1} | steps).items() for x in pair]), F.col("l"))
     first = F.greatest(F.col("p") - step_of + 1, F.lit(0))
@@ -77,7 +79,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[Dat
     near = near.withColumn("wid", F.when(F.col("p") < 0, F.lit(0).cast("long")).otherwise(_hash(F.col("l"), F.col("cw"))))
     near = near.join(known.withColumnRenamed("wid", "kid"), (F.col("wid") == F.col("kid")) & (F.col("cw") == F.col("w")), "left")
     out = near.filter((F.col("p") < 0) | F.col("kid").isNotNull()).select("doc_id", "th", "n_words", F.when(F.col("p") < 0, -1).otherwise(F.col("s")).alias("s"), "l", "wid")
-    return stage(out, "hits"), windows
+    return stage(out if small else out.unionByName(plain), "hits"), windows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -108,13 +110,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
-    bad = contamination(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
+    """The rows of ``docs`` that are not contaminated, all columns kept. Null and empty texts stay, repeated rows
+    and rows without an id are judged by their own text, empty tables give no rows."""
+    bad = contamination(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct().hint("shuffle_merge")
     return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(bad._d) & (F.xxhash64(docs.text.cast("string")) == bad._h), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """All rows of ``docs``; hit words go from ``text`` with the separators after them."""
+    """All rows of ``docs``; hit words go from ``text`` with the separators after them. Null texts stay null; rows
+    that repeat doc_id and text get the same text; an empty table gives no rows."""
     bad = contamination(docs, benchmark, size).filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "spans").dropDuplicates(["_d", "_h"])
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     lead = F.regexp_extract(docs.text, f"^{gap}+", 0)
