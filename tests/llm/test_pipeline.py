@@ -6,20 +6,20 @@ import corpus_pipeline
 from pointloom.llm import quality
 
 from .conftest import SF
-from .test_operators import ALNUM, LOW, brute_fingerprint, brute_quality, find
+from .test_near_copies import near
+from .test_operators import ALNUM, LOW, brute_quality, char_grams, find
 
 
 def expected(docs, bench):
     """Texts by id, stage by stage."""
-    kept = {i: t for i, t in docs.items() if brute_quality(t)[0] >= 20 and not any(rule(t.encode(), quality.measures(t.encode())) for rule in quality.RULES.values())}
-    grams = re.compile(r"(?:(?<!\S)|(?<=\S{12}))(?=(\S.{0,11}))")
+    kept = {i: t for i, t in docs.items() if brute_quality(t)[0] >= 20 and not any(rule(quality.Text(t.encode())) for rule in quality.RULES.values())}
     place = {}
     for i, t in kept.items():
         for p, x in enumerate(t.split("\n")):
             if x.strip():
                 place.setdefault(x, []).append((i, p))
     lines, posts = list(place), {}
-    sets, parent = [set(grams.findall(x)) for x in lines], list(range(len(lines)))
+    sets, parent = [char_grams(x) for x in lines], list(range(len(lines)))
     for a in range(len(lines)):
         shared = {}
         for g in sets[a]:
@@ -35,10 +35,10 @@ def expected(docs, bench):
     gone = {o for a, x in enumerate(lines) for o in place[x] if o != best[find(parent, a)]}
     kept = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in kept.items()}
     ids = sorted(kept)
-    fp, parent = [brute_fingerprint(kept[i]) for i in ids], list(range(len(ids)))
+    parent = list(range(len(ids)))
     for a in range(len(ids)):
         for b in range(a):
-            if (fp[a] ^ fp[b]).bit_count() <= 2:
+            if near(kept[ids[a]], kept[ids[b]]):
                 x, y = find(parent, a), find(parent, b)
                 parent[max(x, y)] = min(x, y)
     kept = {i: kept[i] for a, i in enumerate(ids) if find(parent, a) == a}
@@ -64,7 +64,11 @@ def test_pipeline(spark):
 
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == set(want)
-    assert all(coder.decode(np.array(got[i])) == t for i, t in want.items())
+    # the bands of line dedup find 0.985 of the pairs at a similarity of 0.8, so a line in some hundreds can stay
+    same = [coder.decode(np.array(got[i])) == t for i, t in want.items()]
+    assert sum(same) >= 0.99 * len(same)
+    for i, t in want.items():
+        assert set(t.split("\n")) <= set(coder.decode(np.array(got[i])).split("\n"))
 
 
 def test_stages_keep_the_columns(spark):
