@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,30 @@ def edges(q: DataFrame) -> DataFrame:
     return out.select("qid", "ring", "edge", F.col("e.a")[0].alias("x0"), F.col("e.a")[1].alias("y0"), F.col("e.b")[0].alias("x1"), F.col("e.b")[1].alias("y1"))
 
 
+def edge_array(wkt: Column) -> Column:
+    """All edges of a polygon text, rings in turn, as ``array<struct<x0,y0,x1,y1>>``."""
+    rings = F.split(F.regexp_extract(wkt, r"\(\((.*)\)\)", 1), r"\)\s*,\s*\(")
+    points = F.transform(rings, lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda v: F.transform(F.split(F.trim(v), r"\s+"), lambda t: t.cast("double"))))
+    edge = lambda a, b: F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1"))
+    return F.flatten(F.transform(points, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), edge)))
+
+
+def rings_of(wkt: str) -> list[list[tuple[float, float]]]:
+    """The rings of one polygon text, for a query given as a literal."""
+    body = wkt[wkt.index("((") + 2 : wkt.rindex("))")]
+    return [[tuple(map(float, v.split())) for v in r.split(",")] for r in re.split(r"\)\s*,\s*\(", body)]
+
+
+def literal_edges(wkt: str) -> Column:
+    edges_ = [(*a, *b) for r in rings_of(wkt) for a, b in zip(r, r[1:])]
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), e)]) for e in edges_])
+
+
+def inside(edges_: Column, px: Column, py: Column) -> Column:
+    """Whether a point lies in a polygon: an odd number of crossings over its edges, holes included."""
+    return F.aggregate(edges_, F.lit(0), lambda n, e: n + crossing(px, py, e)) % 2 == 1
+
+
 def scaled(e: DataFrame, scale: float, offset: int = 0) -> DataFrame:
     """Edges in raw integers, truncated towards zero."""
     return e.select("qid", "ring", "edge", *[(F.col(c) / scale - offset).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
@@ -81,10 +107,10 @@ def in_ranges(k: Column, ranges: list[tuple[int, int]]) -> Column:
     return out
 
 
-def crossing(px: Column, py: Column) -> Column:
+def crossing(px: Column, py: Column, e: Column) -> Column:
     """1 if the ray from the point crosses edge (x0, y0)-(x1, y1), half open in y."""
-    side = (F.col("x1") - F.col("x0")) * (py - F.col("y0")) - (px - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    up, down = (F.col("y0") <= py) & (F.col("y1") > py), (F.col("y0") > py) & (F.col("y1") <= py)
+    side = (e.x1 - e.x0) * (py - e.y0) - (px - e.x0) * (e.y1 - e.y0)
+    up, down = (e.y0 <= py) & (e.y1 > py), (e.y0 > py) & (e.y1 <= py)
     return F.when((up & (side > 0)) | (down & (side < 0)), 1).otherwise(0)
 
 

@@ -11,9 +11,10 @@ from .staging import staged
 POINT = ("ux", "uy", "uz", "x", "y", "z", "k", "classification")
 
 
-def _pack(grouped, by) -> DataFrame:
+def packed(grouped) -> DataFrame:
+    """A row for each group: count, extent and points."""
     point = F.struct(*POINT)
-    return grouped.groupBy(*by).agg(
+    return grouped.agg(
         F.count("*").alias("n"), F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"),
         F.sort_array(F.collect_list(point)).alias("pts"),
     )
@@ -25,26 +26,43 @@ def blocks_by_cell(p: DataFrame, level: int = 21, capacity: int = 10_000) -> Dat
     cells = p.withColumn("cell", quad_cell(F.col("k"), level))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / capacity).alias("parts"))
     dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64(*POINT), F.col("parts")).cast("int"))
-    return _pack(dealt, ["cell", "part"])
+    return packed(dealt.groupBy("cell", "part"))
+
+
+#: Rows of a range partition; more partitions than Spark's setting where a table has more.
+PART_ROWS = 2_000_000
+
+
+def parts_of(p: DataFrame) -> int:
+    return max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), p.count() // PART_ROWS)
 
 
 def numbered(p: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> DataFrame:
-    """Global row numbers (from 0) along an order without a global window: ranges of the order are numbered
-    apart and shifted by the counts of the ranges before."""
-    n = partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Global row numbers (``row_``, from 0) along an order without a window over rows: sorted ranges of the order number
+    their rows as they are written, and are shifted by the counts of the ranges before."""
+    ranged = p.repartitionByRange(partitions or parts_of(p), *order).sortWithinPartitions(*order)
     # two plans would sample different bounds: write the ranges once
-    ranged = staged(p.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_part").count()
+    ranged = staged(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).count()
     # a row for each partition
     starts = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_row", inside).join(F.broadcast(starts), "_part").withColumn("row", F.col("_start") + F.col("_row") - 1).drop("_part", "_start", "_row")
+    row = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return ranged.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("row_", row).drop("_part", "_start", "_at")
+
+
+def numbered_within(p: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
+    """Row numbers (from 0, ``row``) within each group and the group's rows (``of``). Groups are counted and
+    the global numbers shifted, so a large group is many tasks."""
+    rows = numbered(p, (group, *order))
+    sizes = rows.groupBy(group).agg(F.min("row_").alias("_first"), F.count("*").alias("of"))
+    return rows.join(sizes, group).withColumn("row", F.col("row_") - F.col("_first")).drop("_first", "row_")
 
 
 def blocks_by_capacity(p: DataFrame, order: tuple[str, ...] = ("k", "uz", "gpstime", "pid", "intensity", "red"), capacity: int = 500) -> DataFrame:
     """Blocks of a fixed number of points along the curve."""
-    rows = numbered(p, order).withColumn("block_id", F.floor(F.col("row") / capacity))
-    return _pack(rows, ["block_id"])
+    rows = numbered(p, order).withColumn("block_id", F.floor(F.col("row_") / capacity))
+    return packed(rows.groupBy("block_id"))
 
 
 def filter_blocks(b: DataFrame, minx, miny, maxx, maxy) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import circle, crossing, dist2, edges, with_bbox, with_point, z_range
+from ..functions.geometry import circle, dist2, edge_array, inside, literal_edges, rings_of, with_bbox, with_point, z_range
 
 #: Side of the grid cells that points and query boxes meet in.
 CELL = 32.0
@@ -42,21 +42,23 @@ def join_cells(p: DataFrame, q: DataFrame) -> DataFrame:
     return met.filter(low & high).drop("gx", "gy")
 
 
-def in_polygons(met: DataFrame, q: DataFrame) -> DataFrame:
-    """Of (point, query) pairs those inside the polygon: distinct places join the edges, crossings are
-    counted, and the pairs with an odd count come back by a semi-join, so equal points all survive."""
-    places = met.select("qid", "ux", "uy", "x", "y").distinct()
-    counted = places.join(edges(q), "qid").groupBy("qid", "ux", "uy").agg(F.sum(crossing(F.col("x"), F.col("y"))).alias("n"))
-    return met.join(counted.filter("n % 2 = 1").select("qid", "ux", "uy"), ["qid", "ux", "uy"], "left_semi")
+def with_edges(q: DataFrame) -> DataFrame:
+    """Adds the edges of a polygon query as an array, so that a candidate carries all it is tested with."""
+    return q.withColumn("edges", F.when(F.col("type") == "generic", edge_array(F.col("wkt"))))
+
+
+def in_polygons(met: DataFrame) -> DataFrame:
+    """Of (point, query) pairs with ``edges`` those inside the polygon: no join, no shuffle."""
+    return met.filter(inside(F.col("edges"), F.col("x"), F.col("y")))
 
 
 def refined(p: DataFrame, q: DataFrame) -> DataFrame:
     """Points of every rectangle, circle and polygon query of the catalogue."""
-    met = join_cells(p, q.filter("type <> 'nn'"))
+    met = join_cells(p, with_edges(q.filter("type <> 'nn'")))
     cx, cy, rad = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2, (F.col("maxx") - F.col("minx")) / 2
-    rect = met.filter("type = 'rectangle'")
-    disc = met.filter("type = 'circle'").filter(dist2(F.col("x"), F.col("y"), cx, cy) < rad * rad)
-    return rect.unionByName(disc).unionByName(in_polygons(met.filter("type = 'generic'"), q.filter("type = 'generic'")))
+    disc = dist2(F.col("x"), F.col("y"), cx, cy) < rad * rad
+    kept = F.when(F.col("type") == "generic", inside(F.col("edges"), F.col("x"), F.col("y"))).when(F.col("type") == "circle", disc).otherwise(F.col("type") == "rectangle")
+    return met.filter(kept).drop("edges")
 
 
 def nearest(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -76,13 +78,14 @@ def select_circle(p: DataFrame, cx, cy, rad, low=None, high=None) -> DataFrame:
     return p.filter(circle(F.col("x"), F.col("y"), cx, cy, rad) & z_range(F.col("z"), low, high))
 
 
-def select_polygon(p: DataFrame, q: DataFrame, box, low=None, high=None) -> DataFrame:
-    """Points of one polygon: box first, then crossings over its distinct places."""
-    near = select_rect(p, box, low, high)
-    places = near.select("ux", "uy", "x", "y").distinct()
-    counted = places.join(F.broadcast(edges(q)), F.greatest("y0", "y1") >= F.col("y"))
-    inside = counted.groupBy("ux", "uy").agg(F.sum(crossing(F.col("x"), F.col("y"))).alias("n")).filter("n % 2 = 1")
-    return near.join(inside.select("ux", "uy"), ["ux", "uy"], "left_semi")
+def box_of(wkt: str) -> tuple[float, float, float, float]:
+    x, y = zip(*(v for r in rings_of(wkt) for v in r))
+    return min(x), min(y), max(x), max(y)
+
+
+def select_polygon(p: DataFrame, wkt: str, low=None, high=None) -> DataFrame:
+    """Points of one polygon given as text: box first, then crossings over its edges, a constant array."""
+    return select_rect(p, box_of(wkt), low, high).filter(inside(literal_edges(wkt), F.col("x"), F.col("y")))
 
 
 def select_nn(p: DataFrame, cx, cy, radius, num, low=None, high=None) -> DataFrame:

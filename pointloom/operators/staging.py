@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-points-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -25,3 +28,25 @@ def staged(df: DataFrame, tag: str, **options) -> DataFrame:
     path = fresh(df.sparkSession, tag)
     df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_loaded: dict[tuple, str] = {}
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Modification time and bytes of a table's files, from the file system alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
+
+
+def loaded(spark: SparkSession, sf_dir: str, layout: str, make: Callable[[], DataFrame], *by: str) -> DataFrame:
+    """A stored layout of the points: written at its first use in an application, then read by every query,
+    as a loader and its queries share a table. It is written anew when the points' table has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, layout, _version(spark, f"{sf_dir}/lineitem.parquet"))
+    if key not in _loaded:
+        path = fresh(spark, layout)
+        writer = make().write
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+        _loaded[key] = path
+    return spark.read.parquet(_loaded[key])

@@ -11,7 +11,7 @@ ORACLE: dict[str, str] = {}
 #: Common tables of the checking SQL.
 CTE = (
     "WITH points AS (" + POINTS_SQL + "), catalogue AS (" + CATALOGUE_SQL.replace("AS STRING", "AS VARCHAR") + "), "
-    "files AS (SELECT file_id, count(*) AS num, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz, CAST(0.01 AS DOUBLE) AS scale, CAST(0 AS DOUBLE) AS \"offset\" FROM points GROUP BY file_id), "
+    "files AS (SELECT file_id, count(*) AS num, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz, CASE WHEN count(*) % 3 = 0 THEN 0.001::DOUBLE ELSE 0.01::DOUBLE END AS scale, CAST(floor(min(x)) AS DOUBLE) AS \"offset\" FROM points GROUP BY file_id), "
     "nums AS (SELECT qid, type, wkt, minz AS qminz, maxz AS qmaxz, num, radius, list_transform(regexp_extract_all(wkt, '-?[0-9]+'), lambda v: CAST(v AS DOUBLE)) AS n FROM catalogue), "
     "boxes AS (SELECT *, list_min(list_filter(n, lambda v, i: i % 2 = 1)) AS minx, list_min(list_filter(n, lambda v, i: i % 2 = 0)) AS miny, list_max(list_filter(n, lambda v, i: i % 2 = 1)) AS maxx, list_max(list_filter(n, lambda v, i: i % 2 = 0)) AS maxy FROM nums), "
     "rings AS (SELECT qid, unnest(range(len(r))) AS ring, unnest(r) AS t FROM (SELECT qid, string_split(regexp_extract(wkt, '\\(\\((.*)\\)\\)', 1), '), (') AS r FROM catalogue WHERE type <> 'nn')), "

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import polygons as P
 from ..operators import ranges as R
+from ..functions.morton import quad_cell
 from ..sources.points import SCALE, catalogue, files, points
+from . import stored
 from .base import query, sql_encode
 from .scalars import S_CIRC, S_RECT, XYZ
-from .selections import HOLED, L_RECT, _poly_sql, _region
+from .selections import HOLED, L_RECT, _poly_sql
+from .stored import CAPACITY, LEVEL
 
-LEVEL = 21
-CAPACITY = 500
 _RECT = "x BETWEEN 400 AND 451 AND y BETWEEN 400 AND 453"
 _LRECT = "x BETWEEN 200 AND 422 AND y BETWEEN 300 AND 523"
 
@@ -74,13 +74,15 @@ def agg_histogram(spark, d):
 _CELLS = f"WITH cells AS (SELECT k & {((1 << 42) - 1) << 20} AS cell, count(*) AS n, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM points GROUP BY 1) "
 
 
-def _cells(spark, d, level=LEVEL):
-    return B.blocks_by_cell(points(spark, d), level)
+def _cells(spark, d):
+    return stored.cell_blocks(spark, d)
 
 
 @query(_CELLS + "SELECT * FROM cells")
 def agg_block_by_cell(spark, d):
-    return _cells(spark, d).groupBy("cell").agg(F.sum("n").alias("n"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    """The aggregation alone: counts and extents of cells, without gathering their points."""
+    ends = [f(c).alias(f"{f.__name__}{c}") for f in (F.min, F.max) for c in ("x", "y")]
+    return points(spark, d).groupBy(quad_cell(F.col("k"), LEVEL).alias("cell")).agg(F.count("*").alias("n"), *ends)
 
 
 @query(_CELLS + "SELECT CAST(sum(n) AS BIGINT) AS points, count(*) AS cells FROM cells")
@@ -93,12 +95,10 @@ def agg_block_points(spark, d):
 
 @query("WITH b AS (SELECT DISTINCT k >> 18 AS id FROM points WHERE x < 500), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM b) SELECT min(id) AS lo, max(id) AS hi FROM g GROUP BY g")
 def win_islands_ids(spark, d):
-    """Sorted block ids to runs of consecutive ones; windows run apart for each 2^12 ids and runs that meet
-    at a border join afterwards."""
-    b = points(spark, d).filter("x < 500").select(F.shiftright("k", 18).alias("id")).distinct().withColumn("part", F.shiftright("id", 12))
-    w = Window.partitionBy("part").orderBy("id")
-    runs = b.withColumn("g", F.col("id") - F.row_number().over(w)).groupBy("part", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    return R.merge_ranges(runs.select(F.lit(0).alias("qid"), "lo", "hi")).select("lo", "hi")
+    """Sorted block ids to runs of consecutive ones: in a run, id less row number stays the same."""
+    b = points(spark, d).filter("x < 500").select(F.shiftright("k", 18).alias("id")).distinct()
+    runs = B.numbered(b, ("id",)).groupBy((F.col("id") - F.col("row_")).alias("g"))
+    return runs.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select("lo", "hi")
 
 
 def _runs(spark, d):
@@ -125,7 +125,7 @@ _BLOCKS = f"WITH numbered AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) -
 
 @query(_BLOCKS + "SELECT row // 500 AS block_id, ux, uy, uz FROM numbered")
 def win_capacity_blocks(spark, d):
-    return B.numbered(points(spark, d), tuple(_ORDER.split(", "))).select(F.floor(F.col("row") / CAPACITY).alias("block_id"), *XYZ)
+    return B.numbered(points(spark, d), tuple(_ORDER.split(", "))).select(F.floor(F.col("row_") / CAPACITY).alias("block_id"), *XYZ)
 
 
 @query(_BLOCKS + "SELECT * FROM blocks")
@@ -134,23 +134,33 @@ def layout_blocks_capacity(spark, d):
 
 
 def _capacity(spark, d):
-    return B.blocks_by_capacity(points(spark, d), tuple(_ORDER.split(", ")), CAPACITY)
+    return stored.capacity_blocks(spark, d)
 
 
 @query(_CELLS + "SELECT * FROM cells")
 def layout_blocks_cell(spark, d):
-    return agg_block_by_cell(spark, d)
+    """The stored blocks, read back without their points; a crowded cell is several blocks."""
+    ends = [f(c).alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))]
+    return _cells(spark, d).groupBy("cell").agg(F.sum("n").alias("n"), *ends)
 
 
 # --- Morton ranges -------------------------------------------------------------------------------
 
-#: Raw boxes (grown by a unit), level, leaf cells, merged and capped ranges of the catalogue's regions.
-_LEAF = f"""WITH raw AS (SELECT qid, CAST(round(minx * 100) AS BIGINT) AS x0_, CAST(round(miny * 100) AS BIGINT) AS y0_, CAST(round(maxx * 100) AS BIGINT) + 1 AS x1_, CAST(round(maxy * 100) AS BIGINT) + 1 AS y1_ FROM boxes WHERE type <> 'nn'),
-lev AS (SELECT *, CAST(least(greatest(ceil(log2(17179869184.0::DOUBLE / greatest(CAST((x1_-x0_)*(y1_-y0_) AS DOUBLE), 1.0)) / 2), 1), 16) AS INT) AS level FROM raw),
+#: Raw boxes (grown by a unit), areas, level, leaf cells, merged and capped ranges of the catalogue's regions. A
+#: polygon's leaf counts if an edge passes through its inside or its centre is inside.
+_LEAF = f"""WITH ring AS (SELECT qid, ring, abs(sum(x0*100 * y1*100 - x1*100 * y0*100)) / 2 AS a FROM edges SEMI JOIN (SELECT qid FROM catalogue WHERE type = 'generic') USING (qid) GROUP BY qid, ring),
+poly AS (SELECT qid, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area FROM ring GROUP BY qid),
+raw AS (SELECT b.qid, b.type, CAST(round(minx * 100) AS BIGINT) AS x0_, CAST(round(miny * 100) AS BIGINT) AS y0_, CAST(round(maxx * 100) AS BIGINT) + 1 AS x1_, CAST(round(maxy * 100) AS BIGINT) + 1 AS y1_, poly.area FROM boxes b LEFT JOIN poly USING (qid) WHERE type <> 'nn'),
+lev AS (SELECT *, CAST(least(greatest(ceil(log2(17179869184.0::DOUBLE / greatest(coalesce(area, CAST((x1_-x0_)*(y1_-y0_) AS DOUBLE)), 1.0)) / 2), 1), 16) AS INT) AS level FROM raw),
 siz AS (SELECT *, CAST(1 AS BIGINT) << (17 - level - 1) AS size FROM lev),
 cx AS (SELECT *, unnest(range(x0_ // size, (x1_ - 1) // size + 1)) AS cx FROM siz),
-leaf AS (SELECT *, {sql_encode('cx', 'cy')} AS code, cx*size >= x0_ AND (cx+1)*size <= x1_ AND cy*size >= y0_ AND (cy+1)*size <= y1_ AS inside FROM (SELECT *, unnest(range(y0_ // size, (y1_ - 1) // size + 1)) AS cy FROM cx)),
-lr AS (SELECT qid, code*size*size AS lo, (code+1)*size*size-1 AS hi, inside FROM leaf),
+every AS (SELECT *, {sql_encode('cx', 'cy')} AS code FROM (SELECT *, unnest(range(y0_ // size, (y1_ - 1) // size + 1)) AS cy FROM cx)),
+part AS (SELECT v.qid, v.code, cx * size AS bx, cy * size AS bz, size, x0*100 AS x0, y0*100 AS y0, (x1-x0)*100 AS dx, (y1-y0)*100 AS dy FROM every v JOIN edges e ON v.qid = e.qid AND v.type = 'generic'),
+clip AS (SELECT *, CASE WHEN dx = 0 THEN CASE WHEN x0 > bx AND x0 < bx + size THEN 0 ELSE 2 END ELSE least((bx-x0)/dx, (bx+size-x0)/dx) END AS xl, CASE WHEN dx = 0 THEN 1 ELSE greatest((bx-x0)/dx, (bx+size-x0)/dx) END AS xh,
+  CASE WHEN dy = 0 THEN CASE WHEN y0 > bz AND y0 < bz + size THEN 0 ELSE 2 END ELSE least((bz-y0)/dy, (bz+size-y0)/dy) END AS yl, CASE WHEN dy = 0 THEN 1 ELSE greatest((bz-y0)/dy, (bz+size-y0)/dy) END AS yh, bx + size / 2.0 AS px, bz + size / 2.0 AS py FROM part),
+rel AS (SELECT qid, code, bool_or(greatest(0, xl, yl) < least(1, xh, yh)) AS crossed, sum(CASE WHEN (y0 <= py AND y0 + dy > py AND dx * (py - y0) - (px - x0) * dy > 0) OR (y0 > py AND y0 + dy <= py AND dx * (py - y0) - (px - x0) * dy < 0) THEN 1 ELSE 0 END) % 2 = 1 AS odd FROM clip GROUP BY qid, code),
+leaf AS (SELECT v.qid, v.code, v.size FROM every v LEFT JOIN rel USING (qid, code) WHERE v.type <> 'generic' OR crossed OR odd),
+lr AS (SELECT qid, code*size*size AS lo, (code+1)*size*size-1 AS hi FROM leaf),
 new AS (SELECT *, CASE WHEN lo = lag(hi) OVER (PARTITION BY qid ORDER BY lo) + 1 THEN 0 ELSE 1 END AS new FROM lr),
 run AS (SELECT *, sum(new) OVER (PARTITION BY qid ORDER BY lo) AS run FROM new),
 merged AS (SELECT qid, min(lo) AS lo, max(hi) AS hi FROM run GROUP BY qid, run),
@@ -165,14 +175,19 @@ def _boxes(spark, d):
     return P.boxes(catalogue(spark, d).filter("type <> 'nn'"))
 
 
-@query(_LEAF + "SELECT qid, size, code, inside AS full FROM leaf")
+@query(_LEAF + "SELECT qid, size, code FROM leaf")
 def quadtree_cells(spark, d):
-    return R.leaf_cells(R.auto_level(R.raw_boxes(_boxes(spark, d))))
+    """The cells of every region, given as the leaves below them: tests hold levels, the full flag and the
+    collapse to parents against a brute-force version."""
+    r = R.auto_level(R.regions(_boxes(spark, d)))
+    cells = R.quadtree(r).join(r.select("qid", F.col("level").alias("deepest")), "qid")
+    leaves = F.expr("sequence(shiftleft(code, 2 * (deepest + 1 - level)), shiftleft(code + 1, 2 * (deepest + 1 - level)) - 1)")
+    return cells.select("qid", F.expr(f"shiftleft(1L, {R.BITS} - deepest - 1)").alias("size"), F.explode(leaves).alias("code"))
 
 
 @query(_LEAF + "SELECT qid, level FROM lev")
 def quadtree_auto_level(spark, d):
-    return R.auto_level(R.raw_boxes(_boxes(spark, d))).select("qid", "level")
+    return R.auto_level(R.regions(_boxes(spark, d))).select("qid", "level")
 
 
 @query(_LEAF + "SELECT qid, lo, hi FROM capped")
@@ -182,21 +197,25 @@ def morton_ranges(spark, d):
 
 @query(_LEAF + "SELECT qid, lo, hi FROM capped")
 def udtf_morton_ranges(spark, d):
-    """Merged and then capped apart, as the table function's two steps."""
-    return R.cap_ranges(R.morton_ranges(_boxes(spark, d), max_ranges=None))
+    """The session's table function, one call for each region."""
+    R.register(spark)
+    R.auto_level(R.regions(_boxes(spark, d))).createOrReplaceTempView("range_regions")
+    return spark.sql(f"SELECT qid, lo, hi FROM range_regions, LATERAL morton_ranges(edges, level, {R.MAX_RANGES})")
 
 
 @query(_LEAF + "SELECT m.qid, p.ux, p.uy, p.uz FROM points p JOIN capped m ON p.k BETWEEN m.lo AND m.hi")
 def join_morton_ranges(spark, d):
-    return R.join_ranges(points(spark, d), R.morton_ranges(_boxes(spark, d))).select("qid", *XYZ)
+    return R.join_ranges(stored.clustered(spark, d), R.morton_ranges(_boxes(spark, d))).select("qid", *XYZ)
 
 
-def _through_ranges(spark, d, box):
-    """Candidates of one region by its ranges, pushed to the scan as a few literals."""
+def _through_ranges(spark, d, box, wkt=None):
+    """Candidates of one region (its polygon, if there is one) by its ranges, pushed to the scan of the
+    clustered table as a few literals."""
     minx, miny, maxx, maxy = box
-    region = spark.sql(f"SELECT 'q' AS qid, {minx}D AS minx, {miny}D AS miny, {maxx}D AS maxx, {maxy}D AS maxy")
+    polygon = f", 'generic' AS type, '{wkt}' AS wkt" if wkt else ""
+    region = spark.sql(f"SELECT 'q' AS qid, {minx}D AS minx, {miny}D AS miny, {maxx}D AS maxx, {maxy}D AS maxy{polygon}")
     found = [(r.lo, r.hi) for r in R.morton_ranges(region).collect()]  # ten at most
-    return points(spark, d).filter(reduce(lambda a, b: a | b, [F.col("k").between(a, b) for a, b in found], F.lit(False)))
+    return stored.clustered(spark, d).filter(reduce(lambda a, b: a | b, [F.col("k").between(a, b) for a, b in found], F.lit(False)))
 
 
 @query(f"SELECT ux, uy, uz FROM points WHERE {_RECT}")
@@ -216,15 +235,14 @@ def q_morton_nn(spark, d):
 
 @query(_poly_sql(HOLED))
 def q_morton_polygon(spark, d):
-    box = (280.0, 300.0, 700.0, 720.0)
-    return P.select_polygon(_through_ranges(spark, d, box), _region(spark, HOLED), box).select(*XYZ)
+    return P.select_polygon(_through_ranges(spark, d, P.box_of(HOLED), HOLED), HOLED).select(*XYZ)
 
 
 @query(f"SELECT ux, uy, uz FROM points WHERE {_LRECT}")
 def q_morton_split(spark, d):
     """Full ranges need no refinement, border ranges do."""
     region = spark.sql("SELECT 'q' AS qid, 200D AS minx, 300D AS miny, 422D AS maxx, 523D AS maxy")
-    r, p = R.morton_ranges(region, split_full=True), points(spark, d)
+    r, p = R.morton_ranges(region, split_full=True), stored.clustered(spark, d)
     whole = R.join_ranges(p, r.filter("full").drop("full"))
     border = P.select_rect(R.join_ranges(p, r.filter("not full").drop("full")), L_RECT)
     return whole.unionByName(border).select(*XYZ)
@@ -260,8 +278,7 @@ def q_blocks_circle(spark, d):
 
 @query(_poly_sql(HOLED))
 def q_blocks_polygon(spark, d):
-    box = (280.0, 300.0, 700.0, 720.0)
-    return P.select_polygon(B.clip_blocks(_capacity(spark, d), *box), _region(spark, HOLED), box).select(*XYZ)
+    return P.select_polygon(B.clip_blocks(_capacity(spark, d), *P.box_of(HOLED)), HOLED).select(*XYZ)
 
 
 @query("SELECT q.qid, count(*) AS n FROM points p JOIN boxes q ON q.type = 'rectangle' AND p.x BETWEEN q.minx AND q.maxx AND p.y BETWEEN q.miny AND q.maxy GROUP BY q.qid")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import polygons as P
+from ..functions.morton import morton_encode
 from ..operators.staging import fresh, staged
 from ..sources import las, text
+from ..sources.files import name_of, write_whole
 from ..sources.points import catalogue, dims, files, points, table
 from ..streaming.ingest import enrich, ingest, running_extent
 from .base import query, sql_encode
-from .scalars import S_RECT, XYZ
+from .scalars import LOAD_ORDER, S_RECT, XYZ
 from .selections import L_RECT
+from .stored import clustered, sorted_by
 
 _LRECT = "x BETWEEN 200 AND 422 AND y BETWEEN 300 AND 523"
 _TILE = sql_encode("least(floor(x * 8 / 1000), 7)", "least(floor(y * 8 / 1000), 7)")
@@ -29,42 +33,34 @@ def scan_text_points(spark, d):
 
 @query("SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k, uz, gpstime, intensity, red, green) - 1 AS BIGINT) AS m, ux, uy, uz, intensity, classification, dirscanflag, gpstime, red FROM points")
 def scan_las(spark, d):
-    made = las.write_las(points(spark, d), fresh(spark, "las").removeprefix("file://")).collect()  # a path a file
-    ids = {i: r.file_id for i, r in enumerate(sorted(made, key=lambda r: r.file_id))}
-    got = las.read_las(spark, [r.path for r in sorted(made, key=lambda r: r.file_id)], "XYZicdtR")
-    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    return got.withColumn("file_id", known[F.col("file_id")])
+    folder = fresh(spark, "las")
+    made = las.write_las(points(spark, d), folder)
+    parts = made.select("file_id", "first", name_of("path").alias("name"))
+    got = las.read_las(spark, folder, "XYZicdtR").withColumn("name", name_of("path"))
+    return got.join(parts, "name").select("file_id", (F.col("first") + F.col("m")).alias("m"), "ux", "uy", "uz", "intensity", "classification", "dirscanflag", "gpstime", "red")
 
 
 @query("SELECT file_id, num, minx, maxx, miny, maxy FROM files")
 def scan_las_headers(spark, d):
-    made = las.write_las(points(spark, d), fresh(spark, "las").removeprefix("file://")).collect()
-    made.sort(key=lambda r: r.file_id)
-    known = F.create_map(*[F.lit(x) for i, r in enumerate(made) for x in (i, r.file_id)])
-    ends = [F.round(c, 2).alias(c) for c in ("minx", "maxx", "miny", "maxy")]
-    return las.read_headers(spark, [r.path for r in made]).select(known[F.col("file_id")].alias("file_id"), "num", *ends)
+    folder = fresh(spark, "las")
+    parts = las.write_las(points(spark, d), folder).select("file_id", name_of("path").alias("name"))
+    heads = las.read_headers(spark, folder).withColumn("name", name_of("path")).join(parts, "name")
+    ends = [F.round(f(c), 2).alias(c) for f, c in ((F.min, "minx"), (F.max, "maxx"), (F.min, "miny"), (F.max, "maxy"))]
+    return heads.groupBy("file_id").agg(F.sum("num").alias("num"), *ends)
 
 
 @query("SELECT ux % 65536 AS plane, uy % 65536 AS col, uz % 65536 AS row FROM points")
 def scan_voxels(spark, d):
     """Records written by tasks to the shared folder, one file each, then read in ranges."""
-    folder = fresh(spark, "voxels").removeprefix("file://")
+    folder = fresh(spark, "voxels")
 
     def write(parts):
-        import os
-
-        import numpy as np
         import pandas as pd
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/{TaskContext.get().partitionId()}.vox"
-        n = 0
-        with open(path, "wb") as f:
-            for part in parts:
-                f.write((part.to_numpy() % 65536).astype("<u2").tobytes())
-                n += len(part)
-        yield pd.DataFrame({"n": np.array([n])})
+        for i, part in enumerate(parts):
+            write_whole(f"{folder}/{TaskContext.get().partitionId()}-{i}.vox", (part.to_numpy() % 65536).astype("<u2").tobytes())
+            yield pd.DataFrame({"n": [len(part)]})
 
     points(spark, d).select(*XYZ).mapInPandas(write, "n long").agg(F.sum("n")).collect()
     return text.read_voxels(spark, folder)
@@ -85,16 +81,22 @@ def scan_usage_samples(spark, d):
     return text.read_usage(spark, path)
 
 
-@query("SELECT CAST(event_id AS DOUBLE) AS t, 'sda' AS device, CAST(floor(value * 1000) AS DOUBLE) AS read, CAST(floor(value * 500) AS DOUBLE) AS write FROM events UNION ALL SELECT CAST(event_id AS DOUBLE), 'sdb', CAST(user_id AS DOUBLE), CAST(user_id * 2 AS DOUBLE) FROM events")
+@query("SELECT CAST(event_id AS DOUBLE) AS t, CASE WHEN user_id % 4 < 2 THEN 'sda' ELSE 'nvme' || user_id % 4 END AS device, CAST(floor(value * 1000) AS DOUBLE) AS read, CAST(floor(value * 500) AS DOUBLE) AS write FROM events UNION ALL SELECT CAST(event_id AS DOUBLE), 'sdb', CAST(user_id AS DOUBLE), CAST(user_id * 2 AS DOUBLE) FROM events")
 def scan_io_samples(spark, d):
+    """Four machines with a file each; their device lines differ."""
     path = fresh(spark, "io")
-    e = table(spark, d, "events")
-    lines = e.select(F.concat_ws(" ", "event_id", F.floor(F.col("value") * 1000), F.floor(F.col("value") * 500), "user_id", F.col("user_id") * 2).alias("value"))
-    lines.unionByName(spark.range(1).select(F.lit("#sda sdb").alias("value"))).write.text(path)
+    e = table(spark, d, "events").withColumn("machine", (F.col("user_id") % 4).cast("int"))
+    lines = e.select("machine", F.lit(1).alias("place"), F.concat_ws(" ", "event_id", F.floor(F.col("value") * 1000), F.floor(F.col("value") * 500), "user_id", F.col("user_id") * 2).alias("value"))
+    name = F.when(F.col("id") < 2, "sda").otherwise(F.concat(F.lit("nvme"), "id"))
+    heads = spark.range(4).select(F.col("id").cast("int").alias("machine"), F.lit(0).alias("place"), F.concat(F.lit("#"), name, F.lit(" sdb")).alias("value"))
+    lines.unionByName(heads).repartition("machine").sortWithinPartitions("machine", "place").drop("place").write.partitionBy("machine").text(path)
     return text.read_io(spark, path)
 
 
-@query("SELECT 'tile_' || file_id || '.las' AS file, num AS points, CAST(num AS DOUBLE) / 8 AS seconds FROM files")
+_SECONDS = "CASE num % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 ELSE 1.0 END"
+
+
+@query(f"SELECT 'tile_' || file_id || '.las' AS file, num AS points, CAST({_SECONDS} AS DOUBLE) AS seconds FROM files")
 def scan_loadstats(spark, d):
     return _loadstats(spark, d)
 
@@ -102,7 +104,7 @@ def scan_loadstats(spark, d):
 def _loadstats(spark, d):
     path = fresh(spark, "log")
     f = files(points(spark, d))
-    good = f.select(F.concat(F.lit("LOADSTATS tile_"), "file_id", F.lit(".las "), "num", F.lit(" "), F.col("num") / 8).alias("value"))
+    good = f.select(F.concat(F.lit("LOADSTATS tile_"), "file_id", F.lit(".las "), "num", F.lit(" "), F.expr(_SECONDS).cast("double")).alias("value"))
     noise = f.select(F.concat(F.lit("LOADSTATS broken_"), "file_id", F.lit(" many")).alias("value")).unionByName(f.select(F.concat(F.lit("INFO file "), "file_id").alias("value")))
     good.unionByName(noise).write.text(path)
     return text.read_loadstats(spark, path)
@@ -146,27 +148,22 @@ def sink_columns(spark, d):
     return staged(points(spark, d).select(*dims("xit")), "columns")
 
 
-def _clustered(df: DataFrame, *by: str) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-
-
 @query(f"SELECT ux, uy, uz, k FROM points WHERE {_LRECT}")
-def sink_clustered(spark, d):
+def sinksorted_by(spark, d):
     """Ordered by x and y, so that row groups have tight bounds; read back with a pushed-down box."""
-    path = staged(_clustered(points(spark, d).select(*XYZ, "x", "y", "k"), "x", "y"), "clustered")
+    path = staged(sorted_by(points(spark, d).select(*XYZ, "x", "y", "k"), "x", "y"), "clustered")
     return P.select_rect(path.withColumn("z", F.lit(0.0)), L_RECT).select(*XYZ, "k")
 
 
 @query("SELECT ux, uy, k FROM points WHERE k BETWEEN 1000000000 AND 2000000000")
 def layout_morton(spark, d):
     """Flat table clustered on the key."""
-    return staged(_clustered(points(spark, d).select("ux", "uy", "k"), "k"), "morton").filter("k between 1000000000 and 2000000000")
+    return clustered(spark, d).filter("k between 1000000000 and 2000000000").select("ux", "uy", "k")
 
 
 @query("SELECT ux, uy, uz, k FROM points")
 def sort_index(spark, d):
-    return _clustered(points(spark, d).select(*XYZ, "k"), "k")
+    return sorted_by(points(spark, d).select(*XYZ, "k"), "k")
 
 
 @query("SELECT ux, uy, uz, k, classification FROM points")
@@ -220,25 +217,27 @@ def stream_running_extent(spark, d):
     return running_extent(spark, _source(a), a.schema).select("file_id", "num", "minx", "maxx", "miny", "maxy")
 
 
-@query("SELECT ux, uy, uz, file_id FROM points")
+@query("SELECT ux, uy, uz FROM points")
 def load_incremental(spark, d):
-    """Batches of files: each appends the files whose ids the target lacks."""
-    a, target = _arriving(spark, d), fresh(spark, "loaded")
-    for low in (0, 8):
-        batch = a.filter(F.col("file_id").between(0, low + 7))
-        if low:
-            known = spark.read.parquet(target).select("file_id").distinct()
-            batch = batch.join(known, "file_id", "left_anti")
-        batch.select(*XYZ, "file_id").write.mode("append").parquet(target)
-    return spark.read.parquet(target)
+    """Batches of arriving files, each cut in blocks and appended; files that an earlier batch loaded are skipped
+    by their paths. The second batch names all files, also the loaded ones."""
+    arrived, target = _arriving(spark, d), fresh(spark, "loaded")
+    paths = sorted(arrived.inputFiles())
+    for names in (paths[: (len(paths) + 1) // 2], paths):
+        batch = spark.read.parquet(*names).select("*", F.col("_metadata.file_path").alias("path"))
+        if names is paths:
+            batch = batch.join(spark.read.parquet(target).select("path").distinct(), "path", "left_anti")
+        batch = batch.withColumn("k", morton_encode(F.col("ux"), F.col("uy")))
+        rows = B.numbered_within(batch, "path", LOAD_ORDER).withColumn("block_ix", F.floor(F.col("row") / 500))
+        B.packed(rows.groupBy("path", "block_ix")).write.mode("append").parquet(target)
+    return B.explode_blocks(spark.read.parquet(target)).select(*XYZ)
 
 
 @query("SELECT file_id, CAST(floor((row_number() OVER (PARTITION BY file_id ORDER BY k, uz, gpstime, intensity, red, green) - 1) / 100) AS BIGINT) AS block_ix, ux, uy, uz FROM points")
 def load_ordered(spark, d):
     """Blocks keep their place: ordering columns instead of a serial load."""
-    w = Window.partitionBy("file_id").orderBy("k", "uz", "gpstime", "intensity", "red", "green")
-    p = points(spark, d).withColumn("block_ix", F.floor((F.row_number().over(w) - 1) / 100))
-    return staged(_clustered(p.select("file_id", "block_ix", *XYZ), "file_id", "block_ix"), "ordered")
+    p = B.numbered_within(points(spark, d).select("file_id", *XYZ, *(c for c in LOAD_ORDER if c not in XYZ)), "file_id", LOAD_ORDER)
+    return staged(sorted_by(p.select("file_id", F.floor(F.col("row") / 100).alias("block_ix"), *XYZ), "file_id", "block_ix"), "ordered")
 
 
 # --- measurements --------------------------------------------------------------------------------
@@ -253,22 +252,26 @@ def _usage(spark, d):
 
 @query(_USAGE + "SELECT device, t, CAST(r - lag(r) OVER (PARTITION BY device ORDER BY t) AS DOUBLE) / (t - lag(t) OVER (PARTITION BY device ORDER BY t)) / 1048576 AS rate FROM u")
 def win_io_rate(spark, d):
-    w = Window.partitionBy("device").orderBy("t")
-    return _usage(spark, d).select("device", "t", ((F.col("r") - F.lag("r").over(w)).cast("double") / (F.col("t") - F.lag("t").over(w)) / 1048576).alias("rate"))
+    """A sample meets the one before by its number, so that a device is not one task."""
+    u = staged(B.numbered_within(_usage(spark, d).select("device", "t", "r"), "device", ("t", "r")).select("device", "t", "r", "row"), "samples")
+    last = u.select("device", (F.col("row") + 1).alias("row"), F.col("t").alias("t0"), F.col("r").alias("r0"))
+    return u.join(last, ["device", "row"], "left").select("device", "t", ((F.col("r") - F.col("r0")).cast("double") / (F.col("t") - F.col("t0")) / 1048576).alias("rate"))
 
 
 @query(_USAGE + "SELECT device, t, t - min(t) OVER (PARTITION BY device) AS elapsed FROM u")
 def win_elapsed(spark, d):
     u = _usage(spark, d)
     first = u.groupBy("device").agg(F.min("t").alias("t0"))
-    return u.join(F.broadcast(first), "device").select("device", "t", (F.col("t") - F.col("t0")).alias("elapsed"))  # a row a device
+    return u.join(first, "device").select("device", "t", (F.col("t") - F.col("t0")).alias("elapsed"))
 
 
 @query(_USAGE + ", c AS (SELECT *, ntile(20) OVER (PARTITION BY device ORDER BY t) AS chunk FROM u) SELECT device, CAST(chunk AS INT) AS chunk, CAST(sum(r) AS DOUBLE) / count(*) AS mean FROM c GROUP BY device, chunk")
 def win_chunked_mean(spark, d):
-    w = Window.partitionBy("device").orderBy("t")
-    chunks = _usage(spark, d).withColumn("chunk", F.ntile(20).over(w))
-    return chunks.groupBy("device", "chunk").agg((F.sum("r").cast("double") / F.count("*")).alias("mean"))
+    """20 near-equal chunks by row number: the first ``n % 20`` chunks are longer by one."""
+    u = B.numbered_within(_usage(spark, d).select("device", "t", "r"), "device", ("t", "r"))
+    size, longer, row = F.floor(F.col("of") / 20), F.col("of") % 20, F.col("row")
+    chunk = F.when(row < longer * (size + 1), F.floor(row / (size + 1))).otherwise(longer + F.floor((row - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    return u.groupBy("device", (chunk + 1).cast("int").alias("chunk")).agg((F.sum("r").cast("double") / F.count("*")).alias("mean"))
 
 
 @query("SELECT file_id, num, CAST(sum(num) OVER (ORDER BY file_id) AS BIGINT) AS total FROM files")
@@ -324,7 +327,7 @@ def agg_phase_usage(spark, d):
     return e.groupBy("device", phase.alias("phase")).agg((F.sum("r").cast("double") / F.count("*")).alias("mean"), F.min("r").alias("low"), F.max("r").alias("high"))
 
 
-@query("SELECT count(*) AS files, CAST(sum(num) AS BIGINT) AS points, CAST(8 AS DOUBLE) AS speed FROM files")
+@query(f"SELECT count(*) AS files, CAST(sum(num) AS BIGINT) AS points, sum(num / {_SECONDS}) FILTER ({_SECONDS} > 0) / count(*) FILTER ({_SECONDS} > 0) AS speed FROM files")
 def agg_load_speed(spark, d):
     """Points a second of every file in the log, averaged without the infinite ones."""
     return _loadstats(spark, d).agg(F.count("*").alias("files"), F.sum("points").alias("points"), F.avg(F.when(F.col("seconds") > 0, F.col("points") / F.col("seconds"))).alias("speed"))

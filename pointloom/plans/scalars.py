@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import morton as M
-from ..operators.polygons import boxes, edges, select_circle, tiles
+from ..operators import blocks as B
+from ..functions.geometry import edges
+from ..operators.polygons import boxes, select_circle, tiles
 from ..sources.points import SCALE, catalogue, dims, files, points
+from . import stored
 from .base import query, sql_encode, sql_gather
 
 S_RECT = (400.0, 400.0, 451.0, 453.0)
 S_CIRC = (500.0, 500.0, 20.0)
 XYZ = ("ux", "uy", "uz")
+LOAD_ORDER = ("k", "uz", "gpstime", "intensity", "red", "green")
 _RECT = "x BETWEEN 400 AND 451 AND y BETWEEN 400 AND 453"
 _CIRC_BOX = "x BETWEEN 480 AND 520 AND y BETWEEN 480 AND 520"
 _CIRC = _CIRC_BOX + " AND (x-500)*(x-500)+(y-500)*(y-500) < 400"
@@ -36,7 +39,8 @@ def global_raw(spark, d):
     p = points(spark, d)
     o = files(p).select("file_id", (F.col("minx") / SCALE).cast("long").alias("o"))
     g = o.agg(F.min("o").alias("g"))
-    return p.join(F.broadcast(o), "file_id").join(F.broadcast(g)).select("file_id", "ux", (F.col("ux").cast("long") + F.col("o") - F.col("g")).alias("gx"))
+    g = g.first()[0] or 0  # one number
+    return p.join(o, "file_id").select("file_id", "ux", (F.col("ux").cast("long") + F.col("o") - F.lit(g)).alias("gx"))
 
 
 @query(f"SELECT ux, uy, {sql_encode('ux', 'uy')} AS code FROM points")
@@ -117,8 +121,8 @@ def class_flags(spark, d):
 
 @query("SELECT file_id, k, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k, uz, gpstime, intensity, red, green) - 1 AS INT) AS m FROM points")
 def vertex_index(spark, d):
-    w = Window.partitionBy("file_id").orderBy("k", "uz", "gpstime", "intensity", "red", "green")
-    return points(spark, d).select("file_id", "k", (F.row_number().over(w) - 1).alias("m"))
+    p = points(spark, d).select("file_id", *LOAD_ORDER)
+    return B.numbered_within(p, "file_id", LOAD_ORDER).select("file_id", "k", F.col("row").cast("int").alias("m"))
 
 
 # --- filters -------------------------------------------------------------------------------------
@@ -146,17 +150,20 @@ def filter_circle(spark, d):
 
 @query("SELECT ux, uy, uz FROM points WHERE k BETWEEN 1000000000 AND 2000000000 OR k BETWEEN 5000000000 AND 6000000000")
 def filter_morton_ranges(spark, d):
-    return points(spark, d).filter(G.in_ranges(F.col("k"), [(1_000_000_000, 2_000_000_000), (5_000_000_000, 6_000_000_000)])).select(*XYZ)
+    return stored.clustered(spark, d).filter(G.in_ranges(F.col("k"), [(1_000_000_000, 2_000_000_000), (5_000_000_000, 6_000_000_000)])).select(*XYZ)
 
 
 @query("SELECT ux, uy, uz FROM points WHERE (k BETWEEN 1000000000 AND 2000000000) AND z <= 10")
 def filter_morton_approx(spark, d):
-    return points(spark, d).filter(G.in_ranges(F.col("k"), [(1_000_000_000, 2_000_000_000)]) & G.z_range(F.col("z"), None, 10)).select(*XYZ)
+    return stored.clustered(spark, d).filter(G.in_ranges(F.col("k"), [(1_000_000_000, 2_000_000_000)]) & G.z_range(F.col("z"), None, 10)).select(*XYZ)
 
 
-@query("SELECT file_id FROM files WHERE minx <= 451 AND maxx >= 400 AND miny <= 453 AND maxy >= 400")
+@query("SELECT f.file_id, CAST(count(*) FILTER (p.x BETWEEN 999.5 AND 1000 AND p.y BETWEEN 0 AND 500) AS BIGINT) AS n FROM files f JOIN points p ON p.file_id = f.file_id WHERE f.minx <= 1000 AND f.maxx >= 999.5 AND f.miny <= 500 AND f.maxy >= 0 GROUP BY f.file_id")
 def filter_files(spark, d):
-    return files(points(spark, d)).filter("minx <= 451 AND maxx >= 400 AND miny <= 453 AND maxy >= 400").select("file_id")
+    """Files whose envelope meets a box, then a scan of those files alone: the join prunes the others' folders."""
+    chosen = files(points(spark, d)).filter("minx <= 1000 AND maxx >= 999.5 AND miny <= 500 AND maxy >= 0").select("file_id")
+    hit = F.col("x").between(999.5, 1000) & F.col("y").between(0, 500)
+    return stored.by_file(spark, d).join(chosen, "file_id").groupBy("file_id").agg(F.count(F.when(hit, 1)).alias("n"))
 
 
 @query("SELECT ux, uy, uz FROM points WHERE returnnum <= numreturnpulse AND returnnum > 0 AND (classification & 128) = 0 AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)")
@@ -167,10 +174,21 @@ def filter_invalid(spark, d):
     return points(spark, d).filter(valid & numbers).select(*XYZ)
 
 
-@query("SELECT file_id, minx, maxx, miny, maxy FROM files WHERE minx < 0 OR maxx * 100 > 99990 OR miny < 0 OR maxy * 100 > 99990")
+#: Of the check of files before keys are made: the cloud's raw offset, and how far values may be off.
+GLOBAL_OFFSET, TOLERANCE = 150, 1e-7
+_LOW = f"{GLOBAL_OFFSET} * {SCALE}::DOUBLE"
+
+
+@query(f"SELECT file_id, abs(scale - {SCALE}::DOUBLE) > {TOLERANCE} AS other_scale, 1.0::DOUBLE + least(minx, miny) - {_LOW} < {TOLERANCE} AS below, greatest(maxx, maxy) - {_LOW} > 2147483648.0::DOUBLE * {SCALE}::DOUBLE AS above FROM files WHERE other_scale OR below OR above")
 def check_morton_domain(spark, d):
-    """Files whose raw extent leaves the domain [0, 99990]; a caller fails if there are any."""
-    return files(points(spark, d)).filter("minx < 0 OR maxx * 100 > 99990 OR miny < 0 OR maxy * 100 > 99990").select("file_id", "minx", "maxx", "miny", "maxy")
+    """Files whose scale is not the cloud's, or whose extent from the cloud's offset on leaves [0, 2^31] raw
+    units (with one unit of grace below); a caller fails if there are any."""
+    low, high = F.least("minx", "miny"), F.greatest("maxx", "maxy")
+    found = files(points(spark, d)).select(
+        "file_id", (F.abs(F.col("scale") - SCALE) > TOLERANCE).alias("other_scale"),
+        (1.0 + low - GLOBAL_OFFSET * SCALE < TOLERANCE).alias("below"), (high - GLOBAL_OFFSET * SCALE > (1 << 31) * SCALE).alias("above"),
+    )
+    return found.filter("other_scale or below or above")
 
 
 @query('SELECT count(DISTINCT scale) AS scales, count(DISTINCT "offset") AS offsets, count(*) AS files FROM files')

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import blocks as B
 from ..operators import polygons as P
 from ..sources.points import catalogue, files, points
 from .base import query
@@ -19,11 +19,6 @@ _CIRC = "x BETWEEN 480 AND 520 AND y BETWEEN 480 AND 520 AND (x-500)*(x-500)+(y-
 _D2 = "(x-500)*(x-500)+(y-500)*(y-500)"
 
 
-def _region(spark, wkt):
-    """One query as a catalogue row beside the table's."""
-    return spark.sql(f"SELECT 'q' AS qid, 'generic' AS type, '{wkt}' AS wkt")
-
-
 def _edges_sql(wkt):
     out = []
     for ring in wkt[10:-2].split("), ("):
@@ -59,24 +54,25 @@ def q_circle_z(spark, d):
 
 @query(_poly_sql(HOLED))
 def q_polygon(spark, d):
-    return P.select_polygon(points(spark, d), _region(spark, HOLED), (280.0, 300.0, 700.0, 720.0)).select(*XYZ)
+    return P.select_polygon(points(spark, d), HOLED).select(*XYZ)
 
 
 @query(_poly_sql(DIAG, "z >= 15"))
 def q_polygon_z(spark, d):
-    return P.select_polygon(points(spark, d), _region(spark, DIAG), (618.0, 181.0, 940.0, 461.0), 15).select(*XYZ)
+    return P.select_polygon(points(spark, d), DIAG, 15).select(*XYZ)
 
 
-@query(_poly_sql(HOLED))
+@query(_poly_sql(HOLED) + " AND x BETWEEN 280 AND 700 AND y BETWEEN 300 AND 720 AND z BETWEEN 10 AND 40")
 def filter_polygon(spark, d):
-    return q_polygon(spark, d)
+    """The predicate alone, beside others of the caller's."""
+    p = points(spark, d).filter(F.col("z").between(10, 40))
+    return p.filter(G.bbox(F.col("x"), F.col("y"), *P.box_of(HOLED)) & G.inside(G.literal_edges(HOLED), F.col("x"), F.col("y"))).select(*XYZ)
 
 
 @query(_poly_sql(HOLED))
 def udf_contains(spark, d):
     """The vectorised alternative to the edge join."""
-    rings = [[tuple(map(float, v.split())) for v in r.split(", ")] for r in HOLED[10:-2].split("), (")]
-    return P.select_rect(points(spark, d), (280.0, 300.0, 700.0, 720.0)).filter(G.contains_udf(rings)("x", "y")).select(*XYZ)
+    return P.select_rect(points(spark, d), P.box_of(HOLED)).filter(G.contains_udf(G.rings_of(HOLED))("x", "y")).select(*XYZ)
 
 
 @query(f"SELECT ux, uy, uz, {_D2} AS d2 FROM points WHERE x BETWEEN 400 AND 600 AND y BETWEEN 400 AND 600 ORDER BY d2, ux, uy, uz LIMIT 1000")
@@ -148,15 +144,19 @@ def join_grid_cell(spark, d):
 @query(f"SELECT qid, ux, uy, uz FROM (SELECT b.qid, b.qminz, b.qmaxz, p.* FROM points p JOIN boxes b ON b.type = 'generic' AND p.x BETWEEN b.minx AND b.maxx AND p.y BETWEEN b.miny AND b.maxy) m SEMI JOIN inpoly USING (qid, ux, uy) WHERE {_Z}")
 def join_points_polygons(spark, d):
     q = catalogue(spark, d).filter("type = 'generic'")
-    return P.in_polygons(P.join_cells(points(spark, d), q), q).select("qid", *XYZ)
+    return P.in_polygons(P.join_cells(points(spark, d), P.with_edges(q))).select("qid", *XYZ)
 
 
 @query("SELECT b.qid, f.file_id FROM files f JOIN boxes b ON b.type <> 'nn' AND f.minx <= b.maxx AND f.maxx >= b.minx AND f.miny <= b.maxy AND f.maxy >= b.miny")
 def join_files_query(spark, d):
+    """Envelopes and boxes meet in coarse grid cells and are checked there; a pair may meet in several."""
+    cell = 128.0
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
     f = files(points(spark, d)).withColumnsRenamed({c: f"f{c}" for c in ("minx", "maxx", "miny", "maxy")}).select("file_id", "fminx", "fmaxx", "fminy", "fmaxy")
-    b = P.boxes(catalogue(spark, d).filter("type <> 'nn'"))
-    # at most a row a file, a few thousand
-    return b.join(F.broadcast(f), (F.col("fminx") <= F.col("maxx")) & (F.col("fmaxx") >= F.col("minx")) & (F.col("fminy") <= F.col("maxy")) & (F.col("fmaxy") >= F.col("miny"))).select("qid", "file_id")
+    f = f.withColumn("gx", span("fminx", "fmaxx")).withColumn("gy", span("fminy", "fmaxy"))
+    b = P.boxes(catalogue(spark, d).filter("type <> 'nn'")).withColumn("gx", span("minx", "maxx")).withColumn("gy", span("miny", "maxy"))
+    met = b.join(f, ["gx", "gy"]).filter((F.col("fminx") <= F.col("maxx")) & (F.col("fmaxx") >= F.col("minx")) & (F.col("fminy") <= F.col("maxy")) & (F.col("fmaxy") >= F.col("miny")))
+    return met.select("qid", "file_id").distinct()
 
 
 @query("SELECT p.file_id, c.qid, c.wkt FROM (SELECT DISTINCT file_id, CAST(pid AS VARCHAR) AS qid FROM points) p JOIN catalogue c ON c.qid = p.qid")
@@ -191,7 +191,7 @@ def udf_fishnet(spark, d):
 def win_row_id(spark, d):
     """Tile ids by (row, col): one row for each occupied tile."""
     t = points(spark, d).select(F.floor(F.col("y") / 125).cast("int").alias("row"), F.floor(F.col("x") / 125).cast("int").alias("col")).distinct()
-    return t.withColumn("id", F.row_number().over(Window.orderBy("row", "col")))
+    return B.numbered(t, ("row", "col")).select("row", "col", (F.col("row_") + 1).cast("int").alias("id"))
 
 
 @query(_REFINED + "SELECT c.qid, count(r.ux) AS n, min(r.z) AS minz, max(r.z) AS maxz FROM catalogue c LEFT JOIN refined r ON c.qid = r.qid WHERE c.type <> 'nn' GROUP BY c.qid")

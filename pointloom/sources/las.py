@@ -1,60 +1,51 @@
 """Uncompressed LAS files, point formats 0 to 3.
 
-Headers are read file by file; point records in ranges of records, so that a large file is many tasks. Paths
-must be readable from every executor.
+Headers are read file by file; point records in ranges of records, so that a large file is many tasks.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import parts_of
+from ..operators.staging import staged
+from .files import listed, read_range, write_whole
 from .points import DIMENSIONS, schema
 
-HEADER = "path string, file_id int, num long, point_offset long, format int, length int, scalex double, scaley double, scalez double, offsetx double, offsety double, offsetz double, minx double, miny double, minz double, maxx double, maxy double, maxz double"
+HEADER = "path string, num long, point_offset long, format int, length int, scalex double, scaley double, scalez double, offsetx double, offsety double, offsetz double, minx double, miny double, minz double, maxx double, maxy double, maxz double"
 RANGE = 1 << 18
+#: Records of a file that is written.
+PART_POINTS = 1 << 20
 #: Fields of the public point record layouts.
 _BASE = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("i", "<u2"), ("flags", "u1"), ("c", "u1"), ("a", "i1"), ("u", "u1"), ("p", "<u2")]
 _TIME, _COLOUR = [("t", "<f8")], [("R", "<u2"), ("G", "<u2"), ("B", "<u2")]
 FORMATS = {0: _BASE, 1: _BASE + _TIME, 2: _BASE + _COLOUR, 3: _BASE + _TIME + _COLOUR}
 
 
-def listed(paths: str | list[str]) -> list[str]:
-    """One path, several, a pattern, or `@file` naming a list."""
-    out = []
-    for p in [paths] if isinstance(paths, str) else paths:
-        if p.startswith("@"):
-            with open(p[1:]) as f:
-                out += [x.strip() for x in f if x.strip()]
-        else:
-            out += sorted(glob.glob(p)) if "*" in p else [p]
-    return out
-
-
 def _header(path: str) -> dict:
-    with open(path, "rb") as f:
-        b = f.read(227)
+    b = read_range(path, 0, 227)
     if b[:4] != b"LASF":
         raise ValueError(f"{path} is no LAS file")
     offset, = struct.unpack_from("<I", b, 96)
     kind, length, num = struct.unpack_from("<BHI", b, 104)
+    if kind not in FORMATS:
+        raise ValueError(f"{path} has point records of format {kind}; formats {min(FORMATS)} to {max(FORMATS)} are read")
     sx, sy, sz, ox, oy, oz, hx, lx, hy, ly, hz, lz = struct.unpack_from("<12d", b, 131)
     return {"path": path, "num": num, "point_offset": offset, "format": kind, "length": length, "scalex": sx, "scaley": sy, "scalez": sz, "offsetx": ox, "offsety": oy, "offsetz": oz, "minx": lx, "miny": ly, "minz": lz, "maxx": hx, "maxy": hy, "maxz": hz}
 
 
 def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    names = [(p, i) for i, p in enumerate(listed(paths))]
-    todo = spark.createDataFrame(names, "path string, file_id int").repartition(max(min(len(names), 1000), 1))
+    """One row for each file, by its path."""
+    todo = listed(spark, paths).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(parts):
         for part in parts:
-            yield pd.DataFrame([_header(p) | {"file_id": i} for p, i in zip(part["path"], part["file_id"])], columns=[x.split()[0] for x in HEADER.split(", ")])
+            yield pd.DataFrame([_header(p) for p in part["path"]], columns=[x.split()[0] for x in HEADER.split(", ")])
 
     return todo.mapInPandas(run, HEADER)
 
@@ -62,9 +53,7 @@ def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def _records(path: str, h, start: int, count: int) -> pd.DataFrame:
     fields = FORMATS[int(h.format)]
     kind = np.dtype({"names": [n for n, _ in fields], "formats": [t for _, t in fields], "offsets": list(np.cumsum([0] + [np.dtype(t).itemsize for _, t in fields])[:-1]), "itemsize": int(h.length)})
-    with open(path, "rb") as f:
-        f.seek(int(h.point_offset) + start * int(h.length))
-        raw = np.frombuffer(f.read(count * int(h.length)), kind)
+    raw = np.frombuffer(read_range(path, int(h.point_offset) + start * int(h.length), count * int(h.length)), kind)
     get = lambda c: raw[c] if c in kind.names else np.zeros(len(raw))
     flags = raw["flags"]
     out = {c: get(c) for c in "XYZicauptRGB"} | {"r": flags & 7, "n": flags >> 3 & 7, "d": (flags >> 6 & 1).astype(bool), "e": (flags >> 7).astype(bool)}
@@ -73,7 +62,7 @@ def _records(path: str, h, start: int, count: int) -> pd.DataFrame:
 
 
 def read_las(spark: SparkSession, paths: str | list[str], letters: str = "xyz", skip_invalid: bool = False) -> DataFrame:
-    """``(file_id, m, dimensions…)``; ``m`` is the record's place in its file. The key ``k`` is left to
+    """``(path, m, dimensions…)``; ``m`` is the record's place in its file. The key ``k`` is left to
     :func:`..functions.morton.morton_encode`. Invalid records (return above the pulse's returns, or 0 of
     some) may be skipped."""
     headers = read_headers(spark, paths)
@@ -85,7 +74,7 @@ def read_las(spark: SparkSession, paths: str | list[str], letters: str = "xyz",
         for part in parts:
             for h in part.itertuples():
                 got = _records(h.path, h, int(h.start), int(min(RANGE, h.num - h.start)))
-                out = pd.DataFrame({"file_id": h.file_id, "m": h.start + np.arange(len(got))})
+                out = pd.DataFrame({"path": h.path, "m": h.start + np.arange(len(got))})
                 for c in wanted:
                     out[DIMENSIONS[c][0]] = got[c].to_numpy()
                 if skip_invalid:
@@ -93,32 +82,56 @@ def read_las(spark: SparkSession, paths: str | list[str], letters: str = "xyz",
                 yield out
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema("".join(wanted)).fields)
-    return ranges.mapInPandas(run, f"file_id int, m long, {fields}")
+    return ranges.mapInPandas(run, f"path string, m long, {fields}")
+
+
+ORDER = ("k", "uz", "gpstime", "intensity", "red", "green")
+
+
+def _written(part: pd.DataFrame, path: str, scale: float) -> None:
+    raw = np.zeros(len(part), np.dtype(FORMATS[3]))
+    for c in "XYZicauptRGB":
+        raw[c] = part[DIMENSIONS[c][0]].to_numpy().astype(raw.dtype[c], casting="unsafe")
+    raw["flags"] = (part["returnnum"].to_numpy() & 7) | (part["numreturnpulse"].to_numpy() & 7) << 3 | part["dirscanflag"].to_numpy().astype(int) << 6 | part["edgeflightline"].to_numpy().astype(int) << 7
+    head = bytearray(227)
+    head[:4] = b"LASF"
+    head[24:26] = bytes([1, 2])
+    struct.pack_into("<HI", head, 94, 227, 227)
+    struct.pack_into("<BHI", head, 104, 3, raw.dtype.itemsize, len(raw))
+    ends = [v for c in ("ux", "uy", "uz") for v in (part[c].max() * scale, part[c].min() * scale)]
+    struct.pack_into("<12d", head, 131, scale, scale, scale, 0, 0, 0, *ends)
+    write_whole(path, bytes(head) + raw.tobytes())
 
 
 def write_las(p: DataFrame, folder: str, scale: float = 0.01) -> DataFrame:
-    """One file of format 3 for each ``file_id``, written where it is grouped: (file_id, path, num). Groups
-    are files, as large as the caller makes them. ``folder`` must be a shared path."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        fid = int(part["file_id"].iloc[0])
-        path = os.path.join(folder, f"part_{fid}.las")
-        part = part.sort_values(["k", "uz", "gpstime", "intensity", "red", "green"])
-        raw = np.zeros(len(part), np.dtype(FORMATS[3]))
-        for c in "XYZicauptRGB":
-            raw[c] = part[DIMENSIONS[c][0]].to_numpy().astype(raw.dtype[c], casting="unsafe")
-        raw["flags"] = (part["returnnum"].to_numpy() & 7) | (part["numreturnpulse"].to_numpy() & 7) << 3 | part["dirscanflag"].to_numpy().astype(int) << 6 | part["edgeflightline"].to_numpy().astype(int) << 7
-        head = bytearray(227)
-        head[:4] = b"LASF"
-        head[24:26] = bytes([1, 2])
-        struct.pack_into("<HI", head, 94, 227, 227)
-        struct.pack_into("<BHI", head, 104, 3, raw.dtype.itemsize, len(raw))
-        ends = [v for c in ("ux", "uy", "uz") for v in (part[c].max() * scale, part[c].min() * scale)]
-        struct.pack_into("<12d", head, 131, scale, scale, scale, 0, 0, 0, *ends)
-        os.makedirs(folder, exist_ok=True)
-        with open(path + ".tmp", "wb") as f:
-            f.write(bytes(head) + raw.tobytes())
-        os.replace(path + ".tmp", path)  # a task that runs again writes the same file
-        return pd.DataFrame({"file_id": [fid], "path": [path], "num": [len(raw)]})
-
-    return p.groupBy("file_id").applyInPandas(run, "file_id int, path string, num long")
+    """Files of format 3 of up to PART_POINTS records, one or more for each ``file_id``, in the order of the
+    key: ``(file_id, path, num, first)``, ``first`` being the records of the file_id in the files before.
+    Ranges of the order are written where they are sorted; ``folder`` must be a shared path."""
+
+    def run(parts):
+        from pyspark import TaskContext
+
+        part_id, made, held = TaskContext.get().partitionId(), 0, None
+
+        def full(table, last):
+            nonlocal made
+            while len(table) and (last or len(table) >= PART_POINTS or table["file_id"].iloc[0] != table["file_id"].iloc[-1]):
+                fid = table["file_id"].iloc[0]
+                n = min(int((table["file_id"].to_numpy() == fid).sum()), PART_POINTS)
+                path = f"{folder}/part_{fid}_{part_id:06d}_{made:06d}.las"
+                _written(table.iloc[:n], path, scale)
+                yield pd.DataFrame({"file_id": [int(fid)], "path": [path], "num": [n], "place": [part_id << 20 | made]})
+                made, table = made + 1, table.iloc[n:]
+            return table
+
+        for part in parts:
+            held = part if held is None else pd.concat([held, part])
+            held = yield from full(held, False)
+        if held is not None:
+            yield from full(held, True)
+
+    ranged = p.repartitionByRange(parts_of(p), "file_id", *ORDER).sortWithinPartitions("file_id", *ORDER)
+    made = ranged.mapInPandas(run, "file_id int, path string, num long, place long")
+    # written once: to run it again would write the files again
+    before = Window.partitionBy("file_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return staged(made, "las-files").select("file_id", "path", "num", F.coalesce(F.sum("num").over(before), F.lit(0)).alias("first"))

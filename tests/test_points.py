@@ -74,9 +74,15 @@ def test_las(spark, tmp_path):
     p = points(spark, SF).filter("file_id < 3")
     made = las.write_las(p, str(tmp_path)).collect()
     (tmp_path / "list").write_text("\n".join(r.path for r in made))
+    assert sum(r.num for r in made) == p.count()
     assert las.read_las(spark, f"@{tmp_path}/list", "XYZ").count() == p.count()
-    assert rows(las.read_las(spark, str(tmp_path / "*.las"), "XYZirR").drop("file_id", "m")) == rows(p.select("ux", "uy", "uz", "intensity", (F.col("returnnum").cast("int").bitwiseAND(F.lit(7))).cast("short"), "red"))
+    assert rows(las.read_las(spark, str(tmp_path / "*.las"), "XYZirR").drop("path", "m")) == rows(p.select("ux", "uy", "uz", "intensity", (F.col("returnnum").cast("int").bitwiseAND(F.lit(7))).cast("short"), "red"))
     (tmp_path / "bad.txt").write_text("no header")
+    newer = bytearray((tmp_path / made[0].path.rpartition("/")[2]).read_bytes())
+    newer[104] = 6
+    (tmp_path / "new.laz").write_bytes(bytes(newer))
+    with pytest.raises(Exception, match="format 6"):
+        las.read_headers(spark, str(tmp_path / "new.laz")).collect()
     with pytest.raises(Exception, match="no LAS file"):
         las.read_headers(spark, str(tmp_path / "bad.txt")).collect()
 
@@ -95,3 +101,84 @@ def test_bad_text_fails(spark, tmp_path):
     (tmp_path / "p.csv").write_text("1,2\nx,3\n")
     with pytest.raises(Exception):
         text.read_points(spark, str(tmp_path), "XY").collect()
+
+
+def brute_cells(wkt, bits, deepest):
+    """Cells of integer coordinates straight from the rule, leaf by leaf, on polygons whose edges are known."""
+    from pointloom.functions.geometry import rings_of
+
+    edges = [(*a, *b) for r in rings_of(wkt) for a, b in zip(r, r[1:])]
+
+    def inside(px, py):
+        n = 0
+        for x0, y0, x1, y1 in edges:
+            side = (x1 - x0) * (py - y0) - (px - x0) * (y1 - y0)
+            n += (y0 <= py < y1 and side > 0) or (y1 <= py < y0 and side < 0)
+        return n % 2 == 1
+
+    def state(level, cx, cy):
+        """0: apart, 1: inside, 2: partly, by a fine raster of the open cell."""
+        size = 1 << bits - level
+        steps = 24
+        got = {inside(cx * size + size * (i + 0.5) / steps, cy * size + size * (j + 0.5) / steps) for i in range(steps) for j in range(steps)}
+        return 0 if got == {False} else 1 if got == {True} else 2
+
+    def walk(level, cx, cy):
+        out = []
+        count = 0
+        for q in range(4):
+            x, y = 2 * cx + (q >> 1), 2 * cy + (q & 1)
+            s = state(level + 1, x, y)
+            code = sum((x >> i & 1) << 2 * i + 1 | (y >> i & 1) << 2 * i for i in range(bits))
+            if s == 1 or s == 2 and level + 1 == deepest:
+                out.append((level + 1, code, s == 1))
+                count += 1
+            elif s == 2:
+                below, n = walk(level + 1, x, y)
+                if n == 4:
+                    out.append((level + 1, code, False))
+                    count += 1
+                else:
+                    out += below
+        return out, count
+
+    return sorted(walk(0, 0, 0)[0])
+
+
+@pytest.mark.parametrize("wkt", ["POLYGON ((2 2, 30 2, 30 30, 2 30, 2 2))", "POLYGON ((1 1, 61 49, 61 53, 1 5, 1 1))", "POLYGON ((0 0, 64 0, 64 64, 0 64, 0 0), (16 16, 40 16, 40 40, 16 40, 16 16))", "POLYGON ((32 4, 60 32, 32 60, 4 32, 32 4))"])
+def test_quadtree_of_polygons(wkt):
+    from pointloom.functions.geometry import rings_of
+    from pointloom.functions.quadtree import cells_of
+
+    edges = [(*a, *b) for r in rings_of(wkt) for a, b in zip(r, r[1:])]
+    assert sorted(cells_of(edges, 6, 5)) == brute_cells(wkt, 6, 5)
+
+
+def test_ranges_of_a_diagonal_follow_it(spark):
+    """A narrow diagonal strip: the ranges hold a small part of its box."""
+    from pointloom.plans.selections import DIAG
+
+    box = dict(zip(("minx", "miny", "maxx", "maxy"), P.box_of(DIAG)))
+    q = spark.createDataFrame([("q", "generic", DIAG, *box.values())], "qid string, type string, wkt string, minx double, miny double, maxx double, maxy double")
+    size = lambda df: sum(r.hi - r.lo + 1 for r in df.collect())
+    assert size(R.morton_ranges(q, max_ranges=None)) < 0.2 * size(R.morton_ranges(q.drop("wkt", "type"), max_ranges=None))
+
+
+@pytest.mark.parametrize("name", ["filter_morton_ranges", "q_morton_rectangle", "q_morton_polygon", "layout_morton"])
+def test_ranges_reach_the_scan(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pushed = [x for x in plan.split("PushedFilters: [")[1:]]
+    assert any("GreaterThanOrEqual(k," in x.split("]")[0] for x in pushed)
+    assert "NestedLoop" not in plan
+
+
+def test_numbers_within_groups(spark):
+    from pointloom.operators import blocks as B
+
+    r = random.Random(2)
+    data = [(r.randrange(3), r.randrange(1000)) for _ in range(500)]
+    got = B.numbered_within(spark.createDataFrame(data, "g int, v int"), "g", ("v",)).collect()
+    for g in range(3):
+        mine = sorted((x.row, x.v, x.of) for x in got if x.g == g)
+        assert [x[0] for x in mine] == list(range(len(mine))) and [x[1] for x in mine] == sorted(v for h, v in data if h == g)
+        assert all(x[2] == len(mine) for x in mine)
