@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -15,8 +17,9 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_without_llm(tmp_path):
-    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache")
+@pytest.mark.parametrize("pipeline", ["corpus_pipeline.py", "none"])
+def test_without_llm(tmp_path, pipeline):
+    skip = shutil.ignore_patterns("llm", pipeline, ".git", "__pycache__", ".pytest_cache")
     shutil.copytree(ROOT, tmp_path / "r", ignore=skip)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q_rectangle' in q and 'pipeline' not in q; assert not any(x.startswith('op1') for x in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
