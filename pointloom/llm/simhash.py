@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import array_sets, linked
 from .common import column_bytes, stage, table
 from .components import components
-from .line_dedup import linked
 
 SEED = 42
 CHUNK = 1 << 16
@@ -144,30 +144,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _shingled(keyed: DataFrame, full: bool) -> DataFrame:
-    """``(doc_id, th, a, x)`` of every row, ``a`` being the hash of its shingle set and ``x`` the set itself
-    (``full``) or its bands."""
+    """``(doc_id, th, a, size, x)`` of every row, ``a`` being the hash of its shingle set, ``size`` the set's size
+    and ``x`` the set itself (``full``) or its bands."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t) for t in column_bytes(batch.column("text"))]
             names = pa.array([int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True) for s in sets], pa.int64())
             lists = pa.array(sets if full else map(_bands, sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), names, lists], ["doc_id", "th", "a", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), names, pa.array(map(len, sets), pa.int32()), lists], ["doc_id", "th", "a", "size", "x"])
 
-    return keyed.mapInArrow(run, "doc_id long, th long, a long, x array<long>")
+    return keyed.mapInArrow(run, "doc_id long, th long, a long, size int, x array<long>")
 
 
 def near_links(keyed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Links ``(u, v)`` between shingle sets that share a band and whose exact Jaccard similarity reaches
     ``threshold``. Equal sets are one node, so exact copies crowd no bucket."""
-    nodes = stage(rows.groupBy(F.col("a").alias("id")).agg(F.first("x").alias("bands"), F.min(F.struct("doc_id", "th")).alias("one")), "near")
+    nodes = stage(rows.groupBy(F.col("a").alias("id")).agg(F.first("x").alias("bands"), F.first("size").alias("size"), F.min(F.struct("doc_id", "th")).alias("one")), "near")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        one = nodes.join(ids, "id", "left_semi").select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_h"))
-        texts = keyed.join(one, keyed.doc_id.eqNullSafe(one._d) & (keyed.th == one._h), "left_semi")
+        one = nodes.join(ids.hint("shuffle_merge"), "id", "left_semi").select(F.col("one.doc_id").alias("_d"), F.col("one.th").alias("_h"))
+        texts = keyed.join(one.hint("shuffle_merge"), keyed.doc_id.eqNullSafe(one._d) & (keyed.th == one._h), "left_semi")
         return _shingled(texts, True).groupBy(F.col("a").alias("id")).agg(F.first("x").alias("x"))
 
-    return linked(nodes.select("id", "bands"), fetch, F.col, threshold)
+    return linked(nodes.select("id", "bands", "size"), fetch, array_sets, threshold)
 
 
 def keep_one(docs: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:

@@ -7,11 +7,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pointloom.llm import components, decontaminate, fm_index, licenses, line_dedup, pieces, quality, registry, simhash, suffix_family, token_counts, tokens, windows
+from pointloom.llm import buckets, components, decontaminate, fm_index, licenses, line_dedup, pieces, quality, registry, simhash, suffix_family, token_counts, tokens, windows
 
 from .conftest import SF
 
@@ -166,16 +167,23 @@ def test_op3_lines_with_one_typo(spark):
     assert kept[1] == "\n".join(lines) and len(kept[2].split("\n")) <= 2
 
 
-def test_shingles_of_lines(spark):
-    lines = ["x", "abcd", "abcde", "a cat sat", "tab\tand\rreturn \u2028 end", "你好 🙂🙂 one🙂two", "aaaaaaaaa", ""]
-    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.shingles(F.col("line")).alias("s")).collect()
-    hashed = lambda g: xxhash.xxh64_intdigest(g.encode("utf-32-be"), 42)
-    assert {r.line: {x % 2**64 for x in r.s} for r in got} == {x: set(map(hashed, char_grams(x))) for x in lines}
+def test_shingles_of_lines():
+    lines = ["x", "abcd", "abcde", "abcd\0", "a cat sat", "tab\tand\rreturn \u2028 end", "你好 🙂🙂 one🙂two", "aaaaaaaaa", "abc", ""]
+    hashes, starts = line_dedup.line_sets(pa.array(lines))
+    got = [set(hashes[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:])]
+    # equal hashes are equal shingles, across lines too
+    for x, a in zip(lines, got):
+        for y, b in zip(lines, got):
+            assert len(a) == len(char_grams(x)) and len(a & b) == len(char_grams(x) & char_grams(y))
+    keys, size = line_dedup.line_bands(pa.array(lines))
+    assert keys.shape == (len(lines), line_dedup.BANDS) and size.tolist() == [max(1, len(x) - 4) for x in lines]
 
 
+@pytest.mark.parametrize("members", [buckets.MEMBERS, 20])
 @pytest.mark.parametrize("n,edits,words", [(700, 1, 14), (400, 4, 12), (300, 9, 30)])
-def test_op3_crowded_families(spark, n, edits, words):
-    """Six families of hundreds of variants of one line, far over SMALL in a bucket: against all pairs."""
+def test_op3_crowded_families(spark, monkeypatch, n, edits, words, members):
+    """Six families of hundreds of variants of one line, in one task or by rounds: against all pairs."""
+    monkeypatch.setattr(buckets, "MEMBERS", members)
     rng = np.random.default_rng(n)
     names = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(3, 9))) for _ in range(300)]
     lines = set()
@@ -194,8 +202,11 @@ def test_op3_crowded_families(spark, n, edits, words):
     assert len(want) <= kept <= len(want) + 0.02 * (len(rows) - len(want)) + 1
 
 
-def test_links_by_rounds_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("members,together", [(buckets.MEMBERS, buckets.TOGETHER), (16, 100)])
+def test_links_of_a_bucket_are_those_of_all_pairs(spark, monkeypatch, members, together):
     """Members of one crowded bucket, so that no link can be missed by the bands: components against all pairs."""
+    monkeypatch.setattr(buckets, "MEMBERS", members)
+    monkeypatch.setattr(buckets, "TOGETHER", together)
     rng = np.random.default_rng(8)
     sets, pool = [], rng.integers(0, 2**60, 4000).tolist()
     for f in range(5):
@@ -203,9 +214,9 @@ def test_links_by_rounds_are_those_of_all_pairs(spark):
         for _ in range(60):
             k = rng.integers(0, 14)
             sets.append(sorted({*base[k:], *rng.choice(pool, k).tolist()}))
-    signed = spark.createDataFrame([(i, [7]) for i in range(len(sets))], "id long, bands array<long>")
+    signed = spark.createDataFrame([(i, [7], len(x)) for i, x in enumerate(sets)], "id long, bands array<long>, size int")
     data = spark.createDataFrame(list(enumerate(sets)), "id long, x array<long>")
-    got = components.components(line_dedup.linked(signed, lambda ids: data.join(ids, "id", "left_semi"), F.col))
+    got = components.components(buckets.linked(signed, lambda ids: data.join(ids, "id", "left_semi"), buckets.array_sets, 0.8))
     got = {r.node: r.component for r in got.collect()}
     parent = list(range(len(sets)))
     for a in range(len(sets)):
