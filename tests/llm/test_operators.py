@@ -175,8 +175,8 @@ def test_shingles_of_lines():
     for x, a in zip(lines, got):
         for y, b in zip(lines, got):
             assert len(a) == len(char_grams(x)) and len(a & b) == len(char_grams(x) & char_grams(y))
-    keys, size = line_dedup.line_bands(pa.array(lines))
-    assert keys.shape == (len(lines), line_dedup.BANDS) and size.tolist() == [max(1, len(x) - 4) for x in lines]
+    keys, values, size = line_dedup.line_bands(pa.array(lines))
+    assert keys.shape == (len(lines), line_dedup.BANDS) and values.shape == (len(lines), 32) and size.tolist() == [max(1, len(x) - 4) for x in lines]
 
 
 @pytest.mark.parametrize("members", [buckets.MEMBERS, 20])
