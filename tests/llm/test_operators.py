@@ -83,7 +83,7 @@ def test_links_of_crowded_keys(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     want = c.sql(registry.ORACLE[name])
