@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,26 @@ def parts_of(p: DataFrame) -> int:
     return max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), p.count() // PART_ROWS)
 
 
+#: Each column of a clustering is cut at so many of its quantiles, less one: bits of its share in the order.
+CLUSTER_BITS = 10
+
+
+def clustered_on(df: DataFrame, *by: str, partitions: int | None = None) -> DataFrame:
+    """Range-partitioned and sorted so that each of several numeric columns prunes files and row groups: columns become
+    the numbers of their quantile ranges, which follow the values' distribution, and the numbers' bits take turns in
+    the order. Nulls and NaN count as greatest. ``1 << CLUSTER_BITS`` bounds of a column come to the driver."""
+    steps = 1 << CLUSTER_BITS
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / steps for i in range(1, steps)], 10 * steps).alias(c) for c in by]).first()
+    placed = df
+    for c in by:
+        inner = sorted({v for v in cuts[c] or [] if v == v})
+        ends = [float("-inf"), *inner, float("inf")] if inner else [float("-inf"), 0.0, float("inf")]
+        placed = Bucketizer(splits=ends, inputCol=f"_{c}", outputCol=f"_at_{c}", handleInvalid="keep").transform(placed.withColumn(f"_{c}", F.col(c).cast("double")))
+    bits = [F.shiftleft(F.shiftright(F.col(f"_at_{c}").cast("int"), i).bitwiseAND(F.lit(1)).cast("long"), i * len(by) + len(by) - 1 - n) for i in range(CLUSTER_BITS + 1) for n, c in enumerate(by)]
+    placed = placed.withColumn("_place", reduce(lambda a, b: a.bitwiseOR(b), bits)).select(*df.columns, "_place")
+    return placed.repartitionByRange(partitions or parts_of(df), "_place", *by).sortWithinPartitions("_place", *by).drop("_place")
+
+
 def numbered(p: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> DataFrame:
     """Global row numbers (``row_``, from 0) along an order without a window over rows: sorted ranges of the order number
     their rows as they are written, and are shifted by the counts of the ranges before."""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import circle, dist2, edge_array, inside, literal_edges, rings_of, with_bbox, with_point, z_range
+from ..functions.cells import box_cells, first_size, polygon_cells
+from ..functions.geometry import circle, crossing, dist2, inside, literal_edges, rings_of, with_bbox, with_point, z_range
+from .staging import bounded, staged
 
-#: Side of the grid cells that points and query boxes meet in.
+#: Side of the grid cells that blocks and query boxes meet in.
 CELL = 32.0
-#: Catalogues of up to this many cell rows are broadcast (about 100 bytes each); beyond it Spark shuffles.
-BROADCAST_ROWS = 200_000
+#: Up to so many nearest points a query, Spark ranks within tasks before it shuffles; beyond it, parts of a query do.
+GROUP_LIMIT, PARTS = 1000, 64
+CELLS = "j int, cx long, cy long, parity int, heights array<double>, edges array<struct<x0:double,y0:double,x1:double,y1:double>>"
 
 
 def one_of(q: DataFrame, qid: str) -> DataFrame:
@@ -26,47 +31,102 @@ def boxes(q: DataFrame) -> DataFrame:
     return b
 
 
-def _sized(q: DataFrame) -> DataFrame:
-    """Broadcast a catalogue whose counted rows are within the bound."""
-    return F.broadcast(q) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else q
+def decomposed(q: DataFrame) -> DataFrame:
+    """Catalogue rows (with their box, without their text) once for each cell of their region: see
+    :mod:`..functions.cells`. Cells of boxes and circles hold no edges; rows without a box have no cells. A
+    border cell carries what it is tested with, so its size follows the edges inside it."""
+    b = boxes(q).withColumnsRenamed({"minz": "qminz", "maxz": "qmaxz"})
+    kept = [c for c in b.columns if c != "wkt"]
+    names = ("x0", "y0", "x1", "y1")
+    point = pa.struct([(c, pa.float64()) for c in names])
+
+    def rows(batch):
+        for i, (kind, wkt, *box) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("type", "wkt", "minx", "miny", "maxx", "maxy")))):
+            if None in box:
+                continue
+            if kind == "generic":
+                rings = [np.array(r) for r in rings_of(wkt)]
+                for cell in polygon_cells(np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in rings]), box):
+                    yield i, *cell
+            else:
+                j = first_size(box)
+                for cx, cy in zip(*box_cells(box, j)):
+                    yield i, j, int(cx), int(cy), 1, (), np.empty((0, 4))
+
+    def out(batch, held):
+        at, j, cx, cy, parity, heights, edges = zip(*held)
+        flat = np.concatenate(edges)
+        ends = np.cumsum([0, *map(len, edges)], dtype=np.int32)
+        segments = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], fields=list(point)))
+        chosen = batch.select(kept).take(pa.array(at))
+        columns = [pa.array(j, pa.int32()), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(parity, pa.int32()), pa.array([list(h) for h in heights], pa.list_(pa.float64())), segments]
+        return pa.RecordBatch.from_arrays([*chosen.columns, *columns], [*kept, "j", "cx", "cy", "parity", "heights", "edges"])
+
+    def run(batches):
+        for batch in batches:
+            held = []
+            for row in rows(batch):
+                held.append(row)
+                if len(held) == 4096:
+                    yield out(batch, held)
+                    held = []
+            if held:
+                yield out(batch, held)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in b.select(*kept).schema.fields)
+    return staged(b.mapInArrow(run, f"{fields}, {CELLS}"), "region-cells")
 
 
 def join_cells(p: DataFrame, q: DataFrame) -> DataFrame:
-    """Points with every query whose box holds them: boxes are cut in grid cells, an equi-join on the cell
-    meets the points, and the box is checked on what meets. Each pair appears once, as a point has one cell."""
-    b = boxes(q).withColumnsRenamed({"minz": "qminz", "maxz": "qmaxz"})
-    b = b.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / CELL), F.floor(F.col("maxx") / CELL)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / CELL), F.floor(F.col("maxy") / CELL))))
-    on = p.withColumns({"gx": F.floor(F.col("x") / CELL), "gy": F.floor(F.col("y") / CELL)})
-    met = on.join(_sized(b), ["gx", "gy"]).filter(F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
+    """Points with every query whose box and heights hold them and whose cell they fall in: an equi-join on cells
+    of a few sizes, a point having one cell of each. Regions' cells do not overlap, so each pair appears once.
+    Polygons are left to :func:`in_polygons`, which looks at the cell's edges alone."""
+    cells = decomposed(q)
+    sizes = [r.j for r in cells.select("j").distinct().orderBy("j").collect()]  # a few tens at most
+    if not sizes:
+        return p.join(cells, F.lit(False)).drop("j", "cx", "cy")
+    at = lambda c, j: F.floor(F.col(c) / F.lit(2.0**j)).cast("long")
+    keys = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), at("x", j).alias("cx"), at("y", j).alias("cy")) for j in sizes]))
+    on = p.withColumn("_c", keys).withColumns({c: F.col(f"_c.{c}") for c in ("j", "cx", "cy")}).drop("_c")
+    met = on.join(bounded(cells), ["j", "cx", "cy"]).drop("j", "cx", "cy")
+    box = (F.col("type") == "generic") | (F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
     low, high = F.col("qminz").isNull() | (F.col("z") >= F.col("qminz")), F.col("qmaxz").isNull() | (F.col("z") <= F.col("qmaxz"))
-    return met.filter(low & high).drop("gx", "gy")
+    return met.filter(box & low & high)
 
 
-def with_edges(q: DataFrame) -> DataFrame:
-    """Adds the edges of a polygon query as an array, so that a candidate carries all it is tested with."""
-    return q.withColumn("edges", F.when(F.col("type") == "generic", edge_array(F.col("wkt"))))
+def _in_cell() -> Column:
+    """Whether a point lies in its cell's part of the polygon, as all edges together would tell."""
+    turns = F.size(F.filter("heights", lambda h: h <= F.col("y")))
+    return F.aggregate("edges", F.col("parity") + turns, lambda n, e: n + crossing(F.col("x"), F.col("y"), e)) % 2 == 1
 
 
 def in_polygons(met: DataFrame) -> DataFrame:
-    """Of (point, query) pairs with ``edges`` those inside the polygon: no join, no shuffle."""
-    return met.filter(inside(F.col("edges"), F.col("x"), F.col("y")))
+    """Of (point, query) pairs those inside the polygon: no join, no shuffle."""
+    return met.filter(_in_cell()).drop("parity", "heights", "edges")
 
 
 def refined(p: DataFrame, q: DataFrame) -> DataFrame:
     """Points of every rectangle, circle and polygon query of the catalogue."""
-    met = join_cells(p, with_edges(q.filter("type <> 'nn'")))
+    met = join_cells(p, q.filter("type <> 'nn'"))
     cx, cy, rad = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2, (F.col("maxx") - F.col("minx")) / 2
     disc = dist2(F.col("x"), F.col("y"), cx, cy) < rad * rad
-    kept = F.when(F.col("type") == "generic", inside(F.col("edges"), F.col("x"), F.col("y"))).when(F.col("type") == "circle", disc).otherwise(F.col("type") == "rectangle")
-    return met.filter(kept).drop("edges")
+    kept = F.when(F.col("type") == "generic", _in_cell()).when(F.col("type") == "circle", disc).otherwise(F.col("type") == "rectangle")
+    return met.filter(kept).drop("parity", "heights", "edges")
 
 
 def nearest(p: DataFrame, q: DataFrame) -> DataFrame:
     """The ``num`` nearest points in the square around every neighbour query's point. Ties go by raw
-    coordinates."""
-    met = join_cells(p, q.filter("type = 'nn'")).withColumn("d2", dist2(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
-    w = Window.partitionBy("qid").orderBy("d2", "ux", "uy", "uz")
-    return met.withColumn("rank", F.row_number().over(w)).filter("rank <= num")
+    coordinates. No more than the largest ``num`` of a task's candidates of a query are shuffled; where that is over
+    GROUP_LIMIT, a query's candidates are dealt to PARTS first and each part is ranked."""
+    q = q.filter("type = 'nn'")
+    most = q.agg(F.max("num")).first()[0] or 0
+    met = join_cells(p, q).drop("parity", "heights", "edges").withColumn("d2", dist2(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+    order = ["d2", "ux", "uy", "uz"]
+    if most > GROUP_LIMIT:
+        part = Window.partitionBy("qid", F.pmod(F.xxhash64("ux", "uy", "uz"), F.lit(PARTS))).orderBy(*order)
+        met = met.withColumn("_place", F.row_number().over(part)).filter(F.col("_place") <= F.col("num")).drop("_place")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= F.lit(most)).filter("rank <= num")
 
 
 def select_rect(p: DataFrame, region, low=None, high=None) -> DataFrame:

@@ -7,6 +7,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of up to so many bytes, as estimated from their values, are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +34,22 @@ def staged(df: DataFrame, tag: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast if its values, added up, keep within BROADCAST_BYTES; beyond that Spark
+    shuffles it by the join's keys."""
+    sizes = []
+    for f in table.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long"))
+        elif kind == "array":
+            each = 8 * len(f.dataType.elementType.fields) if f.dataType.elementType.typeName() == "struct" else 8
+            sizes.append((F.greatest(F.size(f.name), F.lit(0)) * each).cast("long"))
+    weight = sum(sizes, F.lit(24 + 8 * len(table.columns)).cast("long"))
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 _loaded: dict[tuple, str] = {}
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import polygons as P
 from ..operators import ranges as R
+from ..functions import morton as M
+from ..functions.geometry import in_ranges, inside, literal_edges
 from ..functions.morton import quad_cell
+from ..operators.staging import staged
 from ..sources.points import SCALE, catalogue, files, points
 from . import stored
 from .base import query, sql_encode
@@ -146,16 +147,24 @@ def layout_blocks_cell(spark, d):
 
 # --- Morton ranges -------------------------------------------------------------------------------
 
-#: Raw boxes (grown by a unit), areas, level, leaf cells, merged and capped ranges of the catalogue's regions. A
-#: polygon's leaf counts if an edge passes through its inside or its centre is inside.
-_LEAF = f"""WITH ring AS (SELECT qid, ring, abs(sum(x0*100 * y1*100 - x1*100 * y0*100)) / 2 AS a FROM edges SEMI JOIN (SELECT qid FROM catalogue WHERE type = 'generic') USING (qid) GROUP BY qid, ring),
+#: A cloud far from its offset, as national grids are: raw coordinates need 26 bits.
+FAR = (8_500_000, 44_600_000)
+
+
+def _leaf(sx=0, sy=0):
+    """Domain, raw boxes (grown by a unit), areas, level, leaf cells, merged and capped ranges of the catalogue's
+    regions, with raw coordinates shifted by (sx, sy). A polygon's leaf counts if an edge passes through its inside
+    or its centre is inside."""
+    return f"""WITH dom AS (SELECT min(ux) + {sx} AS a, min(uy) + {sy} AS b, max(ux) + {sx} AS c, max(uy) + {sy} AS e FROM points),
+dm AS (SELECT length(bin(greatest(c, e))) AS bits, length(bin(greatest(c, e))) - greatest(length(bin(xor(a, c))), length(bin(xor(b, e)))) AS first, greatest(c - a, 1)::DOUBLE * greatest(e - b, 1)::DOUBLE AS cloud FROM dom),
+ring AS (SELECT qid, ring, abs(sum(x0*100 * y1*100 - x1*100 * y0*100)) / 2 AS a FROM edges SEMI JOIN (SELECT qid FROM catalogue WHERE type = 'generic') USING (qid) GROUP BY qid, ring),
 poly AS (SELECT qid, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area FROM ring GROUP BY qid),
-raw AS (SELECT b.qid, b.type, CAST(round(minx * 100) AS BIGINT) AS x0_, CAST(round(miny * 100) AS BIGINT) AS y0_, CAST(round(maxx * 100) AS BIGINT) + 1 AS x1_, CAST(round(maxy * 100) AS BIGINT) + 1 AS y1_, poly.area FROM boxes b LEFT JOIN poly USING (qid) WHERE type <> 'nn'),
-lev AS (SELECT *, CAST(least(greatest(ceil(log2(17179869184.0::DOUBLE / greatest(coalesce(area, CAST((x1_-x0_)*(y1_-y0_) AS DOUBLE)), 1.0)) / 2), 1), 16) AS INT) AS level FROM raw),
-siz AS (SELECT *, CAST(1 AS BIGINT) << (17 - level - 1) AS size FROM lev),
+raw AS (SELECT b.qid, b.type, CAST(round(minx * 100) AS BIGINT) + {sx} AS x0_, CAST(round(miny * 100) AS BIGINT) + {sy} AS y0_, CAST(round(maxx * 100) AS BIGINT) + 1 + {sx} AS x1_, CAST(round(maxy * 100) AS BIGINT) + 1 + {sy} AS y1_, poly.area FROM boxes b LEFT JOIN poly USING (qid) WHERE type <> 'nn'),
+lev AS (SELECT *, CAST(least(greatest(ceil(log2(cloud / greatest(coalesce(area, CAST((x1_-x0_)*(y1_-y0_) AS DOUBLE)), 1.0)) / 2), 1) + first, bits - 1) AS INT) AS level FROM raw, dm),
+siz AS (SELECT *, CAST(1 AS BIGINT) << CAST(bits - level - 1 AS INT) AS size FROM lev),
 cx AS (SELECT *, unnest(range(x0_ // size, (x1_ - 1) // size + 1)) AS cx FROM siz),
 every AS (SELECT *, {sql_encode('cx', 'cy')} AS code FROM (SELECT *, unnest(range(y0_ // size, (y1_ - 1) // size + 1)) AS cy FROM cx)),
-part AS (SELECT v.qid, v.code, cx * size AS bx, cy * size AS bz, size, x0*100 AS x0, y0*100 AS y0, (x1-x0)*100 AS dx, (y1-y0)*100 AS dy FROM every v JOIN edges e ON v.qid = e.qid AND v.type = 'generic'),
+part AS (SELECT v.qid, v.code, cx * size AS bx, cy * size AS bz, size, x0*100 + {sx} AS x0, y0*100 + {sy} AS y0, (x1-x0)*100 AS dx, (y1-y0)*100 AS dy FROM every v JOIN edges e ON v.qid = e.qid AND v.type = 'generic'),
 clip AS (SELECT *, CASE WHEN dx = 0 THEN CASE WHEN x0 > bx AND x0 < bx + size THEN 0 ELSE 2 END ELSE least((bx-x0)/dx, (bx+size-x0)/dx) END AS xl, CASE WHEN dx = 0 THEN 1 ELSE greatest((bx-x0)/dx, (bx+size-x0)/dx) END AS xh,
   CASE WHEN dy = 0 THEN CASE WHEN y0 > bz AND y0 < bz + size THEN 0 ELSE 2 END ELSE least((bz-y0)/dy, (bz+size-y0)/dy) END AS yl, CASE WHEN dy = 0 THEN 1 ELSE greatest((bz-y0)/dy, (bz+size-y0)/dy) END AS yh, bx + size / 2.0 AS px, bz + size / 2.0 AS py FROM part),
 rel AS (SELECT qid, code, bool_or(greatest(0, xl, yl) < least(1, xh, yh)) AS crossed, sum(CASE WHEN (y0 <= py AND y0 + dy > py AND dx * (py - y0) - (px - x0) * dy > 0) OR (y0 > py AND y0 + dy <= py AND dx * (py - y0) - (px - x0) * dy < 0) THEN 1 ELSE 0 END) % 2 = 1 AS odd FROM clip GROUP BY qid, code),
@@ -171,51 +180,86 @@ y AS (SELECT *, sum(n2) OVER (PARTITION BY qid ORDER BY lo) AS r2 FROM x),
 capped AS (SELECT qid, min(lo) AS lo, max(hi) AS hi FROM y GROUP BY qid, r2) """
 
 
+_LEAF, _FAR_LEAF = _leaf(), _leaf(*FAR)
+
+
 def _boxes(spark, d):
     return P.boxes(catalogue(spark, d).filter("type <> 'nn'"))
 
 
+def _leveled(spark, d, domain):
+    return R.auto_level(R.regions(_boxes(spark, d), domain), domain)
+
+
 @query(_LEAF + "SELECT qid, size, code FROM leaf")
 def quadtree_cells(spark, d):
     """The cells of every region, given as the leaves below them: tests hold levels, the full flag and the
     collapse to parents against a brute-force version."""
-    r = R.auto_level(R.regions(_boxes(spark, d)))
-    cells = R.quadtree(r).join(r.select("qid", F.col("level").alias("deepest")), "qid")
+    domain = stored.domain(spark, d)
+    r = _leveled(spark, d, domain)
+    cells = R.quadtree(r, domain).join(r.select("qid", F.col("level").alias("deepest")), "qid")
     leaves = F.expr("sequence(shiftleft(code, 2 * (deepest + 1 - level)), shiftleft(code + 1, 2 * (deepest + 1 - level)) - 1)")
-    return cells.select("qid", F.expr(f"shiftleft(1L, {R.BITS} - deepest - 1)").alias("size"), F.explode(leaves).alias("code"))
+    return cells.select("qid", F.expr(f"shiftleft(1L, {domain.bits} - deepest - 1)").alias("size"), F.explode(leaves).alias("code"))
 
 
 @query(_LEAF + "SELECT qid, level FROM lev")
 def quadtree_auto_level(spark, d):
-    return R.auto_level(R.regions(_boxes(spark, d))).select("qid", "level")
+    return _leveled(spark, d, stored.domain(spark, d)).select("qid", "level")
 
 
 @query(_LEAF + "SELECT qid, lo, hi FROM capped")
 def morton_ranges(spark, d):
-    return R.morton_ranges(_boxes(spark, d))
+    return R.morton_ranges(_boxes(spark, d), stored.domain(spark, d))
+
+
+@query(_FAR_LEAF + "SELECT qid, lo, hi FROM capped")
+def morton_ranges_far(spark, d):
+    """As :func:`morton_ranges`, over a cloud far from its offset."""
+    return R.morton_ranges(_boxes(spark, d), _far_domain(spark, d))
 
 
 @query(_LEAF + "SELECT qid, lo, hi FROM capped")
 def udtf_morton_ranges(spark, d):
-    """The session's table function, one call for each region."""
+    """The session's table function on a column of texts, one call for each region; boxes are grown by a unit."""
     R.register(spark)
-    R.auto_level(R.regions(_boxes(spark, d))).createOrReplaceTempView("range_regions")
-    return spark.sql(f"SELECT qid, lo, hi FROM range_regions, LATERAL morton_ranges(edges, level, {R.MAX_RANGES})")
+    domain = stored.domain(spark, d)
+    high = {c: F.col(c) + domain.scale for c in ("maxx", "maxy")}
+    q = _boxes(spark, d).withColumns(high)
+    corners = [("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny")]
+    box = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", *c) for c in corners]), F.lit("))"))
+    q.select("qid", F.when(F.col("type") == "generic", F.col("wkt")).otherwise(box).alias("wkt")).createOrReplaceTempView("range_regions")
+    at = f"{domain.minx}L, {domain.miny}L, {domain.maxx}L, {domain.maxy}L, {domain.scale}D, {domain.offsetx}L, {domain.offsety}L"
+    return spark.sql(f"SELECT qid, lo, hi FROM range_regions, LATERAL morton_ranges(wkt, {at}, CAST(NULL AS INT), {R.MAX_RANGES})")
 
 
 @query(_LEAF + "SELECT m.qid, p.ux, p.uy, p.uz FROM points p JOIN capped m ON p.k BETWEEN m.lo AND m.hi")
 def join_morton_ranges(spark, d):
-    return R.join_ranges(stored.clustered(spark, d), R.morton_ranges(_boxes(spark, d))).select("qid", *XYZ)
+    return R.join_ranges(stored.clustered(spark, d), R.morton_ranges(_boxes(spark, d), stored.domain(spark, d))).select("qid", *XYZ)
+
+
+def _far_domain(spark, d):
+    m = stored.domain(spark, d)
+    return R.Domain(m.minx + FAR[0], m.miny + FAR[1], m.maxx + FAR[0], m.maxy + FAR[1], m.scale, -FAR[0], -FAR[1])
+
+
+@query(_FAR_LEAF + f"SELECT m.qid, p.ux, p.uy FROM points p JOIN capped m ON {sql_encode(f'ux + {FAR[0]}', f'uy + {FAR[1]}')} BETWEEN m.lo AND m.hi")
+def join_morton_ranges_far(spark, d):
+    """As :func:`join_morton_ranges`, over a cloud far from its offset."""
+    p = points(spark, d).select("ux", "uy", M.morton_encode(F.col("ux") + FAR[0], F.col("uy") + FAR[1]).alias("k"))
+    return R.join_ranges(p, R.morton_ranges(_boxes(spark, d), _far_domain(spark, d))).select("qid", "ux", "uy")
+
+
+def _region(spark, box, wkt=None):
+    minx, miny, maxx, maxy = box
+    polygon = f", 'generic' AS type, '{wkt}' AS wkt" if wkt else ""
+    return spark.sql(f"SELECT 'q' AS qid, {minx}D AS minx, {miny}D AS miny, {maxx}D AS maxx, {maxy}D AS maxy{polygon}")
 
 
 def _through_ranges(spark, d, box, wkt=None):
     """Candidates of one region (its polygon, if there is one) by its ranges, pushed to the scan of the
     clustered table as a few literals."""
-    minx, miny, maxx, maxy = box
-    polygon = f", 'generic' AS type, '{wkt}' AS wkt" if wkt else ""
-    region = spark.sql(f"SELECT 'q' AS qid, {minx}D AS minx, {miny}D AS miny, {maxx}D AS maxx, {maxy}D AS maxy{polygon}")
-    found = [(r.lo, r.hi) for r in R.morton_ranges(region).collect()]  # ten at most
-    return stored.clustered(spark, d).filter(reduce(lambda a, b: a | b, [F.col("k").between(a, b) for a, b in found], F.lit(False)))
+    found = R.morton_ranges(_region(spark, box, wkt), stored.domain(spark, d)).collect()  # ten at most
+    return stored.clustered(spark, d).filter(in_ranges(F.col("k"), [(r.lo, r.hi) for r in found]))
 
 
 @query(f"SELECT ux, uy, uz FROM points WHERE {_RECT}")
@@ -238,14 +282,21 @@ def q_morton_polygon(spark, d):
     return P.select_polygon(_through_ranges(spark, d, P.box_of(HOLED), HOLED), HOLED).select(*XYZ)
 
 
-@query(f"SELECT ux, uy, uz FROM points WHERE {_LRECT}")
+#: Full ranges, the longest first, that are told apart in the filter; points of others are refined.
+FULL_RANGES = 32
+
+
+@query(_poly_sql(HOLED))
 def q_morton_split(spark, d):
-    """Full ranges need no refinement, border ranges do."""
-    region = spark.sql("SELECT 'q' AS qid, 200D AS minx, 300D AS miny, 422D AS maxx, 523D AS maxy")
-    r, p = R.morton_ranges(region, split_full=True), stored.clustered(spark, d)
-    whole = R.join_ranges(p, r.filter("full").drop("full"))
-    border = P.select_rect(R.join_ranges(p, r.filter("not full").drop("full")), L_RECT)
-    return whole.unionByName(border).select(*XYZ)
+    """One pass: the region's ranges are pushed to the scan, and only points outside its full ranges are tested
+    against the polygon."""
+    domain, region = stored.domain(spark, d), _region(spark, P.box_of(HOLED), HOLED)
+    r = staged(R.morton_ranges(region, domain, split_full=True), "split")
+    every = R.cap_ranges(R.merge_ranges(r.drop("full"))).collect()  # ten at most
+    full = r.filter("full").orderBy(F.col("hi") - F.col("lo"), ascending=False).limit(FULL_RANGES).collect()
+    near = stored.clustered(spark, d).filter(in_ranges(F.col("k"), [(x.lo, x.hi) for x in every]))
+    whole = in_ranges(F.col("k"), [(x.lo, x.hi) for x in full])
+    return near.filter(whole | inside(literal_edges(HOLED), F.col("x"), F.col("y"))).select(*XYZ)
 
 
 # --- blocks --------------------------------------------------------------------------------------

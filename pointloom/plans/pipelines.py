@@ -149,10 +149,11 @@ def sink_columns(spark, d):
 
 
 @query(f"SELECT ux, uy, uz, k FROM points WHERE {_LRECT}")
-def sinksorted_by(spark, d):
-    """Ordered by x and y, so that row groups have tight bounds; read back with a pushed-down box."""
-    path = staged(sorted_by(points(spark, d).select(*XYZ, "x", "y", "k"), "x", "y"), "clustered")
-    return P.select_rect(path.withColumn("z", F.lit(0.0)), L_RECT).select(*XYZ, "k")
+def sink_clustered(spark, d):
+    """Clustered on x and y together, so that files and row groups have tight bounds of both; read back with a
+    pushed-down box that skips the others."""
+    made = staged(B.clustered_on(points(spark, d).select(*XYZ, "x", "y", "k"), "x", "y"), "clustered")
+    return P.select_rect(made.withColumn("z", F.lit(0.0)), L_RECT).select(*XYZ, "k")
 
 
 @query("SELECT ux, uy, k FROM points WHERE k BETWEEN 1000000000 AND 2000000000")

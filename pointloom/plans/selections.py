@@ -144,7 +144,7 @@ def join_grid_cell(spark, d):
 @query(f"SELECT qid, ux, uy, uz FROM (SELECT b.qid, b.qminz, b.qmaxz, p.* FROM points p JOIN boxes b ON b.type = 'generic' AND p.x BETWEEN b.minx AND b.maxx AND p.y BETWEEN b.miny AND b.maxy) m SEMI JOIN inpoly USING (qid, ux, uy) WHERE {_Z}")
 def join_points_polygons(spark, d):
     q = catalogue(spark, d).filter("type = 'generic'")
-    return P.in_polygons(P.join_cells(points(spark, d), P.with_edges(q))).select("qid", *XYZ)
+    return P.in_polygons(P.join_cells(points(spark, d), q)).select("qid", *XYZ)
 
 
 @query("SELECT b.qid, f.file_id FROM files f JOIN boxes b ON b.type <> 'nn' AND f.minx <= b.maxx AND f.maxx >= b.minx AND f.miny <= b.maxy AND f.maxy >= b.miny")

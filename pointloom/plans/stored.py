@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators.ranges import Domain
 from ..operators.staging import loaded
-from ..sources.points import points
+from ..sources.points import SCALE, points
 
 XYZ = ("ux", "uy", "uz")
 CAPACITY = 500
@@ -24,6 +25,13 @@ def clustered(spark, d) -> DataFrame:
     return loaded(spark, d, "clustered", lambda: sorted_by(points(spark, d).select(*XYZ, "x", "y", "z", "k"), "k"))
 
 
+def domain(spark, d) -> Domain:
+    """The cloud's meta, kept beside its layouts: what ranges and levels refer to."""
+    ends = [f(c).cast("long").alias(f"{f.__name__}{c}") for f in (F.min, F.max) for c in ("ux", "uy")]
+    found = loaded(spark, d, "meta", lambda: points(spark, d).agg(*ends)).first()
+    return Domain(*(v or 0 for v in found), SCALE)
+
+
 def capacity_blocks(spark, d) -> DataFrame:
     return loaded(spark, d, "capacity", lambda: B.blocks_by_capacity(points(spark, d), ORDER, CAPACITY))
 
