@@ -8,7 +8,8 @@ three what leaves the nodes that begin so, and so on. Words under the least coun
 worth reporting holds one. Nodes all of whose flow runs through one edge lie on a unary path and are compacted
 into it: their phrases are those of a longer candidate of equal count.
 
-Hot words: a word of over HOT_SHARE of all words has the edges that begin with it dealt by their next words.
+Hot words: a word of over HOT_SHARE of all words has the edges that begin with it dealt by their third word, one
+of over HOTTEST by their third and fourth.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ UNKNOWN = "und"
 #: A dictionary of up to so many words and bytes is broadcast and numbers words, 21 bits each; beyond it edges
 #: carry 64-bit hashes of words.
 WORDS, WORD_BYTES, BITS = 1 << 20, 1 << 26, 21
-#: There are at most 1 / HOT_SHARE hot words, each dealt to SALTS tasks.
-HOT_SHARE, SALTS = 1 / 1024, 64
+#: There are at most 1 / HOT_SHARE hot words, each dealt to SALTS tasks; salts of the hottest come after the others'.
+HOT_SHARE, HOTTEST, SALTS = 1 / 256, 1 / 32, 64
 #: Languages of a bounded number are broadcast with their totals.
 LANGS = 10_000
 #: Words of edges and distinct words that a task counts together.
@@ -91,8 +92,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Coder:
     """Turns words into numbers: those of the dictionary (END for others), or hashes where there is none."""
 
-    def __init__(self, dictionary: dict | None, hot: frozenset, seed: int):
-        self.dictionary, self.hot, self.seed = dictionary, hot, seed
+    def __init__(self, dictionary: dict | None, hot: list[int], hottest: list[int], seed: int):
+        self.dictionary, self.seed = dictionary, seed
+        self.hot, self.hottest = np.array(hot, np.int64), np.array(hottest, np.int64)
         self.known: dict[str, dict] = {}
 
     def __call__(self, lang: str, words: list[bytes]) -> np.ndarray:
@@ -108,8 +110,9 @@ class Coder:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def edges_of(codes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Salt, words and counts of the distinct edges of texts in a row, each text followed by END."""
+def edges_of(codes: np.ndarray, coder: Coder, wide: bool) -> list[np.ndarray]:
+    """Columns of the distinct edges of texts in a row, each text followed by END: salt and words (see
+    :func:`packed`) and counts. Sorted, as neighbours of one beginning shrink well."""
     n = len(codes)
     padded = np.concatenate([codes, np.zeros(LONGEST - 1, np.int64)])
     words = [padded[:n]]
@@ -117,19 +120,18 @@ def edges_of(codes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, list[np.nd
         words.append(np.where(words[-1] == END, END, padded[j : j + n]))
     first = words[0] != END
     words = [w[first] for w in words]
-    key = np.zeros(len(words[0]), np.uint64)
-    for w in words:
-        key = mix(key ^ w.view(np.uint64))
-    order = np.argsort(key, kind="stable")
-    words = [w[order] for w in words]
+    third = mix(words[2].view(np.uint64))
+    dealt = lambda h: (h % np.uint64(SALTS)).astype(np.int64) + 1
+    salt = np.where(np.isin(words[0], coder.hot), dealt(third), 0)
+    salt = np.where(np.isin(words[0], coder.hottest), SALTS + dealt(mix(third ^ words[3].view(np.uint64))), salt)
+    columns = [salt, *words] if wide else packed(salt, words)
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
     fresh = np.ones(len(order), bool)
     if len(order):
-        fresh[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+        fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     at = np.flatnonzero(fresh)
-    words = [w[at] for w in words]
-    count = np.diff(np.append(at, len(order)))
-    dealt = (mix(words[2].view(np.uint64) ^ mix(words[3].view(np.uint64))) % np.uint64(SALTS)).astype(np.int64) + 1
-    return np.where(np.isin(words[0], hot), dealt, 0), words, count
+    return [*(c[at] for c in columns), np.diff(np.append(at, len(order)))]
 
 
 def packed(salt: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
@@ -150,13 +152,10 @@ def edges(docs: DataFrame, coder, wide: bool) -> DataFrame:
 
     def run(batches):
         code = coder.value
-        hot = np.array(sorted(code.hot), np.int64)
         held, total = [], 0
 
         def out():
-            salt, words, count = edges_of(np.concatenate(held), hot)
-            columns = [salt, *words, count] if wide else [*packed(salt, words), count]
-            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in edges_of(np.concatenate(held), code, wide)], names)
             return [rows.slice(i, 1 << 16) for i in range(0, rows.num_rows, 1 << 16)]
 
         for batch in batches:
@@ -205,9 +204,9 @@ class Flow:
 def node_counts(found: DataFrame, wide: bool, names, least: int) -> DataFrame:
     """``(k, words, n)`` of all phrases of 2 to LONGEST words that occur ``least`` times or more.
 
-    All edges that begin with two words (those of a hot first word: and have the same next two) meet in one
-    task, sorted; it adds them up in one pass, keeping one open node of each length. Counts over the edges of
-    a hot word are sums by salt, added up in a second step. ``names`` is a broadcast of the hashes that the
+    All edges that begin with two words (those of a hot first word: with three, of the hottest: with four) meet in
+    one task, sorted; it adds them up in one pass, keeping one open node of each length. Counts of fewer words
+    than that are sums by salt, added up in a second step. ``names`` is a broadcast of the hashes that the
     dictionary's numbers stand for, or None.
     """
     keys = [c for c in found.columns if c != "n"]
@@ -220,8 +219,7 @@ def node_counts(found: DataFrame, wide: bool, names, least: int) -> DataFrame:
 
         def out(k, done):
             for key, sums in done:
-                # edges of a hot word with the same words 3 and 4 have one salt: four words and more are whole
-                stay = (sums >= least) | ((key[0] > 0) & (k < 4))
+                stay = (sums >= least) | ((key[0] > 0) & (k < 3)) | ((key[0] > SALTS) & (k < 4))
                 words = key[1:, stay].T.ravel()
                 words = words if codes is None else codes[words]
                 n = int(stay.sum())
@@ -276,14 +274,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     coded, seed = _coded(words, least)
     release(words)
     total = totals.agg(F.sum("total")).first()[0] or 0
-    hot = [r.code for r in coded.filter(F.col("n") > total * HOT_SHARE).select("code").collect()]  # 1 / HOT_SHARE at most
+    often = coded.filter(F.col("n") > total * HOT_SHARE).select("code", "n").collect()  # 1 / HOT_SHARE at most
+    hot, hottest = [r.code for r in often], [r.code for r in often if r.n > total * HOTTEST]
     found = _dictionary(coded)
     if found is None:
-        coder, names = Coder(None, frozenset(hot), seed), None
+        coder, names = Coder(None, hot, hottest, seed), None
     else:
         numbers, codes = found
-        at = np.flatnonzero(np.isin(codes[1:], np.array(hot, np.int64))) + 1
-        coder, names = Coder(numbers, frozenset(at.tolist()), seed), spark.sparkContext.broadcast(codes)
+        places = lambda some: (np.flatnonzero(np.isin(codes[1:], np.array(some, np.int64))) + 1).tolist()
+        coder, names = Coder(numbers, places(hot), places(hottest), seed), spark.sparkContext.broadcast(codes)
     wide = found is None
     longer = node_counts(edges(docs, spark.sparkContext.broadcast(coder), wide), wide, names, least)
     grams = stage(coded.select(F.lit(1).alias("k"), F.array("code").alias("words"), "n").unionByName(longer), "grams")

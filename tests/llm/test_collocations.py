@@ -66,10 +66,11 @@ def test_matches_all_counts(few, least, top):
     assert set(map(tuple, co.collocations(df, least, top).collect())) == brute(rows, least, top)
 
 
-@pytest.mark.parametrize("words, hot, together", [(0, 1 / 1024, 1 << 20), (1 << 20, 1e-9, 300), (0, 0.02, 300), (1 << 20, 0.5, 1)])
-def test_hashes_salts_and_small_batches(spark, few, monkeypatch, words, hot, together):
+@pytest.mark.parametrize("words, hot, hottest, together", [(0, 1 / 256, 1 / 32, 1 << 20), (1 << 20, 1e-9, 1e-9, 300), (0, 0.02, 0.05, 300), (1 << 20, 1e-9, 0.05, 1)])
+def test_hashes_salts_and_small_batches(spark, few, monkeypatch, words, hot, hottest, together):
     monkeypatch.setattr(co, "WORDS", words)
     monkeypatch.setattr(co, "HOT_SHARE", hot)
+    monkeypatch.setattr(co, "HOTTEST", hottest)
     monkeypatch.setattr(co, "TOGETHER", together)
     rows, df = few
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
