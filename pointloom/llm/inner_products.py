@@ -209,10 +209,14 @@ def _search_blocks(turn: np.ndarray, width: int, k: int):
     return run
 
 
-def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """Rows with the number of their range by descending length."""
+def _dealt(rows: DataFrame, parts: int, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with the number of their part by descending length, the staged table behind them, and the last number.
+    Ranges are joined to ``parts`` where Spark made more of them."""
     order = [F.desc("length"), F.asc("vec_id"), F.asc("rid")]
-    return rows.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id())
+    made = stage(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
+    ranges = (made.agg(F.max("_range")).first()[0] or 0) + 1
+    fewer = min(parts, ranges)
+    return made.withColumn(name, F.floor(F.col("_range") * fewer / ranges).cast("int")).drop("_range"), made, fewer - 1
 
 
 def top_inner_products(embeddings: DataFrame, k: int = TOP, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -239,10 +243,9 @@ def top_inner_products(embeddings: DataFrame, k: int = TOP, every: int = EVERY,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length)], [*batch.schema.names, "length"])
 
     ranked = rows.mapInArrow(measured, "rid long, vec_id long, v array<double>, length double")
-    slices = stage(_dealt(ranked, -(-n // SLICE), "slice"), "slices")
+    slices, all_slices, last = _dealt(ranked, -(-n // SLICE), "slice")
     longest = stage(slices.groupBy("slice").agg(F.max("length").alias("longest")), "longest")
-    queries = stage(_dealt(slices.filter(F.col("vec_id") % every == 0).drop("slice"), -(-queries_n // QUERIES), "grp"), "queries")
-    last = longest.agg(F.max("slice")).first()[0]
+    queries, all_queries, _ = _dealt(slices.filter(F.col("vec_id") % every == 0).drop("slice"), -(-queries_n // QUERIES), "grp")
     best = None
     low, size = 0, FIRST
     while low <= last:
@@ -267,7 +270,7 @@ def top_inner_products(embeddings: DataFrame, k: int = TOP, every: int = EVERY,
         ranked = stage(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
         release(meets, *([best] if best is not None else []))
         best, low, size = ranked, high, size * GROWTH
-    release(slices, longest, queries)
+    release(all_slices, longest, all_queries)
     bounded = F.greatest(F.least("score", F.lit(LIMIT).cast("decimal(38,0)")), F.lit(-LIMIT).cast("decimal(38,0)"))
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", bounded.cast("long").alias("score"))
 
