@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import loading
 from ..operators import polygons as P
-from ..functions.morton import morton_encode
 from ..operators.staging import fresh, staged
 from ..sources import las, text
 from ..sources.files import name_of, write_whole
@@ -16,6 +16,7 @@ from ..streaming.ingest import enrich, ingest, running_extent
 from .base import query, sql_encode
 from .scalars import LOAD_ORDER, S_RECT, XYZ
 from .selections import L_RECT
+from . import stored
 from .stored import clustered, sorted_by
 
 _LRECT = "x BETWEEN 200 AND 422 AND y BETWEEN 300 AND 523"
@@ -42,11 +43,8 @@ def scan_las(spark, d):
 
 @query("SELECT file_id, num, minx, maxx, miny, maxy FROM files")
 def scan_las_headers(spark, d):
-    folder = fresh(spark, "las")
-    parts = las.write_las(points(spark, d), folder).select("file_id", name_of("path").alias("name"))
-    heads = las.read_headers(spark, folder).withColumn("name", name_of("path")).join(parts, "name")
     ends = [F.round(f(c), 2).alias(c) for f, c in ((F.min, "minx"), (F.max, "maxx"), (F.min, "miny"), (F.max, "maxy"))]
-    return heads.groupBy("file_id").agg(F.sum("num").alias("num"), *ends)
+    return stored.inventory(spark, d).groupBy(F.col("source").alias("file_id")).agg(F.sum("num").alias("num"), *ends)
 
 
 @query("SELECT ux % 65536 AS plane, uy % 65536 AS col, uz % 65536 AS row FROM points")
@@ -220,18 +218,13 @@ def stream_running_extent(spark, d):
 
 @query("SELECT ux, uy, uz FROM points")
 def load_incremental(spark, d):
-    """Batches of arriving files, each cut in blocks and appended; files that an earlier batch loaded are skipped
-    by their paths. The second batch names all files, also the loaded ones."""
-    arrived, target = _arriving(spark, d), fresh(spark, "loaded")
-    paths = sorted(arrived.inputFiles())
-    for names in (paths[: (len(paths) + 1) // 2], paths):
-        batch = spark.read.parquet(*names).select("*", F.col("_metadata.file_path").alias("path"))
-        if names is paths:
-            batch = batch.join(spark.read.parquet(target).select("path").distinct(), "path", "left_anti")
-        batch = batch.withColumn("k", morton_encode(F.col("ux"), F.col("uy")))
-        rows = B.numbered_within(batch, "path", LOAD_ORDER).withColumn("block_ix", F.floor(F.col("row") / 500))
-        B.packed(rows.groupBy("path", "block_ix")).write.mode("append").parquet(target)
-    return B.explode_blocks(spark.read.parquet(target)).select(*XYZ)
+    """Arriving files in batches of points, each cut in blocks and committed to a manifest; the second load names all
+    files again and opens none of them."""
+    arrived, target = stored.inventory(spark, d), fresh(spark, "loaded")
+    some = arrived.filter("source % 2 = 0")
+    for files_ in (some, arrived, arrived):
+        loading.load(spark, files_, target)
+    return B.explode_blocks(loading.loaded_blocks(spark, target)).select(*XYZ)
 
 
 @query("SELECT file_id, CAST(floor((row_number() OVER (PARTITION BY file_id ORDER BY k, uz, gpstime, intensity, red, green) - 1) / 100) AS BIGINT) AS block_ix, ux, uy, uz FROM points")

@@ -9,6 +9,7 @@ from ..functions import morton as M
 from ..operators import blocks as B
 from ..functions.geometry import edges
 from ..operators.polygons import boxes, select_circle, tiles
+from ..sources import las
 from ..sources.points import SCALE, catalogue, dims, files, points
 from . import stored
 from .base import query, sql_encode, sql_gather
@@ -160,10 +161,14 @@ def filter_morton_approx(spark, d):
 
 @query("SELECT f.file_id, CAST(count(*) FILTER (p.x BETWEEN 999.5 AND 1000 AND p.y BETWEEN 0 AND 500) AS BIGINT) AS n FROM files f JOIN points p ON p.file_id = f.file_id WHERE f.minx <= 1000 AND f.maxx >= 999.5 AND f.miny <= 500 AND f.maxy >= 0 GROUP BY f.file_id")
 def filter_files(spark, d):
-    """Files whose envelope meets a box, then a scan of those files alone: the join prunes the others' folders."""
-    chosen = files(points(spark, d)).filter("minx <= 1000 AND maxx >= 999.5 AND miny <= 500 AND maxy >= 0").select("file_id")
-    hit = F.col("x").between(999.5, 1000) & F.col("y").between(0, 500)
-    return stored.by_file(spark, d).join(chosen, "file_id").groupBy("file_id").agg(F.count(F.when(hit, 1)).alias("n"))
+    """Files whose envelope meets a box, by their headers, then a scan whose filters open those files alone."""
+    chosen = stored.envelopes(spark, d).filter("minx <= 1000 AND maxx >= 999.5 AND miny <= 500 AND maxy >= 0").select("file_id")
+    files_ = stored.inventory(spark, d)
+    found = las.scan(spark, files_, "XYxy").filter("x >= 999.49 AND x <= 1000.01 AND y >= -0.01 AND y <= 500.01")
+    # exact on raw values: coordinates of a file are products
+    hit = found.filter((F.col("ux") / 100).between(999.5, 1000) & (F.col("uy") / 100).between(0, 500)).groupBy("path").agg(F.count("*").alias("n"))
+    n = files_.select("path", F.col("source").alias("file_id")).join(hit, "path").groupBy("file_id").agg(F.sum("n").alias("n"))
+    return chosen.join(n, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT ux, uy, uz FROM points WHERE returnnum <= numreturnpulse AND returnnum > 0 AND (classification & 128) = 0 AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import blocks as B
 from ..operators import polygons as P
-from ..sources.points import catalogue, files, points
+from ..sources.points import catalogue, points
+from . import stored
 from .base import query
 from .scalars import S_CIRC, S_RECT, XYZ
 
@@ -149,10 +150,11 @@ def join_points_polygons(spark, d):
 
 @query("SELECT b.qid, f.file_id FROM files f JOIN boxes b ON b.type <> 'nn' AND f.minx <= b.maxx AND f.maxx >= b.minx AND f.miny <= b.maxy AND f.maxy >= b.miny")
 def join_files_query(spark, d):
-    """Envelopes and boxes meet in coarse grid cells and are checked there; a pair may meet in several."""
+    """Envelopes of headers and boxes meet in coarse grid cells and are checked there; a pair may meet in several. No
+    point is read."""
     cell = 128.0
     span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    f = files(points(spark, d)).withColumnsRenamed({c: f"f{c}" for c in ("minx", "maxx", "miny", "maxy")}).select("file_id", "fminx", "fmaxx", "fminy", "fmaxy")
+    f = stored.envelopes(spark, d).withColumnsRenamed({c: f"f{c}" for c in ("minx", "maxx", "miny", "maxy")}).select("file_id", "fminx", "fmaxx", "fminy", "fmaxy")
     f = f.withColumn("gx", span("fminx", "fmaxx")).withColumn("gy", span("fminy", "fmaxy"))
     b = P.boxes(catalogue(spark, d).filter("type <> 'nn'")).withColumn("gx", span("minx", "maxx")).withColumn("gy", span("miny", "maxy"))
     met = b.join(f, ["gx", "gy"]).filter((F.col("fminx") <= F.col("maxx")) & (F.col("fmaxx") >= F.col("minx")) & (F.col("fminy") <= F.col("maxy")) & (F.col("fmaxy") >= F.col("miny")))

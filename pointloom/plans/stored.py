@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators.ranges import Domain
-from ..operators.staging import loaded
+from ..operators.staging import fresh, loaded
+from ..sources import las
 from ..sources.points import SCALE, points
 
 XYZ = ("ux", "uy", "uz")
@@ -40,7 +41,18 @@ def cell_blocks(spark, d) -> DataFrame:
     return loaded(spark, d, "cells", lambda: B.blocks_by_cell(points(spark, d), LEVEL))
 
 
-def by_file(spark, d) -> DataFrame:
-    """A folder for each file; large files are dealt to four tasks."""
-    salted = points(spark, d).select(*XYZ, "x", "y", "file_id").withColumn("_salt", F.pmod(F.xxhash64(*XYZ), F.lit(4)))
-    return loaded(spark, d, "files", lambda: salted.repartition("file_id", "_salt").drop("_salt"), "file_id")
+def inventory(spark, d) -> DataFrame:
+    """Headers of the cloud's LAS files, which are written beside them once."""
+
+    def make():
+        folder = fresh(spark, "las")
+        las.write_las(points(spark, d), folder)
+        return las.inventory(spark, folder, fresh(spark, "headers"))
+
+    return loaded(spark, d, "inventory", make)
+
+
+def envelopes(spark, d) -> DataFrame:
+    """``(file_id, minx, miny, maxx, maxy)`` from the headers alone."""
+    ends = [F.round(f(c), 2).alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))]
+    return inventory(spark, d).groupBy(F.col("source").alias("file_id")).agg(*ends)

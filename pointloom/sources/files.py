@@ -29,11 +29,11 @@ def write_whole(path: str, content: bytes) -> None:
 
 
 def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(path, length)`` of a file, several, a folder, a pattern, or of a list file `@file`. Spark lists them."""
+    """``(path, length, modified)`` of a file, several, a folder, a pattern, or of a list file `@file`. Spark lists them."""
     if isinstance(paths, str) and paths.startswith("@"):
         names = [r.value.strip() for r in spark.read.text(paths[1:]).collect()]  # a line a file
         paths = [n for n in names if n]
-    return spark.read.format("binaryFile").load(paths).select("path", "length")
+    return spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
 def name_of(path):

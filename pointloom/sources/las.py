@@ -1,23 +1,28 @@
 """Uncompressed LAS files, point formats 0 to 3.
 
-Headers are read file by file; point records in ranges of records, so that a large file is many tasks.
+Headers are read file by file into an inventory, point records in ranges of records, so that a large file is many
+tasks. Which files to read is chosen from the inventory: by a filter of it, or by the data source ``las``, whose
+filters on coordinates drop the files whose envelope they miss. Files that are not chosen are never opened.
 """
 
 from __future__ import annotations
 
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..operators.blocks import parts_of
-from ..operators.staging import staged
+from ..operators.staging import fresh, staged
 from .files import listed, read_range, write_whole
 from .points import DIMENSIONS, schema
 
-HEADER = "path string, num long, point_offset long, format int, length int, scalex double, scaley double, scalez double, offsetx double, offsety double, offsetz double, minx double, miny double, minz double, maxx double, maxy double, maxz double"
+HEADER = "path string, source int, num long, point_offset long, format int, length int, scalex double, scaley double, scalez double, offsetx double, offsety double, offsetz double, minx double, miny double, minz double, maxx double, maxy double, maxz double"
 RANGE = 1 << 18
 #: Records of a file that is written.
 PART_POINTS = 1 << 20
@@ -31,17 +36,17 @@ def _header(path: str) -> dict:
     b = read_range(path, 0, 227)
     if b[:4] != b"LASF":
         raise ValueError(f"{path} is no LAS file")
+    source, = struct.unpack_from("<H", b, 4)
     offset, = struct.unpack_from("<I", b, 96)
     kind, length, num = struct.unpack_from("<BHI", b, 104)
     if kind not in FORMATS:
         raise ValueError(f"{path} has point records of format {kind}; formats {min(FORMATS)} to {max(FORMATS)} are read")
     sx, sy, sz, ox, oy, oz, hx, lx, hy, ly, hz, lz = struct.unpack_from("<12d", b, 131)
-    return {"path": path, "num": num, "point_offset": offset, "format": kind, "length": length, "scalex": sx, "scaley": sy, "scalez": sz, "offsetx": ox, "offsety": oy, "offsetz": oz, "minx": lx, "miny": ly, "minz": lz, "maxx": hx, "maxy": hy, "maxz": hz}
+    return {"path": path, "source": source, "num": num, "point_offset": offset, "format": kind, "length": length, "scalex": sx, "scaley": sy, "scalez": sz, "offsetx": ox, "offsety": oy, "offsetz": oz, "minx": lx, "miny": ly, "minz": lz, "maxx": hx, "maxy": hy, "maxz": hz}
 
 
-def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row for each file, by its path."""
-    todo = listed(spark, paths).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+def _headers(found: DataFrame) -> DataFrame:
+    todo = found.select("path").repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(parts):
         for part in parts:
@@ -50,6 +55,28 @@ def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return todo.mapInPandas(run, HEADER)
 
 
+def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row for each file, by its path."""
+    return _headers(listed(spark, paths))
+
+
+def inventory(spark: SparkSession, paths: str | list[str], at: str) -> DataFrame:
+    """The headers of all files listed, kept at ``at`` with the files' sizes and times: only files that are new there or
+    have changed are opened, files that are gone are left out."""
+    now = listed(spark, paths).withColumnRenamed("length", "bytes")
+    try:
+        known = spark.read.parquet(at)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    fresh_ = now if known is None else now.join(known, ["path", "bytes", "modified"], "left_anti")
+    fresh_ = staged(fresh_, "new-files")
+    if known is None or not fresh_.isEmpty():
+        _headers(fresh_).join(fresh_, "path").write.mode("append").parquet(at)
+    return spark.read.parquet(at).join(now, ["path", "bytes", "modified"], "left_semi")
+
+
 def _records(path: str, h, start: int, count: int) -> pd.DataFrame:
     fields = FORMATS[int(h.format)]
     kind = np.dtype({"names": [n for n, _ in fields], "formats": [t for _, t in fields], "offsets": list(np.cumsum([0] + [np.dtype(t).itemsize for _, t in fields])[:-1]), "itemsize": int(h.length)})
@@ -62,27 +89,116 @@ def _records(path: str, h, start: int, count: int) -> pd.DataFrame:
 
 
 def read_las(spark: SparkSession, paths: str | list[str], letters: str = "xyz", skip_invalid: bool = False) -> DataFrame:
-    """``(path, m, dimensions…)``; ``m`` is the record's place in its file. The key ``k`` is left to
-    :func:`..functions.morton.morton_encode`. Invalid records (return above the pulse's returns, or 0 of
-    some) may be skipped."""
-    headers = read_headers(spark, paths)
+    """The records of files: see :func:`records`."""
+    return records(read_headers(spark, paths), letters, skip_invalid)
+
+
+def _types(letters: str) -> str:
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema(letters).fields)
+    return f"path string, m long, {fields}"
+
+
+def _frame(h, start: int, count: int, wanted: str, skip_invalid: bool = False) -> pd.DataFrame:
+    got = _records(h.path, h, start, count)
+    out = pd.DataFrame({"path": h.path, "m": start + np.arange(len(got))} | {DIMENSIONS[c][0]: got[c].to_numpy() for c in wanted})
+    return out[((got["r"] <= got["n"]) & (got["r"] > 0) | (got["n"] == 0)).to_numpy()] if skip_invalid else out
+
+
+def records(headers: DataFrame, letters: str = "xyz", skip_invalid: bool = False) -> DataFrame:
+    """``(path, m, dimensions…)`` of the files that ``headers`` names, and no others; ``m`` is the record's place in
+    its file. The key ``k`` is left to :func:`..functions.morton.morton_encode`. Invalid records (return above the
+    pulse's returns, or 0 of some) may be skipped."""
     ranges = headers.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("num") - 1, F.lit(0)), F.lit(RANGE).cast("long")))).filter("num > 0")
     ranges = ranges.repartition(F.col("path"), F.col("start"))
-    wanted = [c for c in letters if c != "k"]
+    wanted = letters.replace("k", "")
 
     def run(parts):
         for part in parts:
             for h in part.itertuples():
-                got = _records(h.path, h, int(h.start), int(min(RANGE, h.num - h.start)))
-                out = pd.DataFrame({"path": h.path, "m": h.start + np.arange(len(got))})
-                for c in wanted:
-                    out[DIMENSIONS[c][0]] = got[c].to_numpy()
-                if skip_invalid:
-                    out = out[((got["r"] <= got["n"]) & (got["r"] > 0) | (got["n"] == 0)).to_numpy()]
-                yield out
+                yield _frame(h, int(h.start), int(min(RANGE, h.num - h.start)), wanted, skip_invalid)
+
+    return ranges.mapInPandas(run, _types(wanted))
+
+
+class Asked(NamedTuple):
+    """What a pushed filter asks of an axis: values from ``low`` to ``high``."""
+
+    axis: str
+    low: float
+    high: float
+
+
+def _asked(f) -> Asked | None:
+    if not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or f.attribute not in (("x",), ("y",), ("z",)):
+        return None
+    low = f.value if not isinstance(f, (LessThan, LessThanOrEqual)) else float("-inf")
+    high = f.value if not isinstance(f, (GreaterThan, GreaterThanOrEqual)) else float("inf")
+    return Asked(f.attribute[0], float(low), float(high))
+
+
+class Records(InputPartition):
+    def __init__(self, header: dict, start: int, count: int):
+        self.header, self.start, self.count = header, start, count
+
+
+class LasReader(DataSourceReader):
+    """Files of an inventory, less those whose envelope the pushed filters miss. Spark still applies the filters."""
+
+    def __init__(self, options: dict):
+        self.options, self.asked = options, []
+
+    def pushFilters(self, filters):
+        self.asked = [a for a in map(_asked, filters) if a]
+        yield from filters
+
+    def partitions(self):
+        import json
+
+        out = []
+        for line in read_range(self.options["headers"], 0, 1 << 40).decode().splitlines():
+            h = json.loads(line)
+            near = 1e-6  # envelopes are rounded as their writer did
+            if all(h[f"min{a.axis}"] - near <= a.high and h[f"max{a.axis}"] + near >= a.low for a in self.asked):
+                out += [Records(h, at, min(RANGE, h["num"] - at)) for at in range(0, h["num"], RANGE)]
+        return out
+
+    def read(self, partition):
+        from types import SimpleNamespace
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+        if partition is None:  # no file is left
+            return
+        kinds = to_arrow_schema(StructType([StructField("path", StringType()), StructField("m", LongType()), *schema(self.options["letters"]).fields]))
+        frame = _frame(SimpleNamespace(**partition.header), partition.start, partition.count, self.options["letters"])
+        for at in range(0, len(frame), 1 << 16):
+            yield pa.RecordBatch.from_pandas(frame.iloc[at : at + (1 << 16)], schema=kinds, preserve_index=False)
+
+
+class LasSource(DataSource):
+    """``spark.read.format("las")`` with options ``headers`` (a file of header rows as JSON lines) and ``letters``."""
+
+    @classmethod
+    def name(cls):
+        return "las"
+
+    def schema(self):
+        return _types(self.options.get("letters", "xyz"))
+
+    def reader(self, schema):
+        return LasReader({"letters": "xyz"} | dict(self.options))
+
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema("".join(wanted)).fields)
-    return ranges.mapInPandas(run, f"path string, m long, {fields}")
+def scan(spark: SparkSession, headers: DataFrame, letters: str = "xyz") -> DataFrame:
+    """The files of an inventory as a data source: filters on x, y and z choose the files to open. The list of files
+    is planned on the driver, as any scan's is; filter the inventory itself where it is too long for that."""
+    spark.dataSource.register(LasSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = fresh(spark, "headers") + ".json"
+    write_whole(path, "\n".join(headers.toJSON().toLocalIterator()).encode())
+    return spark.read.format("las").option("headers", path).option("letters", letters.replace("k", "")).load()
 
 
 ORDER = ("k", "uz", "gpstime", "intensity", "red", "green")
@@ -96,6 +212,7 @@ def _written(part: pd.DataFrame, path: str, scale: float) -> None:
     head = bytearray(227)
     head[:4] = b"LASF"
     head[24:26] = bytes([1, 2])
+    struct.pack_into("<H", head, 4, int(part["file_id"].iloc[0]))
     struct.pack_into("<HI", head, 94, 227, 227)
     struct.pack_into("<BHI", head, 104, 3, raw.dtype.itemsize, len(raw))
     ends = [v for c in ("ux", "uy", "uz") for v in (part[c].max() * scale, part[c].min() * scale)]
@@ -106,7 +223,8 @@ def _written(part: pd.DataFrame, path: str, scale: float) -> None:
 def write_las(p: DataFrame, folder: str, scale: float = 0.01) -> DataFrame:
     """Files of format 3 of up to PART_POINTS records, one or more for each ``file_id``, in the order of the
     key: ``(file_id, path, num, first)``, ``first`` being the records of the file_id in the files before.
-    Ranges of the order are written where they are sorted; ``folder`` must be a shared path."""
+    Ranges of the order are written where they are sorted; ``folder`` must be a shared path. The id stands in the
+    header as the file source ID and so must fit into 16 bits."""
 
     def run(parts):
         from pyspark import TaskContext
