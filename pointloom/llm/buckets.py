@@ -3,7 +3,11 @@
 Rows that share a band key are a bucket. Buckets of a bounded size are compared in tasks, many at once, with
 numpy; larger ones lose members in rounds of Spark joins until they are small enough. Both use one rule: all
 members meet one of them, the leader, and what the triangle inequality of the Jaccard distance then proves to
-be linked or without a link leaves the bucket. So no pairs of a group are emitted and none is lost.
+be linked or without a link leaves the bucket. A bucket that a round does not halve is dealt anew by its members'
+rarest shingles (prefix filtering): two sets of the threshold's similarity share one of the first few of theirs,
+so linked members meet again. Where that would not save comparisons, all members being alike but not enough, the
+bucket is cut into blocks, and tasks compare two blocks each. So no pairs of a group are emitted and no link inside
+a bucket is lost, whatever its size.
 """
 
 from __future__ import annotations
@@ -194,11 +198,39 @@ def _scored(pairs: DataFrame, known: DataFrame, sets: Sets) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long, j double")
 
 
-def _dealt(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Members of crowded buckets dealt anew by each band that their bucket's path lacks."""
-    more = members.join(signed.select("id", "bands"), "id").select("id", "size", "path", F.explode("bands").alias("j")).filter(F.col("j").isNotNull() & ~F.array_contains("path", F.col("j")))
-    more = more.select("id", "size", F.array_sort(F.concat("path", F.array("j"))).alias("path"))
-    return more.select(F.xxhash64("path").alias("k"), "path", "id", "size").distinct()
+def _ranked(rows: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+    """``(id, token)`` of ``rows(id, x)``: of each set's shingles the rarest, one more than a set of the threshold's
+    similarity can lack. Two such sets share one of these, the rarest of all that they share."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                values, starts = sets(piece.column("x"))
+                row = np.repeat(np.arange(piece.num_rows), np.diff(starts))
+                order = np.lexsort((values, row))
+                row, values = row[order], values[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
+                ids = piece.column("id").take(pa.array(row[fresh]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(values[fresh].view(np.int64))], ["id", "token"])
+
+    tokens = stage(rows.select("id", "x").mapInArrow(run, "id long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
+    each = tokens.join(often.hint("shuffle_merge"), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("all"))
+    lacking = (F.size("all") - F.ceil(F.size("all") * threshold - EPS)).cast("int")
+    out = stage(each.select("id", F.explode(F.slice("all", F.lit(1), lacking + 1)).alias("one")).select("id", "one.token"), "ranked")
+    release(tokens)
+    return out
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of crowded buckets, with their bucket's ``left`` and ``all``, dealt to blocks of half the bounds and these
+    to new buckets of two, so that each two members meet."""
+    n = F.greatest(F.ceil(F.col("left") * 2 / MEMBERS), F.ceil(F.col("all") * 2 / SHINGLES), F.lit(2)).cast("int")
+    dealt = members.withColumn("n", n).withColumn("one", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    pairs = dealt.withColumn("two", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("one <> two")
+    return pairs.select(F.xxhash64("k", F.least("one", "two"), F.greatest("one", "two")).alias("k"), "id", "size")
 
 
 def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, agree: int = 0) -> DataFrame:
@@ -212,7 +244,8 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
     share its label from then on; labels that a leader links become one. Pairs of one label need no further
     look. As 1 - j is a metric, a linked member can have a link to an unlinked one of similarity j only if its
     own does not exceed j + 1 - threshold; all others leave the bucket, as does the leader, whose links are all
-    known. A bucket that did not shrink by half is dealt anew by each further band, until all are used up.
+    known. A bucket that did not shrink by half is dealt anew by rare shingles, once, if the squares of the crowded
+    parts add up to less than its own; else its blocks are compared.
     """
     reach = 2 * threshold - 1
     parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -235,9 +268,8 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
     if not crowded:
         release(members, rows)
         return links
-    signed = stage(signed.join(large.select("id").distinct().hint("shuffle_merge"), "id", "left_semi"), "signed")
-    depth = signed.agg(F.max(F.size("bands"))).first()[0] or 0
-    members = stage(large.select("k", F.array("k").alias("path"), "id", "size", F.lit(None).cast("int").alias("label")), "members")
+    ranked = _ranked(rows.join(large.select("id").distinct().hint("shuffle_merge"), "id", "left_semi"), sets, threshold)
+    members = stage(large.select("k", F.lit(False).alias("dealt"), "id", "size", F.lit(None).cast("int").alias("label")), "members")
     turn = 0
     while True:
         turn += 1
@@ -252,7 +284,7 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
         judged = met.join(scored.select(F.col("u").alias("id"), F.col("v").alias("low"), "j").hint("shuffle_merge"), ["id", "low"], "left")
         # what has the leader's label already counts as linked, at a similarity not known
         same = F.coalesce(F.col("label") == F.col("own"), F.lit(False))
-        judged = stage(judged.select("k", "path", "id", "size", "n", "label", "own", F.coalesce("j", F.when(same, threshold).otherwise(0.0)).alias("j")), "judged")
+        judged = stage(judged.select("k", "dealt", "id", "size", "n", "label", "own", F.coalesce("j", F.when(same, threshold).otherwise(0.0)).alias("j")), "judged")
         release(met)
         hit = F.col("j") >= threshold
         joined = judged.groupBy("k").agg(F.collect_set(F.when(hit, F.coalesce("label", F.lit(turn)))).alias("ones"))  # at most a label a round
@@ -263,20 +295,24 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
         # of each bucket the similarity of the nearest member outside the leader's label
         open_ = merged.filter("not in").groupBy("k").agg(F.max("j").alias("near"))
         rest = merged.join(open_.hint("shuffle_merge"), "k").filter(~F.col("in") | ((F.col("near") >= reach) & (F.col("j") <= F.col("near") + (1 - threshold) + EPS)))
-        sizes = rest.groupBy("k").agg(F.count("*").alias("left"), F.sum(F.col("size").cast("long")).alias("total"), F.count("label").alias("known"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        sizes = sizes.filter("left > 1 and (known < left or l0 < l1)").select("k", "left", "total")
-        rest = stage(rest.join(sizes.hint("shuffle_merge"), "k").select("k", "path", "id", "size", "label", "n", "left", "total"), "rest")
+        sizes = rest.groupBy("k").agg(F.count("*").alias("left"), F.sum(F.col("size").cast("long")).alias("all"), F.count("label").alias("known"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        sizes = sizes.filter("left > 1 and (known < left or l0 < l1)").select("k", "left", "all")
+        rest = stage(rest.join(sizes.hint("shuffle_merge"), "k").select("k", "dealt", "id", "size", "label", "n", "left", "all"), "rest")
         release(merged)
-        again = (F.col("left") * 2 <= F.col("n")) | (F.size("path") >= depth)
-        small = (F.col("left") <= MEMBERS) & (F.col("total") <= SHINGLES)
-        anew = _dealt(rest.filter(~small & ~again), signed)
-        known = anew.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total")).filter("n > 1").select("k", fits.alias("fits"))
-        anew = stage(anew.join(known.hint("shuffle_merge"), "k"), "anew")
-        ready = rest.filter(small).select("k", "id", "size").unionByName(anew.filter("fits").select("k", "id", "size"))
+        again = F.col("left") * 2 <= F.col("n")
+        small = (F.col("left") <= MEMBERS) & (F.col("all") <= SHINGLES)
+        slow = rest.filter(~small & ~again)
+        anew = slow.filter("not dealt").join(ranked.hint("shuffle_merge"), "id").select(F.xxhash64("k", "token").alias("part"), "k", "id", "size", "left")
+        known = anew.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total"), F.first("k").alias("k"), F.first("left").alias("left"))
+        known = stage(known.filter("n > 1").select("part", "k", "n", "left", fits.alias("fits")), "parts")
+        alike = known.filter("not fits").groupBy("k").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.first("left").alias("left")).filter(F.col("squares") >= F.col("left") * F.col("left")).select("k")
+        met = stage(anew.select("part", "id", "size").join(known.join(alike.hint("shuffle_merge"), "k", "left_anti").select("part", "fits").hint("shuffle_merge"), "part"), "anew")
+        blocks = _blocks(slow.join(alike.withColumn("alike", F.lit(True)).hint("shuffle_merge"), "k", "left").filter(F.col("dealt") | F.col("alike")))
+        ready = rest.filter(small).select("k", "id", "size").unionByName(met.filter("fits").select(F.col("part").alias("k"), "id", "size")).unionByName(blocks)
         links = links.unionByName(stage(_links(ready.join(text, "id"), sets, threshold), "links"))
-        fresh = anew.filter("not fits").select("k", "path", "id", "size", F.lit(None).cast("int").alias("label"))
-        members = stage(rest.filter(~small & again).select("k", "path", "id", "size", "label").unionByName(fresh), "members")
-        release(rest, anew)
+        fresh = met.filter("not fits").select(F.col("part").alias("k"), F.lit(True).alias("dealt"), "id", "size", F.lit(None).cast("int").alias("label"))
+        members = stage(rest.filter(~small & again).select("k", "dealt", "id", "size", "label").unionByName(fresh), "members")
+        release(rest, known, met)
         if members.isEmpty():
-            release(members, rows, signed)
+            release(members, rows, ranked)
             return links

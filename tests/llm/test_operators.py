@@ -228,6 +228,27 @@ def test_links_of_a_bucket_are_those_of_all_pairs(spark, monkeypatch, members, t
     assert [got.get(i, i) for i in range(len(sets))] == [find(parent, i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("members", [buckets.MEMBERS, 20])
+def test_isolated_pairs_of_a_crowded_bucket(spark, monkeypatch, members):
+    """300 pairs just over the threshold among variants of one template that are far below it: none is lost, however
+    small the buckets that one task may take."""
+    monkeypatch.setattr(buckets, "MEMBERS", members)
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 2**60, 100_000).tolist()
+    template, sets = pool[:40], []
+    for p in range(300):
+        own = pool[1000 + 60 * p : 1000 + 60 * p + 50]
+        a = {*template, *own}
+        k = int(rng.integers(8, 11))  # of 90: a similarity of 0.8 to 0.84
+        sets += [sorted(a), sorted({*template, *own[k:], *rng.choice(pool[50_000:], k, replace=False).tolist()})]
+    linked = {(i, j) for i in range(0, 600, 2) for j in (i + 1,) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert len(linked) > 200
+    signed = spark.createDataFrame([(i, [7, 8 + i % 3], len(x)) for i, x in enumerate(sets)], "id long, bands array<long>, size int")
+    data = spark.createDataFrame(list(enumerate(sets)), "id long, x array<long>")
+    got = buckets.linked(signed, lambda ids: data.join(ids, "id", "left_semi"), buckets.array_sets, 0.8)
+    assert {tuple(sorted(r)) for r in got.select("u", "v").collect()} == linked
+
+
 def windows_removed(rows, cut, size):
     first = {}
     key = lambda i: 1 << 62 if i is None else i
