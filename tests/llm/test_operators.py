@@ -156,6 +156,24 @@ def test_op3(docs, empty, rows):
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_op3_query_row_by_row(spark, tmp_path):
+    """Lines, removed lines and the digest of every document against all pairs of lines."""
+    texts_ = {i: t for i, t in enumerate(["one two three four five\nsix seven eight nine ten eleven", "one two three four five\nother words here\n\n \nsix seven eight nine ten eleven twelve", None, "", "\n\n", "x\nx\ny", "six seven eight nine ten elevem\ny\nlast line of all", "b\n" * 500 + "tail", "other  words here"])}
+    spark.createDataFrame(list(texts_.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = {}
+    groups = line_groups(list(texts_.items()))
+    for places in groups.values():
+        keep = min((i, p) for i, _, p in places)
+        first |= {(i, p): keep for i, _, p in places}
+    want = {}
+    for i, t in texts_.items():
+        lines = (t or "").split("\n")
+        kept = [x for p, x in enumerate(lines) if first.get((i, p), (i, p)) == (i, p)]
+        want[i] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    got = registry.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in got} == want and len(got) == len(want)
+
+
 def test_op3_lines_with_one_typo(spark):
     """Lines of some 70 characters with one letter changed are similar at 5-character shingles."""
     rng = np.random.default_rng(11)
@@ -401,6 +419,8 @@ def test_op7(docs, empty, rows):
             e = s
         return out
 
+    encoded = lambda t: [i for w in t.split(" ") for i in best("▁" + w)] if t else []
+    assert Counter((r.doc_id, tuple(r.ids)) for r in pieces.encoded(docs).collect()) == Counter((i, tuple(encoded(t or ""))) for i, t in rows)
     for r in pieces.encoded(docs).collect():
         text = next(t for i, t in rows if i == r.doc_id) or ""
         if [i for i, _ in rows].count(r.doc_id) == 1:
@@ -417,9 +437,11 @@ def test_op8(spark, docs, empty, rows):
     full = lambda t: len(counter.encode(t))
     with_edits = token_counts.derived_edits(docs)
     edits = {r.doc_id: r.edits for r in with_edits.collect()}
+    seen = Counter((r.doc_id, r.n_tokens_before) for r in token_counts.build(with_edits).selectExpr("doc_id", "n_tokens as n_tokens_before").collect())
+    assert seen == Counter((i, full(t or "")) for i, t in rows)  # rows of a repeated id too
     for r in token_counts.apply_edits(token_counts.build(with_edits)).collect():
         if [i for i, _ in rows].count(r.doc_id) > 1:
-            continue
+            continue  # which of the texts it was is not in the result
         text = next(t for i, t in rows if i == r.doc_id) or ""
         assert r.n_tokens_before == full(text)
         for e in edits[r.doc_id]:

@@ -76,3 +76,26 @@ def test_stages_keep_the_columns(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece_encoding"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def folder(spark, docs, path):
+    docs.write.parquet(str(path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+def test_hard_rows(spark, docs, rows, unique, tmp_path):
+    """Nulls, empty and very long texts, repeated and absent ids, copies, extra columns with clashing names."""
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+    got = [r.doc_id for r in corpus_pipeline.run(spark, folder(spark, docs, tmp_path)).collect()]
+    assert set(got) <= {i for i, _ in rows}
+    alone = {i: t for i, t in rows if i is not None}
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = expected({i: t or "" for i, t in alone.items()}, bench)
+    # ids that stand once and whose text no other row of a repeated id shares lines with
+    assert {i for i in got if i in unique and i > 3} == {i for i in want if i in unique and i > 3}
+
+
+def test_no_rows(spark, docs, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, docs.limit(0), tmp_path)).count() == 0
