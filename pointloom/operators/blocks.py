@@ -60,6 +60,13 @@ def clustered_on(df: DataFrame, *by: str, partitions: int | None = None) -> Data
     return placed.repartitionByRange(partitions or parts_of(df), "_place", *by).sortWithinPartitions("_place", *by).drop("_place")
 
 
+def by_group(df: DataFrame, group: str, within: tuple[str, ...], rows: int = PART_ROWS) -> DataFrame:
+    """Rows dealt to tasks by group, a group of more than ``rows`` to as many tasks as it takes, by a hash of ``within``."""
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    dealt = df.join(sizes, group).withColumn("_part", F.pmod(F.xxhash64(*within), F.col("_parts")).cast("int"))
+    return dealt.repartition(group, "_part").select(*df.columns)
+
+
 def numbered(p: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> DataFrame:
     """Global row numbers (``row_``, from 0) along an order without a window over rows: sorted ranges of the order number
     their rows as they are written, and are shifted by the counts of the ranges before."""

@@ -172,9 +172,7 @@ def layout_flat(spark, d):
 
 def _tiled(spark, d):
     path = fresh(spark, "tiles")
-    t = enrich(points(spark, d).select(*XYZ, "x", "y", "z"))
-    # a crowded tile is dealt to four tasks, each with a file of its own
-    t.withColumn("_salt", F.pmod(F.xxhash64(*XYZ), F.lit(4))).repartition("tile", "_salt").drop("_salt").write.partitionBy("tile").parquet(path)
+    B.by_group(enrich(points(spark, d).select(*XYZ, "x", "y", "z")), "tile", XYZ).write.partitionBy("tile").parquet(path)
     return spark.read.parquet(path)
 
 

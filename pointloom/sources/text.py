@@ -32,9 +32,12 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 def read_io(spark: SparkSession, path: str) -> DataFrame:
     """Wide samples `t r1 w1 r2 w2 …` under a `#dev1 dev2 …` line to rows (t, device, read, write). Every file has
-    a device line of its own, of any length; rows of a file without one are left out."""
+    one device line of its own, of any length; another that differs is an error. Rows of a file without one are left out."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    devices = lines.filter("value like '#%'").select("file", F.split(F.trim(F.expr("substring(value, 2)")), r"\s+").alias("devices")).distinct()
+    devices = lines.filter("value like '#%'").select("file", F.split(F.trim(F.expr("substring(value, 2)")), r"\s+").alias("devices"))
+    devices = devices.groupBy("file").agg(F.min("devices").alias("devices"), F.max("devices").alias("other"))
+    two = F.raise_error(F.concat(F.lit("two device lines in "), F.col("file"))).cast("array<string>")
+    devices = devices.select("file", F.when(F.col("devices") == F.col("other"), F.col("devices")).otherwise(two).alias("devices"))
     rows = lines.filter("value not like '#%' and trim(value) <> ''").select("file", F.split(F.trim("value"), r"\s+").alias("v")).join(devices, "file")
     rows = rows.select(F.element_at("v", 1).cast("double").alias("t"), "v", F.posexplode("devices").alias("i", "device"))
     return rows.select("t", "device", F.element_at("v", F.col("i") * 2 + 2).cast("double").alias("read"), F.element_at("v", F.col("i") * 2 + 3).cast("double").alias("write"))

@@ -107,3 +107,24 @@ def test_stream_of_inventories(spark, folder, tmp_path):
         loading.load_stream(spark, feed, target, str(tmp_path / "checkpoint"), heads.schema)
     assert loading.loaded_blocks(spark, target).agg(F.sum("n")).first()[0] == points(spark, SF).count()
     assert loading.manifest(spark, target).count() == heads.count()
+
+
+def test_device_lines(spark, tmp_path):
+    from pointloom.sources import text
+
+    (tmp_path / "a.txt").write_text("#sda sdb\n1 10 20 30 40\n#sda sdb\n2 1 2 3 4\n")
+    got = sorted(map(tuple, text.read_io(spark, str(tmp_path / "a.txt")).collect()))
+    assert got == [(1.0, "sda", 10.0, 20.0), (1.0, "sdb", 30.0, 40.0), (2.0, "sda", 1.0, 2.0), (2.0, "sdb", 3.0, 4.0)]
+    (tmp_path / "b.txt").write_text("#sda\n1 10 20\n#sdb\n2 1 2\n")
+    with pytest.raises(Exception, match="two device lines"):
+        text.read_io(spark, str(tmp_path / "b.txt")).collect()
+
+
+def test_large_groups_are_dealt(spark):
+    from pointloom.operators import blocks as B
+
+    df = spark.range(1000).withColumn("g", F.when(F.col("id") < 900, 0).otherwise(F.col("id") % 5))
+    dealt = B.by_group(df, "g", ("id",), rows=100)
+    assert dealt.columns == df.columns and dealt.count() == 1000
+    parts = dealt.withColumn("p", F.spark_partition_id()).filter("g = 0").groupBy("p").count().collect()
+    assert len(parts) > 1
