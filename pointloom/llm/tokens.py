@@ -240,19 +240,25 @@ def _bases(chunks: DataFrame) -> DataFrame:
 
 def tokens_at(chunks: DataFrame, positions: DataFrame) -> DataFrame:
     """``(position, token)`` for each row of ``positions(position)``: the ids at places of the whole file set,
-    each read from its own bytes of one chunk. Null places and places outside have no row; repeats stay."""
+    each read from its own bytes of one chunk. Null places and places outside have no row; repeats stay. Places are
+    gathered by chunk first (CHUNK_TOKENS different ones at most), so a chunk is read and moved once."""
 
     def run(batches):
         for batch in batches:
-            values = [dac_access(levels, at) for levels, at in zip(batch.column("levels").to_pylist(), batch.column("at").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(values, pa.int64())], ["position", "token"])
+            for levels, wanted in zip(batch.column("levels"), batch.column("wanted").to_pylist()):
+                levels = levels.as_py()
+                columns = list(zip(*((w["position"], dac_access(levels, w["at"]), w["times"]) for w in wanted)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["position", "token", "times"])
 
     of = lambda c: F.floor(F.col(c) / CHUNK_TOKENS)
     # a chunk meets its places by ranges of CHUNK_TOKENS places
     ranges = _bases(chunks).withColumn("last", F.col("base") + F.col("n_tokens") - 1).withColumn("range", F.explode(F.sequence(of("base"), of("last"))))
-    met = positions.select(F.col("position").cast("long")).withColumn("range", of("position")).join(ranges, "range").filter("position between base and last")
-    found = met.select("part", "chunk", "position", (F.col("position") - F.col("base")).alias("at")).join(chunks.select("part", "chunk", "levels"), ["part", "chunk"])
-    return found.select("position", "at", "levels").mapInArrow(run, "position long, token long")
+    once = positions.groupBy(F.col("position").cast("long").alias("position")).agg(F.count("*").alias("times"))
+    met = once.withColumn("range", of("position")).join(ranges, "range").filter("position between base and last")
+    place = F.struct("position", (F.col("position") - F.col("base")).alias("at"), "times")
+    wanted = met.groupBy("part", "chunk").agg(F.collect_list(place).alias("wanted"))
+    found = wanted.join(chunks.select("part", "chunk", "levels"), ["part", "chunk"]).select("wanted", "levels").mapInArrow(run, "position long, token long, times long")
+    return found.select("position", "token", F.explode(F.sequence(F.lit(1), F.col("times")))).select("position", "token")
 
 
 def op10_token_binary_output(spark, sf_dir):
