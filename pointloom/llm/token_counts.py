@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .tokens import vocabulary_path
@@ -198,9 +199,10 @@ def _names(schema: str) -> list[str]:
 def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, text, piece_chars, piece_tokens, block_pieces, block_tokens)``: the leaves of every row's tree.
     Null and empty texts have one empty block. Null or repeated doc_ids stay; empty tables give no rows;
-    other columns, except ``edits``, are ignored."""
+    other columns are ignored, except ``edits``, if it is a list of places, lengths and texts."""
     vocabulary = vocabulary or vocabulary_path(VOCABULARY)
-    with_edits = "edits" in docs.columns
+    kind = docs.schema["edits"].dataType if "edits" in docs.columns else None
+    with_edits = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and kind.elementType.names == ["at", "cut", "put"]
     schema = f"doc_id long, n_tokens long, {LEAVES}"
     names = _names(schema)
 

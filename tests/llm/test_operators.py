@@ -449,6 +449,8 @@ def test_op8(spark, docs, empty, rows):
             text = text[:at] + (e["put"] or "") + text[at + e["cut"] :]
         assert r.text == text and r.n_tokens == full(text) == sum(r.block_tokens)
     assert token_counts.build(empty).count() == 0
+    other = token_counts.build(docs.withColumn("edits", F.lit("a column of another kind")))
+    assert "edits" not in other.columns and other.count() == len(rows)
 
 
 def test_count_tree_at_random():
