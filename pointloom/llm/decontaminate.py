@@ -36,7 +36,9 @@ def bench_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """``(found, windows)``: found has one row ``s = -1`` for each document row and one for each window that
-    occurs: ``(doc_id, th, n_words, s, l, wid)``. ``th`` hashes the text; with doc_id it tells rows apart."""
+    occurs: ``(doc_id, th, n_words, s, l, wid)``. ``th`` hashes the text; with doc_id it tells rows apart. Null and empty
+    texts have no words and no window; items without an id or a word are no items; rows that repeat an id stay apart by
+    their texts; empty tables give no rows; other columns are ignored."""
     windows = stage(bench_windows(benchmark, size).withColumn("wid", _hash(F.col("l"), F.col("w"))), "windows")
     count, lengths = windows.agg(F.count("*"), F.collect_set("l")).first()  # 13 lengths at most
     steps = {length: _step(length) for length in sorted(lengths)}

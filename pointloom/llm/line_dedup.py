@@ -106,7 +106,9 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, th, gone)``: the numbers of the lines to remove. Of each component of equal or similar
-    lines the one that stays comes first by doc_id, text hash and line number (null ids first)."""
+    lines the one that stays comes first by doc_id, text hash and line number (null ids first). Null texts and lines
+    without a word have no rows; rows that repeat doc_id and text count as one document; an empty table gives no rows;
+    columns beside doc_id and text are ignored."""
     lines = distinct_lines(docs)
     signed = signatures(lines)
     texts = lines.select("id", F.col("line").alias("x"))

@@ -426,6 +426,9 @@ def judged(rows: DataFrame, marked: DataFrame, found: DataFrame, unit: Unit, sch
 
 
 def deduplicated(docs: DataFrame, unit: Unit, resolve: Callable, schema: str, report: Callable, shards_a_group: int) -> DataFrame:
+    """One row of ``schema`` for every row of ``docs``. Null texts count as empty; rows without an id are one document
+    that comes last; rows of one id never remove each other; an empty table gives no rows; columns beside doc_id and
+    text are ignored."""
     rows, n = grouped(docs)
     known = repeated(rows, n, unit)
     places = occurrences(rows, known, n, unit)
