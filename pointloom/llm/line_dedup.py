@@ -2,8 +2,8 @@
 
 Lines are compared as sets of character shingles: the 5 characters at every position; a line of fewer is one
 shingle. MinHash signatures of 8 bands of 4 values find candidates (0.985 of the pairs at a similarity of 0.8,
-0.9998 at 0.9): lines that share a band, unless under 17 of the 32 values agree (at 0.8: 1 pair in 5,000). :mod:`.buckets` verifies them by their exact Jaccard similarity, in
-buckets of any size. Distributed union-find joins linked lines, and the first line of each component stays.
+0.9998 at 0.9): lines that share a band, in buckets that one task compares unless under 17 of the 32 values agree (at
+0.8: 1 pair in 5,000). :mod:`.buckets` verifies them by their exact Jaccard similarity, in buckets of any size. Distributed union-find joins linked lines, and the first line of each component stays.
 
 Lines are split, counted, joined and removed by DataFrame functions; numpy makes the signatures and compares
 the lines of a bucket inside tasks.
