@@ -135,7 +135,7 @@ def edges_of(codes: np.ndarray, coder: Coder, wide: bool) -> list[np.ndarray]:
 
 
 def packed(salt: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
-    """Two numbers for an edge of dictionary words; they sort as the words do."""
+    """Two numbers, head and tail, for an edge of dictionary words; they sort as the words do."""
     w = words
     return [salt << 2 * BITS | w[0] << BITS | w[1], w[2] << 2 * BITS | w[3] << BITS | w[4]]
 
@@ -145,17 +145,23 @@ def unpacked(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return head >> 2 * BITS, [head >> BITS & m, head & m, tail >> 2 * BITS, tail >> BITS & m, tail & m]
 
 
+def edge_keys(wide: bool) -> list[str]:
+    return ["salt", *(f"w{j}" for j in range(1, LONGEST + 1))] if wide else ["head", "tail"]
+
+
 def edges(docs: DataFrame, coder, wide: bool) -> DataFrame:
-    """Edges with their counts within tasks: ``(head, tail, n)``, or ``(salt, w1 … w5, n)`` where wide.
+    """Edges with their counts within tasks: ``(tail, head, n)``, or ``(salt, w1 … w5, n)`` where wide.
     ``coder`` is a broadcast of a :class:`Coder`."""
-    names = ["salt", *(f"w{j}" for j in range(1, LONGEST + 1)), "n"] if wide else ["head", "tail", "n"]
+    keys = edge_keys(wide)
+    names = [*keys, "n"] if wide else [*keys[::-1], "n"]  # zeros at the head's end meet those of n and shrink with them
 
     def run(batches):
         code = coder.value
         held, total = [], 0
 
         def out():
-            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in edges_of(np.concatenate(held), code, wide)], names)
+            found = dict(zip([*keys, "n"], edges_of(np.concatenate(held), code, wide)))
+            rows = pa.RecordBatch.from_arrays([pa.array(found[c], pa.int64()) for c in names], names)
             return [rows.slice(i, 1 << 16) for i in range(0, rows.num_rows, 1 << 16)]
 
         for batch in batches:
@@ -209,7 +215,7 @@ def node_counts(found: DataFrame, wide: bool, names, least: int) -> DataFrame:
     than that are sums by salt, added up in a second step. ``names`` is a broadcast of the hashes that the
     dictionary's numbers stand for, or None.
     """
-    keys = [c for c in found.columns if c != "n"]
+    keys = edge_keys(wide)
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ["salt", "w1", "w2"] if wide else ["head"]
 
@@ -259,7 +265,7 @@ def _dictionary(coded: DataFrame) -> tuple[dict, np.ndarray] | None:
         return None
     numbers: dict[str, dict] = {}
     codes = [END]
-    for r in coded.orderBy("code").toLocalIterator():
+    for r in coded.orderBy(F.desc("n"), "code").toLocalIterator():  # small numbers for frequent words
         numbers.setdefault(r.lang, {})[r.word.encode()] = len(codes)
         codes.append(r.code)
     return numbers, np.array(codes, np.int64)
