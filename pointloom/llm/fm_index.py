@@ -5,6 +5,9 @@ tree (levelwise, with rank directories), LCP values and least document ranks ove
 piece is then streamed from right to left through backward search; an interval that holds no earlier
 document falls back to the nearest ancestor in the suffix tree that does. The length kept so is the matching statistic against
 earlier documents; where it reaches 50 words, a window is reported.
+
+Passages that stand in an earlier document with all their surroundings take the same way: a shard indexes the first
+documents' passages, and the later documents' are streamed through that index in batches, without being indexed.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import numpy as np
 from .common import WordHashes, table
 from .windows import WINDOW, Unit, deduplicated
 
+#: Bytes of later documents that are streamed through a shard's index at a time.
+STREAM_BYTES = 4 << 20
 _hashes = WordHashes()
 WORDS = Unit(k=16, source=lambda text: text.split(), hashes=_hashes.array, cut=lambda words, a, b: b" ".join(words[a:b]) + b" ")
 
@@ -209,6 +214,11 @@ def resolve(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, holds: np.nd
     for piece, place in index.statistics(text, ends, sizes.astype(np.int64), ranks, holds.astype(np.int64), WORDS.k, window):
         pieces.append(piece)
         places.append(place)
+    return _joined(pieces, places, window)
+
+
+def _joined(pieces: list[np.ndarray], places: list[np.ndarray], window: int) -> tuple:
+    """(piece, start, end) of the runs of windows at consecutive places."""
     if not pieces:
         return (np.zeros(0, np.int64),) * 3
     piece, place = np.concatenate(pieces), np.concatenate(places)
@@ -219,6 +229,38 @@ def resolve(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, holds: np.nd
     return piece[h], place[h], place[np.append(h[1:] - 1, len(place) - 1)] + window
 
 
+def stream(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, asked: list[bytes], lengths: list[np.ndarray], owners: np.ndarray, window: int = WINDOW) -> tuple:
+    """(segment, start, end) of the windows of each segment asked for that start in an indexed passage of a smaller id,
+    runs joined. ``asked`` and ``lengths`` hold a group's segments each, ``owners`` the ids of all segments in turn.
+    Segments of words that no passage holds match nothing."""
+    words = b"".join(items).split()
+    codes: dict[bytes, int] = {}
+    symbols = np.fromiter((codes.setdefault(w, len(codes) + 1) for w in words), np.int64, len(words))
+    n, foreign = len(sizes), len(codes) + 1
+    ranks, mine = np.split(np.unique(np.concatenate((ids, owners)), return_inverse=True)[1], [n])
+    owner = np.repeat(np.arange(n), sizes)
+    text = np.zeros(len(words) + n, np.int64)
+    text[np.arange(len(words)) + owner] = symbols
+    index = FMIndex(text, np.repeat(ranks, sizes + 1), foreign + 1)
+    pieces, places = [], []
+    done = a = 0
+    while a < len(asked):
+        b, size = a, 0
+        while b < len(asked) and (b == a or size + len(asked[b]) <= STREAM_BYTES):
+            size += len(asked[b])
+            b += 1
+        some = np.concatenate(lengths[a:b]).astype(np.int64)
+        words = b"".join(asked[a:b]).split()
+        pattern = np.fromiter((codes.get(w, foreign) for w in words), np.int64, len(words))
+        free = np.zeros(len(some), np.int64)
+        for piece, place in index.statistics(pattern, np.cumsum(some), some, mine[done : done + len(some)], free, 0, window):
+            pieces.append(piece + done)
+            places.append(place)
+        done += len(some)
+        a = b
+    return _joined(pieces, places, window)
+
+
 def _report(words: list[bytes], n: int, s: np.ndarray, e: np.ndarray) -> tuple:
     kept = words if not len(s) else [w for a, b in zip([0, *e.tolist()], [*s.tolist(), n]) for w in words[a:b]]
     return n, int((e - s).sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), [x for pair in zip(s.tolist(), e.tolist()) for x in pair]
@@ -234,7 +276,7 @@ def repeated_words(docs):
     one id never remove each other. Windows do not cross documents. Empty tables give no rows; other columns
     are ignored.
     """
-    return deduplicated(docs, WORDS, resolve, RESULT, _report, shards_a_group=4)
+    return deduplicated(docs, WORDS, resolve, RESULT, _report, shards_a_group=4, stream=stream)
 
 
 def op4_substring_dedup(spark, sf_dir):

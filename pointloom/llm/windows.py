@@ -8,16 +8,19 @@ a chain of Spark jobs over these:
 1. ``repeated``  every group of documents sends the minimizer hashes it holds to buckets by hash; a bucket
    answers each group with those that occur in two documents or more.
 2. ``occurrences``  places of repeated minimizers, with the hash of the *context*: all items that a window
-   around the place can hold. Buckets find the first document of every context. A later document's place is
-   done: all its windows stand in an earlier document. Only first places of minimizers with two contexts or
-   more go on.
+   around the place can hold. Buckets find the first document of every context. First places of minimizers with
+   two contexts or more go on.
 3. ``pieces``  their items, dealt to shards by minimizer, where the operator's own index finds the windows
    that also start in an earlier document.
-4. ``judged``  the marks and the texts of a group of documents meet, once, and give the result rows.
+4. Later places of a context have their windows in its first document. With a ``stream`` (operator 4) that is only
+   a route: the shard of the first document indexes its passages, the later documents' passages are streamed
+   through that index, and what it finds counts. Without one (operator 6) such a place is done.
+5. ``judged``  the marks and the texts of a group of documents meet, once, and give the result rows.
 
 Groups are pmod(hash(doc_id, text)), so no key of the data decides a group's size. Rows in 1 to 3 are packed
 arrays. Hot minimizers (over HOT documents) have their contexts spread over all buckets. Their windows go to
-shards by hash, the least id of each window in a group alone, so no bucket or shard grows with one passage.
+shards by two hashes, the least id of each window in a group alone, so no bucket or shard grows with one passage. The
+passages streamed to a first document are dealt over copies of its passage, one for about eight groups that ask.
 """
 
 from __future__ import annotations
@@ -38,6 +41,11 @@ HOT = 4096
 #: A minimizer with more contexts than this is treated like a hot one, so that a shard's index stays small.
 CROWDED = 1000
 CHUNK = 1 << 17
+#: Items of a streamed passage are cut into segments that overlap by a window less one.
+SEGMENT = 256
+#: Groups that ask for one context from one copy of its first passage.
+ASKERS = 8
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -215,8 +223,9 @@ def occurrences(rows: DataFrame, known: DataFrame, n: int, unit: Unit) -> DataFr
 
 
 def first_contexts(places: DataFrame) -> DataFrame:
-    """``(grp, bucket, first, status, shard)`` for each group's contexts in a bucket, in their order: the
-    least id of the context, and 1 if this group's piece goes on to a shard (2: of a hot minimizer)."""
+    """``(grp, bucket, first, status, anchors)`` for each group's contexts in a bucket, in their order: the
+    least id of the context and a status. Its two low bits are 1 if this group's piece goes on to a shard (2: of a hot
+    minimizer), the third is set if several groups hold the context, the others count the doublings of its copies."""
 
     def answer(table: pa.Table) -> pa.Table:
         sizes = np.array([len(x) // 8 for x in table.column("anchors").to_pylist()])
@@ -236,6 +245,9 @@ def first_contexts(places: DataFrame) -> DataFrame:
         crowd = np.empty(len(o), bool)
         crowd[o] = many > CROWDED
         go[(go > 0) & ((hot > 0) | crowd)] = 2
+        groups = np.empty(len(o), np.int64)  # each sends a context once
+        groups[o] = np.diff(np.append(np.flatnonzero(new_c), len(o)))[np.cumsum(new_c) - 1]
+        go |= ((groups > 1).astype(np.int64) << 2 | np.frexp((groups // ASKERS).astype(np.float64))[1].astype(np.int64) << 3).astype(np.uint8)
         ends = np.cumsum(sizes)
         spans = list(zip(ends - sizes, ends))
         return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "first": pa.array([_pack(first[x:y]) for x, y in spans], pa.binary()), "status": pa.array([_pack(go[x:y]) for x, y in spans], pa.binary()), "anchors": table.column("anchors")})
@@ -259,12 +271,45 @@ def marks(rows_of: DataFrame, answers: DataFrame) -> DataFrame:
     return stage(rows_of.filter("bucket < 0").groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(join, schema), "marks")
 
 
-PIECES = "shard int, grp int, kind int, contexts binary, starts binary, ids binary, sizes binary, holds binary, items binary, windows binary"
-#: Kinds of packed rows: pieces for the shard's index, windows of hot minimizers by hash, ranges already found.
-PIECE, HASHED, DONE = 0, 1, 2
+PIECES = "shard int, grp int, kind int, contexts binary, starts binary, ids binary, sizes binary, holds binary, items binary, windows binary, checks binary"
+#: Kinds of packed rows: pieces for the shard's index, windows of hot minimizers by hash, ranges already found,
+#: passages of first documents, segments of later ones.
+PIECE, HASHED, DONE, PASSAGE, ASKED = 0, 1, 2, 3, 4
 
 
-def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window: int = WINDOW) -> DataFrame:
+def _stretches(row: np.ndarray, begin: np.ndarray, end: np.ndarray, *alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each stretch of ranges, in order of row and begin: a stretch goes on while ranges overlap and
+    all of ``alike`` stay the same."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (begin[1:] > end[:-1])
+    for x in alike:
+        new[1:] |= x[1:] != x[:-1]
+    head = np.flatnonzero(new)
+    return head, np.append(head[1:], len(row)) - 1
+
+
+def segments(row, place, item, first, status, doc, reach: int, window: int) -> tuple[np.ndarray, ...]:
+    """``(row, begin, end, first, spread)`` of the segments a group asks for: stretches of places whose context stands
+    first in one earlier document. Ends may pass the text's."""
+    later = np.flatnonzero(doc > first[item])
+    r, p, f, s = row[later], place[later], first[item[later]], status[item[later]] >> 3
+    begin, end = np.maximum(p - reach, 0), p + window
+    head, last = _stretches(r, begin, end, f, s)
+    step = SEGMENT - window + 1
+    n = np.maximum(-(-(end[last] - begin[head] - window + 1) // step), 1)
+    at = np.repeat(np.arange(len(head)), n)
+    low = begin[head][at] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+    return r[head][at], low, np.minimum(low + SEGMENT, end[last][at]), f[head][at], s[head][at]
+
+
+def _home(first: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of a copy of a first document's passages."""
+    return (mix(mix(first.astype(np.uint64)) + salt.astype(np.uint64) * _OTHER) % np.uint64(shards)).astype(np.int64)
+
+
+def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, streamed: bool, window: int = WINDOW) -> DataFrame:
     """The items around one place of every context that goes on, packed by group and shard. Of hot minimizers
     the single windows go by hash: the least id of each in the group is sent on, the others are done."""
     names = [x.split()[0] for x in PIECES.split(", ")]
@@ -280,7 +325,7 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window:
         first, status, anchor = get("first", np.int64), get("status", np.uint8), get("anchors", np.uint64)
         ids, texts, order = _texts(left)
         doc = ids[order][row]
-        go = np.flatnonzero((status[item] > 0) & (doc == first[item]))
+        go = np.flatnonzero((status[item] & 3 > 0) & (doc == first[item]))
         # one place speaks for all of its context
         go = np.sort(go[np.unique(item[go], return_index=True)[1]])
         shard, context, size, hold, items = [], [], [], [], []
@@ -292,7 +337,7 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window:
             some = go[at:end]
             source = unit.source(texts[order[r]])
             a, b = np.maximum(place[some] - reach, 0), np.minimum(place[some] + window, len(source))
-            cold = status[item[some]] == 1
+            cold = status[item[some]] & 3 == 1
             shard.append((mix(anchor[item[some]]) % np.uint64(shards)).astype(np.int64)[cold])
             context.append(some[cold])
             size.append((b - a)[cold])
@@ -302,7 +347,8 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window:
                 h = unit.hashes(source)
                 for j, x, y in zip(some[~cold].tolist(), a[~cold].tolist(), b[~cold].tolist()):
                     starts = np.arange(y - x - window + 1)
-                    hot.append((np.full(len(starts), j), starts, run_hash(prefix(h[x:y]), starts, starts + window)))
+                    one, two = (run_hash(prefix(v), starts, starts + window) for v in (h[x:y], mix(h[x:y] ^ _OTHER)))
+                    hot.append((np.full(len(starts), j), starts, one, two))
             at = end
         made = {c: [] for c in names}
 
@@ -315,34 +361,63 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, window:
             for x, s in _dealt(shard):
                 add(x, PIECE, contexts=_pack(item[context[s]]), ids=_pack(doc[context[s]]), starts=_pack(np.zeros(len(s), np.int32)), sizes=_pack(size[s].astype(np.int32)), holds=_pack(hold[s].astype(np.int32)), items=b"".join([items[i] for i in s]))
         if hot:
-            j, start, key = (np.concatenate(x) for x in zip(*hot))
-            o = np.lexsort((doc[j], key))
-            j, start, key = j[o], start[o], key[o]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
+            j, start, key, check = (np.concatenate(x) for x in zip(*hot))
+            o = np.lexsort((doc[j], check, key))
+            j, start, key, check = j[o], start[o], key[o], check[o]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])))
             least = doc[j][new][np.cumsum(new) - 1]
             done = doc[j] > least
             if done.any():
                 add(grp % shards, DONE, contexts=_pack(item[j[done]]), starts=_pack(start[done].astype(np.int32)))
-            j, start, key = j[~done], start[~done], key[~done]
+            j, start, key, check = j[~done], start[~done], key[~done], check[~done]
             for x, s in _dealt((key % np.uint64(shards)).astype(np.int64)):
-                add(x, HASHED, contexts=_pack(item[j[s]]), starts=_pack(start[s].astype(np.int32)), ids=_pack(doc[j[s]]), windows=_pack(key[s]))
+                add(x, HASHED, contexts=_pack(item[j[s]]), starts=_pack(start[s].astype(np.int32)), ids=_pack(doc[j[s]]), windows=_pack(key[s]), checks=_pack(check[s]))
+        if streamed:
+            # passages of first documents that other documents, here or elsewhere, ask for
+            asked = (status >> 2 & 1).astype(bool)
+            asked[item[doc > first[item]]] = True
+            mine = np.flatnonzero((doc == first[item]) & asked[item])
+            mine = np.sort(mine[np.unique(item[mine], return_index=True)[1]])
+            spread = status[item[mine]] >> 3
+            begin, end = np.maximum(place[mine] - reach, 0), place[mine] + window
+            head, last = _stretches(row[mine], begin, end, spread)
+            copies = np.int64(1) << spread[head].astype(np.int64)
+            at = np.repeat(np.arange(len(head)), copies)
+            salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            r, a, b = row[mine][head], begin[head], end[last]
+            send = [(PASSAGE, r, a, b, at, _home(doc[mine][head][at], salt, shards))]
+            r, a, b, f, spread = segments(row, place, item, first, status, doc, reach, window)
+            send.append((ASKED, r, a, b, np.arange(len(r)), _home(f, grp % (np.int64(1) << spread.astype(np.int64)), shards)))
+            for kind, r, a, b, at, shard in send:
+                parts, sizes = [b""] * len(r), np.zeros(len(r), np.int32)
+                bounds = np.searchsorted(r, np.arange(len(order) + 1))
+                for i in np.unique(r):
+                    source = unit.source(texts[order[i]])
+                    for j in range(bounds[i], bounds[i + 1]):
+                        parts[j] = unit.cut(source, int(a[j]), int(b[j]))
+                        sizes[j] = min(int(b[j]), len(source)) - int(a[j])
+                at, shard = at[sizes[at] >= window], shard[sizes[at] >= window]
+                for x, s in _dealt(shard):
+                    add(x, kind, contexts=_pack(at[s].astype(np.int32)), starts=_pack(np.zeros(len(s), np.int32)), ids=_pack(ids[order[r[at[s]]]]), sizes=_pack(sizes[at[s]]), items=b"".join([parts[j] for j in at[s]]))
         return pa.table({c: pa.array(made[c], kinds[c]) for c in names})
 
     return rows.groupBy("grp").cogroup(marked.groupBy("grp")).applyInArrow(cut, PIECES)
 
 
-FOUND = "grp int, contexts binary, starts binary, ends binary"
+FOUND = "grp int, streamed boolean, contexts binary, starts binary, ends binary"
 
 
-def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray, np.ndarray], tuple], window: int = WINDOW) -> DataFrame:
-    """Item ranges of contexts, counted from the context's start, whose windows start in an earlier document
-    too. ``resolve(items, sizes, ids, holds)`` gets one shard's pieces (``holds``: where in each the minimizer
-    stands) and returns (piece, start, end) arrays."""
+def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray, np.ndarray], tuple], stream: Callable | None, window: int = WINDOW) -> DataFrame:
+    """Item ranges of contexts (``streamed``: of segments), counted from their start, whose windows start in an earlier
+    document too. ``resolve(items, sizes, ids, holds)`` gets one shard's pieces (``holds``: where in each the minimizer
+    stands) and returns (piece, start, end) arrays. ``stream(items, sizes, ids, asked, lengths, owners)`` gets a shard's
+    passages and the segments asked for and returns (segment, start, end)."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
-        found = []
-        for what in (PIECE, HASHED, DONE):
+        found, streamed = [], []
+        none = np.zeros(0, np.int64)
+        for what in (PIECE, HASHED, DONE, ASKED):
             some = table.filter(pa.array(kind == what))
             if not some.num_rows:
                 continue
@@ -350,36 +425,44 @@ def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray, np
             counts = np.array([len(x) // 4 for x in some.column("contexts").to_pylist()])
             grp = np.repeat(some.column("grp").to_numpy(), counts)
             context, start = join_up("contexts", np.int32), join_up("starts", np.int32)
+            if what == ASKED:
+                first = table.filter(pa.array(kind == PASSAGE))
+                of = lambda c, t: np.frombuffer(b"".join(first.column(c).to_pylist()), t)  # noqa: B023, E731
+                piece, a, b = stream(first.column("items").to_pylist(), of("sizes", np.int32), of("ids", np.int64), some.column("items").to_pylist(), [np.frombuffer(x, np.int32) for x in some.column("sizes").to_pylist()], join_up("ids", np.int64))
+                streamed.append((grp[piece], context[piece], a, b))
+                continue
             if what == PIECE:
                 piece, a, b = resolve(some.column("items").to_pylist(), join_up("sizes", np.int32), join_up("ids", np.int64), join_up("holds", np.int32))
                 found.append((grp[piece], context[piece], a, b))
                 continue
             hit = np.ones(len(start), bool)
             if what == HASHED:
-                key, ids = join_up("windows", np.uint64), join_up("ids", np.int64)
-                o = np.lexsort((ids, key))
-                new = np.concatenate(([True], key[o][1:] != key[o][:-1]))
+                key, check, ids = join_up("windows", np.uint64), join_up("checks", np.uint64), join_up("ids", np.int64)
+                o = np.lexsort((ids, check, key))
+                new = np.concatenate(([True], (key[o][1:] != key[o][:-1]) | (check[o][1:] != check[o][:-1])))
                 hit[o] = ids[o] > ids[o][new][np.cumsum(new) - 1]
             found.append((grp[hit], context[hit], start[hit], start[hit] + window))
-        grp, context, a, b = (np.concatenate(x) for x in zip(*found))
-        made = {"grp": [], "contexts": [], "starts": [], "ends": []}
-        for x, s in _dealt(grp):
-            made["grp"].append(x)
-            for c, v in (("contexts", context), ("starts", a), ("ends", b)):
-                made[c].append(_pack(v[s].astype(np.int32)))
-        return pa.table({"grp": pa.array(made["grp"], pa.int32()), **{c: pa.array(made[c], pa.binary()) for c in ("contexts", "starts", "ends")}})
+        made = {"grp": [], "streamed": [], "contexts": [], "starts": [], "ends": []}
+        for flag, parts in ((False, found), (True, streamed)):
+            grp, context, a, b = (np.concatenate(x) for x in zip(*parts, (none,) * 4))
+            for x, s in _dealt(grp):
+                made["grp"].append(x)
+                made["streamed"].append(flag)
+                for c, v in (("contexts", context), ("starts", a), ("ends", b)):
+                    made[c].append(_pack(v[s].astype(np.int32)))
+        return pa.table({"grp": pa.array(made["grp"], pa.int32()), "streamed": pa.array(made["streamed"], pa.bool_()), **{c: pa.array(made[c], pa.binary()) for c in ("contexts", "starts", "ends")}})
 
     return stage(sent.groupBy("shard").applyInArrow(run, FOUND), "found")
 
 
-def judged(rows: DataFrame, marked: DataFrame, found: DataFrame, unit: Unit, schema: str, report: Callable, window: int = WINDOW) -> DataFrame:
+def judged(rows: DataFrame, marked: DataFrame, found: DataFrame, unit: Unit, schema: str, report: Callable, streamed: bool, window: int = WINDOW) -> DataFrame:
     """``report(text, source, n, spans)`` of every document row, spans being its maximal removed item runs."""
     reach = window - unit.k
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {x.split()[0]: {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}.get(x.split(maxsplit=1)[1], pa.list_(pa.int64())) for x in schema.split(", ")}
     nothing = F.lit(None).cast("binary")
-    a = marked.select("grp", "row", "place", "item", "first", nothing.alias("starts"), nothing.alias("ends"))
-    b = found.select("grp", nothing.alias("row"), nothing.alias("place"), F.col("contexts").alias("item"), nothing.alias("first"), "starts", "ends")
+    a = marked.select("grp", F.lit(False).alias("streamed"), "row", "place", "item", "first", "status", nothing.alias("starts"), nothing.alias("ends"))
+    b = found.select("grp", "streamed", nothing.alias("row"), nothing.alias("place"), F.col("contexts").alias("item"), nothing.alias("first"), nothing.alias("status"), "starts", "ends")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -391,13 +474,20 @@ def judged(rows: DataFrame, marked: DataFrame, found: DataFrame, unit: Unit, sch
             row, place, item = (np.frombuffer(x[c], np.int32) for c in ("row", "place", "item"))
             first = np.frombuffer(x["first"], np.int64)[item]
             doc, begin = ids[order][row], np.maximum(place - reach, 0)
-            done = doc > first
+            done = doc > first if not streamed else np.zeros(len(doc), bool)
             mine = np.flatnonzero(doc == first)
             mine = mine[np.argsort(item[mine], kind="stable")]
             here = item[mine]
             rows_, starts_, ends_ = [row[done]], [begin[done]], [place[done] + window]
+            if streamed:
+                sent_row, sent_begin = segments(row, place, item, np.frombuffer(x["first"], np.int64), np.frombuffer(x["status"], np.uint8), doc, reach, window)[:2]
             for y in (y for y in parts if y["place"] is None):
                 got, s, e = (np.frombuffer(y[c], np.int32) for c in ("item", "starts", "ends"))
+                if y["streamed"]:
+                    rows_.append(sent_row[got])
+                    starts_.append(sent_begin[got] + s)
+                    ends_.append(sent_begin[got] + e)
+                    continue
                 low, high = np.searchsorted(here, got), np.searchsorted(here, got, side="right")
                 n = high - low
                 at = mine[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -425,7 +515,7 @@ def judged(rows: DataFrame, marked: DataFrame, found: DataFrame, unit: Unit, sch
     return rows.groupBy("grp").cogroup(a.unionByName(b).groupBy("grp")).applyInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, unit: Unit, resolve: Callable, schema: str, report: Callable, shards_a_group: int) -> DataFrame:
+def deduplicated(docs: DataFrame, unit: Unit, resolve: Callable, schema: str, report: Callable, shards_a_group: int, stream: Callable | None = None) -> DataFrame:
     """One row of ``schema`` for every row of ``docs``. Null texts count as empty; rows without an id are one document
     that comes last; rows of one id never remove each other; an empty table gives no rows; columns beside doc_id and
     text are ignored."""
@@ -435,5 +525,6 @@ def deduplicated(docs: DataFrame, unit: Unit, resolve: Callable, schema: str, re
     release(known)
     marked = marks(places, first_contexts(places))
     release(places)
-    found = matched(pieces(rows, marked, shards_a_group * n, unit), resolve)
-    return judged(rows, marked, found, unit, schema, report)
+    streamed = stream is not None
+    found = matched(pieces(rows, marked, shards_a_group * n, unit, streamed), resolve, stream)
+    return judged(rows, marked, found, unit, schema, report, streamed)

@@ -302,6 +302,31 @@ def test_op4_op6(docs, empty, rows, monkeypatch, group_bytes, hot):
         assert suffix_family.repeated_bytes(empty).count() == 0
 
 
+def test_op4_removes_by_index_alone(spark, monkeypatch):
+    """Whole copies, of which more groups ask than one copy of a passage serves, and passages inside other texts."""
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    whole, passage = word(700), word(120)
+    texts = [" ".join(whole) for _ in range(60)] + [" ".join(word(40 + i) + passage + word(30)) for i in range(60)] + [" ".join(word(200)) for _ in range(20)]
+    rows = [(1000 - 7 * i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(windows, "GROUP_BYTES", 5000)
+    want = {i: sum(g) for i, _, g in windows_removed(rows, lambda t: tuple(t.encode().split()), 50)}
+    assert {r.doc_id: r.n_removed for r in fm_index.repeated_words(docs).collect()} == want
+    nothing = lambda *_: (np.zeros(0, np.int64),) * 3
+    without = lambda **k: fm_index.deduplicated(docs, fm_index.WORDS, schema=fm_index.RESULT, report=fm_index._report, shards_a_group=4, **k)
+    assert without(resolve=nothing, stream=nothing).filter("n_removed > 0").count() == 0
+    assert without(resolve=fm_index.resolve, stream=nothing).agg({"n_removed": "sum"}).first()[0] < sum(want.values())
+
+
+def test_stream_of_foreign_words_and_larger_ids():
+    passage = b" ".join(b"a%d" % i for i in range(90)) + b" "
+    other = b" ".join(b"b%d" % i for i in range(90)) + b" "
+    ask = lambda ids: fm_index.stream([passage], np.array([90], np.int32), np.array([5]), [passage + other, passage], [np.array([90, 90]), np.array([90])], np.array(ids))
+    assert [x.tolist() for x in ask([6, 6, 7])] == [[0, 2], [0, 0], [90, 90]]
+    assert [x.tolist() for x in ask([5, 6, 4])] == [[], [], []]
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.concatenate([np.append(rng.integers(1, 5, 30), 0) for _ in range(20)])
