@@ -19,8 +19,8 @@ import numpy as np
 from .common import WordHashes, table
 from .windows import WINDOW, Unit, deduplicated
 
-#: Bytes of later documents that are streamed through a shard's index at a time.
-STREAM_BYTES = 4 << 20
+#: Segments of later documents that are streamed through a shard's index at a time.
+STREAMED = 1 << 13
 _hashes = WordHashes()
 WORDS = Unit(k=16, source=lambda text: text.split(), hashes=_hashes.array, cut=lambda words, a, b: b" ".join(words[a:b]) + b" ")
 
@@ -229,10 +229,9 @@ def _joined(pieces: list[np.ndarray], places: list[np.ndarray], window: int) ->
     return piece[h], place[h], place[np.append(h[1:] - 1, len(place) - 1)] + window
 
 
-def stream(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, asked: list[bytes], lengths: list[np.ndarray], owners: np.ndarray, window: int = WINDOW) -> tuple:
-    """(segment, start, end) of the windows of each segment asked for that start in an indexed passage of a smaller id,
-    runs joined. ``asked`` and ``lengths`` hold a group's segments each, ``owners`` the ids of all segments in turn.
-    Segments of words that no passage holds match nothing."""
+def stream(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, asked: list[bytes], lengths: np.ndarray, owners: np.ndarray, window: int = WINDOW) -> tuple:
+    """(segment, start, end) of the windows of each segment asked for that start in an indexed passage of a smaller id
+    than its owner's, runs joined. Words that no passage holds match nothing."""
     words = b"".join(items).split()
     codes: dict[bytes, int] = {}
     symbols = np.fromiter((codes.setdefault(w, len(codes) + 1) for w in words), np.int64, len(words))
@@ -243,21 +242,13 @@ def stream(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, asked: list[b
     text[np.arange(len(words)) + owner] = symbols
     index = FMIndex(text, np.repeat(ranks, sizes + 1), foreign + 1)
     pieces, places = [], []
-    done = a = 0
-    while a < len(asked):
-        b, size = a, 0
-        while b < len(asked) and (b == a or size + len(asked[b]) <= STREAM_BYTES):
-            size += len(asked[b])
-            b += 1
-        some = np.concatenate(lengths[a:b]).astype(np.int64)
-        words = b"".join(asked[a:b]).split()
+    for a in range(0, len(asked), STREAMED):
+        some = lengths[a : a + STREAMED].astype(np.int64)
+        words = b"".join(asked[a : a + STREAMED]).split()
         pattern = np.fromiter((codes.get(w, foreign) for w in words), np.int64, len(words))
-        free = np.zeros(len(some), np.int64)
-        for piece, place in index.statistics(pattern, np.cumsum(some), some, mine[done : done + len(some)], free, 0, window):
-            pieces.append(piece + done)
+        for piece, place in index.statistics(pattern, np.cumsum(some), some, mine[a : a + STREAMED], np.zeros(len(some), np.int64), 0, window):
+            pieces.append(piece + a)
             places.append(place)
-        done += len(some)
-        a = b
     return _joined(pieces, places, window)
 
 

@@ -41,8 +41,9 @@ HOT = 4096
 #: A minimizer with more contexts than this is treated like a hot one, so that a shard's index stays small.
 CROWDED = 1000
 CHUNK = 1 << 17
-#: Items of a streamed passage are cut into segments that overlap by a window less one.
-SEGMENT = 256
+#: Streamed passages are cut before one minimizer of CUT_EVERY, chosen by its hash, so that copies are cut alike; where
+#: that leaves more items than SEGMENT, into segments that overlap by a window less one.
+CUT_EVERY, SEGMENT = np.uint64(8), 256
 #: Groups that ask for one context from one copy of its first passage.
 ASKERS = 8
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -225,7 +226,8 @@ def occurrences(rows: DataFrame, known: DataFrame, n: int, unit: Unit) -> DataFr
 def first_contexts(places: DataFrame) -> DataFrame:
     """``(grp, bucket, first, status, anchors)`` for each group's contexts in a bucket, in their order: the
     least id of the context and a status. Its two low bits are 1 if this group's piece goes on to a shard (2: of a hot
-    minimizer), the third is set if several groups hold the context, the others count the doublings of its copies."""
+    minimizer), the third is set if several groups hold the context, four count the doublings of its copies (32,768 at
+    most, which then serve more groups each), the last is set where passages are cut."""
 
     def answer(table: pa.Table) -> pa.Table:
         sizes = np.array([len(x) // 8 for x in table.column("anchors").to_pylist()])
@@ -247,7 +249,9 @@ def first_contexts(places: DataFrame) -> DataFrame:
         go[(go > 0) & ((hot > 0) | crowd)] = 2
         groups = np.empty(len(o), np.int64)  # each sends a context once
         groups[o] = np.diff(np.append(np.flatnonzero(new_c), len(o)))[np.cumsum(new_c) - 1]
-        go |= ((groups > 1).astype(np.int64) << 2 | np.frexp((groups // ASKERS).astype(np.float64))[1].astype(np.int64) << 3).astype(np.uint8)
+        spread = np.minimum(np.frexp((groups // ASKERS).astype(np.float64))[1].astype(np.int64), 15)
+        cut = (mix(anchor ^ _OTHER) % CUT_EVERY == 0).astype(np.int64)
+        go |= ((groups > 1).astype(np.int64) << 2 | spread << 3 | cut << 7).astype(np.uint8)
         ends = np.cumsum(sizes)
         spans = list(zip(ends - sizes, ends))
         return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "first": pa.array([_pack(first[x:y]) for x, y in spans], pa.binary()), "status": pa.array([_pack(go[x:y]) for x, y in spans], pa.binary()), "anchors": table.column("anchors")})
@@ -294,9 +298,9 @@ def segments(row, place, item, first, status, doc, reach: int, window: int) -> t
     """``(row, begin, end, first, spread)`` of the segments a group asks for: stretches of places whose context stands
     first in one earlier document. Ends may pass the text's."""
     later = np.flatnonzero(doc > first[item])
-    r, p, f, s = row[later], place[later], first[item[later]], status[item[later]] >> 3
+    r, p, f, s = row[later], place[later], first[item[later]], status[item[later]] >> 3 & 15
     begin, end = np.maximum(p - reach, 0), p + window
-    head, last = _stretches(r, begin, end, f, s)
+    head, last = _stretches(r, begin, end, f, s, np.cumsum(status[item[later]] >> 7, dtype=np.int64))
     step = SEGMENT - window + 1
     n = np.maximum(-(-(end[last] - begin[head] - window + 1) // step), 1)
     at = np.repeat(np.arange(len(head)), n)
@@ -378,17 +382,17 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, streamed
             asked[item[doc > first[item]]] = True
             mine = np.flatnonzero((doc == first[item]) & asked[item])
             mine = np.sort(mine[np.unique(item[mine], return_index=True)[1]])
-            spread = status[item[mine]] >> 3
+            spread = status[item[mine]] >> 3 & 15
             begin, end = np.maximum(place[mine] - reach, 0), place[mine] + window
             head, last = _stretches(row[mine], begin, end, spread)
             copies = np.int64(1) << spread[head].astype(np.int64)
             at = np.repeat(np.arange(len(head)), copies)
             salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
             r, a, b = row[mine][head], begin[head], end[last]
-            send = [(PASSAGE, r, a, b, at, _home(doc[mine][head][at], salt, shards))]
+            send = [(PASSAGE, r, a, b, at, _home(doc[mine][head][at], salt, shards), doc[mine][head])]
             r, a, b, f, spread = segments(row, place, item, first, status, doc, reach, window)
-            send.append((ASKED, r, a, b, np.arange(len(r)), _home(f, grp % (np.int64(1) << spread.astype(np.int64)), shards)))
-            for kind, r, a, b, at, shard in send:
+            send.append((ASKED, r, a, b, np.arange(len(r)), _home(f, grp % (np.int64(1) << spread.astype(np.int64)), shards), f))
+            for kind, r, a, b, at, shard, f in send:
                 parts, sizes = [b""] * len(r), np.zeros(len(r), np.int32)
                 bounds = np.searchsorted(r, np.arange(len(order) + 1))
                 for i in np.unique(r):
@@ -398,7 +402,7 @@ def pieces(rows: DataFrame, marked: DataFrame, shards: int, unit: Unit, streamed
                         sizes[j] = min(int(b[j]), len(source)) - int(a[j])
                 at, shard = at[sizes[at] >= window], shard[sizes[at] >= window]
                 for x, s in _dealt(shard):
-                    add(x, kind, contexts=_pack(at[s].astype(np.int32)), starts=_pack(np.zeros(len(s), np.int32)), ids=_pack(ids[order[r[at[s]]]]), sizes=_pack(sizes[at[s]]), items=b"".join([parts[j] for j in at[s]]))
+                    add(x, kind, contexts=_pack(at[s].astype(np.int32)), starts=_pack(np.zeros(len(s), np.int32)), ids=_pack(ids[order[r[at[s]]]]), sizes=_pack(sizes[at[s]]), holds=_pack(np.array([len(parts[j]) for j in at[s]], np.int32)), windows=_pack(f[at[s]]), items=b"".join([parts[j] for j in at[s]]))
         return pa.table({c: pa.array(made[c], kinds[c]) for c in names})
 
     return rows.groupBy("grp").cogroup(marked.groupBy("grp")).applyInArrow(cut, PIECES)
@@ -411,7 +415,8 @@ def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray, np
     """Item ranges of contexts (``streamed``: of segments), counted from their start, whose windows start in an earlier
     document too. ``resolve(items, sizes, ids, holds)`` gets one shard's pieces (``holds``: where in each the minimizer
     stands) and returns (piece, start, end) arrays. ``stream(items, sizes, ids, asked, lengths, owners)`` gets a shard's
-    passages and the segments asked for and returns (segment, start, end)."""
+    passages and the segments asked for and returns (segment, start, end). Equal segments that ask for one document are
+    streamed once, for the least of their ids: all of them come after that document."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -428,8 +433,21 @@ def matched(sent: DataFrame, resolve: Callable[[list, np.ndarray, np.ndarray, np
             if what == ASKED:
                 first = table.filter(pa.array(kind == PASSAGE))
                 of = lambda c, t: np.frombuffer(b"".join(first.column(c).to_pylist()), t)  # noqa: B023, E731
-                piece, a, b = stream(first.column("items").to_pylist(), of("sizes", np.int32), of("ids", np.int64), some.column("items").to_pylist(), [np.frombuffer(x, np.int32) for x in some.column("sizes").to_pylist()], join_up("ids", np.int64))
-                streamed.append((grp[piece], context[piece], a, b))
+                ids, asks = join_up("ids", np.int64), join_up("windows", np.int64).tolist()
+                distinct: dict[tuple, int] = {}
+                at = 0
+                which = np.empty(len(ids), np.int64)
+                for blob, sizes in zip(some.column("items").to_pylist(), some.column("holds").to_pylist()):
+                    x = 0
+                    for y in np.cumsum(np.frombuffer(sizes, np.int32)).tolist():
+                        which[at] = distinct.setdefault((asks[at], blob[x:y]), len(distinct))
+                        x, at = y, at + 1
+                alike = np.argsort(which, kind="stable")
+                cut = np.searchsorted(which[alike], np.arange(len(distinct) + 1))
+                one, a, b = stream(first.column("items").to_pylist(), of("sizes", np.int32), of("ids", np.int64), [x for _, x in distinct], join_up("sizes", np.int32)[alike[cut[:-1]]], np.minimum.reduceat(ids[alike], cut[:-1]))
+                n = cut[one + 1] - cut[one]
+                piece = alike[np.repeat(cut[one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                streamed.append((grp[piece], context[piece], np.repeat(a, n), np.repeat(b, n)))
                 continue
             if what == PIECE:
                 piece, a, b = resolve(some.column("items").to_pylist(), join_up("sizes", np.int32), join_up("ids", np.int64), join_up("holds", np.int32))

@@ -322,7 +322,7 @@ def test_op4_removes_by_index_alone(spark, monkeypatch):
 def test_stream_of_foreign_words_and_larger_ids():
     passage = b" ".join(b"a%d" % i for i in range(90)) + b" "
     other = b" ".join(b"b%d" % i for i in range(90)) + b" "
-    ask = lambda ids: fm_index.stream([passage], np.array([90], np.int32), np.array([5]), [passage + other, passage], [np.array([90, 90]), np.array([90])], np.array(ids))
+    ask = lambda ids: fm_index.stream([passage], np.array([90], np.int32), np.array([5]), [passage, other, passage], np.array([90, 90, 90]), np.array(ids))
     assert [x.tolist() for x in ask([6, 6, 7])] == [[0, 2], [0, 0], [90, 90]]
     assert [x.tolist() for x in ask([5, 6, 4])] == [[], [], []]
 
