@@ -104,7 +104,9 @@ class FMIndex:
                 break
             k *= 2
         self.sa = order
-        self.tree = WaveletTree(text[order - 1], sigma)
+        self.last = text[order - 1].astype(np.int32)
+        self.back = now[order - 1]  # where the suffix with one symbol more stands
+        self.tree = WaveletTree(self.last, sigma)
         self.count = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.lcp = SparseMin(self._lcp(levels))
         self.first = SparseMin(ranks[order].astype(np.int32))
@@ -121,10 +123,17 @@ class FMIndex:
         return np.minimum(np.concatenate(([0], out, [0])), np.iinfo(np.int16).max).astype(np.int16)
 
     def extend(self, c, low, high):
-        """Interval of the string that c and the interval's string make."""
-        both = self.tree.rank(np.concatenate((c, c)), np.concatenate((low, high)))
-        m = len(c)
-        return self.count[c] + both[:m], self.count[c] + both[m:]
+        """Interval of the string that c and the interval's string make. An interval of one suffix has one extension,
+        which is remembered; others are ranked in the wavelet tree."""
+        single = high - low == 1
+        one, more = np.flatnonzero(single), np.flatnonzero(~single)
+        a, b = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
+        a[one] = self.back[low[one]]
+        b[one] = a[one] + (self.last[low[one]] == c[one])
+        wide, m = c[more], len(more)
+        both = self.tree.rank(np.concatenate((wide, wide)), np.concatenate((low[more], high[more])))
+        a[more], b[more] = self.count[wide] + both[:m], self.count[wide] + both[m:]
+        return a, b
 
     def widen(self, low, high, depth):
         """Interval of the first ``depth`` symbols of an interval's string: the suffix-tree ancestor."""
@@ -143,8 +152,10 @@ class FMIndex:
 
     def feasible(self, low, high, own):
         """Whether an interval holds a document before ``own``."""
-        ok = low < high
-        ok[ok] = self.first.least(low[ok], high[ok]) < own[ok]
+        ok = np.zeros(len(low), bool)
+        one, more = np.flatnonzero(high - low == 1), np.flatnonzero(high - low > 1)
+        ok[one] = self.first.tables[0][low[one]] < own[one]
+        ok[more] = self.first.least(low[more], high[more]) < own[more]
         return ok
 
     def shorten(self, c, low, high, length, own):
