@@ -13,6 +13,8 @@ documents' passages, and the later documents' are streamed through that index in
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from itertools import count, repeat
 
 import numpy as np
 
@@ -212,8 +214,8 @@ def resolve(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, holds: np.nd
     """(piece, start, end) of the windows of each piece that also start in a piece of a smaller id, runs
     joined."""
     words = b"".join(items).split()
-    codes: dict[bytes, int] = {}
-    symbols = np.fromiter((codes.setdefault(w, len(codes) + 1) for w in words), np.int64, len(words))
+    codes: dict[bytes, int] = defaultdict(count(1).__next__)
+    symbols = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     ranks = np.unique(ids, return_inverse=True)[1]
     n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
@@ -244,8 +246,8 @@ def stream(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, asked: list[b
     """(segment, start, end) of the windows of each segment asked for that start in an indexed passage of a smaller id
     than its owner's, runs joined. Words that no passage holds match nothing."""
     words = b"".join(items).split()
-    codes: dict[bytes, int] = {}
-    symbols = np.fromiter((codes.setdefault(w, len(codes) + 1) for w in words), np.int64, len(words))
+    codes: dict[bytes, int] = defaultdict(count(1).__next__)
+    symbols = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     n, foreign = len(sizes), len(codes) + 1
     ranks, mine = np.split(np.unique(np.concatenate((ids, owners)), return_inverse=True)[1], [n])
     owner = np.repeat(np.arange(n), sizes)
@@ -256,7 +258,7 @@ def stream(items: list[bytes], sizes: np.ndarray, ids: np.ndarray, asked: list[b
     for a in range(0, len(asked), STREAMED):
         some = lengths[a : a + STREAMED].astype(np.int64)
         words = b"".join(asked[a : a + STREAMED]).split()
-        pattern = np.fromiter((codes.get(w, foreign) for w in words), np.int64, len(words))
+        pattern = np.fromiter(map(codes.get, words, repeat(foreign)), np.int64, len(words))
         for piece, place in index.statistics(pattern, np.cumsum(some), some, mine[a : a + STREAMED], np.zeros(len(some), np.int64), 0, window):
             pieces.append(piece + a)
             places.append(place)
