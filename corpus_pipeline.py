@@ -28,8 +28,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def simhash_near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays, the first by id; wordless and null texts are copies of each
-    other. See :func:`pointloom.llm.simhash.keep_one`."""
+    """One document of each group of near copies stays, the first by id: the operator's fingerprints within two bits link,
+    and near copies beyond that by their shingles. Wordless and null texts are copies of each other. See :func:`pointloom.llm.simhash.keep_one`."""
     return keep_one(docs)
 
 

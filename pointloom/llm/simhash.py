@@ -8,8 +8,8 @@ Keys with more (near copies, boilerplate) are never paired off: their members ar
 link of each member to the least one of its point loses no connection. Rows stay linear in the fingerprints
 however large a group of copies is.
 
-The pipeline's stage, :func:`keep_one`, is not bound to the operator's two bits, which only almost identical
-texts meet: it takes MinHash bands over five-word shingles and verifies pairs by their exact Jaccard similarity.
+The pipeline's stage, :func:`keep_one`, takes these fingerprints and links. Two bits are met by almost identical
+texts only, so links of MinHash bands over five-word shingles, verified by exact Jaccard similarity, are added.
 """
 
 from __future__ import annotations
@@ -145,16 +145,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _shingled(keyed: DataFrame, full: bool) -> DataFrame:
     """``(doc_id, th, a, size, x)`` of every row, ``a`` being the hash of its shingle set, ``size`` the set's size
-    and ``x`` the set itself (``full``) or its bands."""
+    and ``x`` the set itself (``full``) or its bands, beside the SimHash ``fp`` of the operator."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t) for t in column_bytes(batch.column("text"))]
             names = pa.array([int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True) for s in sets], pa.int64())
             lists = pa.array(sets if full else map(_bands, sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), names, pa.array(map(len, sets), pa.int32()), lists], ["doc_id", "th", "a", "size", "x"])
+            columns = [batch.column("doc_id"), batch.column("th"), names, pa.array(map(len, sets), pa.int32()), lists]
+            if not full:
+                columns.append(pa.array([fingerprint(t) for t in column_bytes(batch.column("text"))], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "a", "size", "x", "fp"][: len(columns)])
 
-    return keyed.mapInArrow(run, "doc_id long, th long, a long, size int, x array<long>")
+    return keyed.mapInArrow(run, "doc_id long, th long, a long, size int, x array<long>" + ("" if full else ", fp long"))
 
 
 def near_links(keyed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -170,17 +173,29 @@ def near_links(keyed: DataFrame, rows: DataFrame, threshold: float) -> DataFrame
     return linked(nodes.select("id", "bands", "size"), fetch, array_sets, threshold)
 
 
+def simhash_links(rows: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between shingle sets ``rows(a, fp)`` whose fingerprints reach each other over the operator's
+    links: of each component, every set with its least one."""
+    each = stage(rows.select("a", "fp").distinct(), "fps")
+    found = components(links(each.select("fp").distinct()))
+    named = each.join(found.hint("shuffle_merge"), each.fp == found.node, "left").select("a", F.coalesce("component", "fp").alias("c"))
+    named = stage(named, "named")
+    least = named.groupBy("c").agg(F.min("a").alias("v"))
+    return named.join(least.hint("shuffle_merge"), "c").select(F.col("a").alias("u"), "v").filter("u <> v")
+
+
 def keep_one(docs: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
     """The documents of ``docs``, all columns kept, without those that are near copies of another: of each
-    component of texts linked by a Jaccard similarity of ``threshold`` or more between their sets of
-    NEAR_WORDS-word shingles, the row that comes first by doc_id (null ids last) and text hash stays.
+    component of texts linked by SimHash fingerprints of two differing bits or fewer, or by a Jaccard similarity of
+    ``threshold`` or more between their sets of NEAR_WORDS-word shingles, the row that comes first by doc_id (null ids
+    last) and text hash stays.
 
     Rows are told apart by doc_id and text hash, so a repeated or null id costs no other row its place; rows
     equal in both stay or go together. Null and wordless texts are copies of each other.
     """
     keyed = _keyed(docs)
     rows = stage(_shingled(keyed, False), "rows")
-    found = components(near_links(keyed, rows, threshold))
+    found = components(simhash_links(rows).unionByName(near_links(keyed, rows, threshold).select("u", "v")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     each = rows.groupBy("a").agg(F.min(place).alias("first"))
     each = stage(each.join(found.hint("shuffle_merge"), each.a == found.node, "left").select("a", "first", F.coalesce("component", "a").alias("c")), "named")

@@ -45,3 +45,15 @@ def test_hard_rows(docs, empty, rows):
     kept = [(x.doc_id, x.text) for x in got.collect()]
     assert len(set(kept)) == len(groups) and all(len(set(g) & set(kept)) == 1 for g in groups)
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_simhash_links_count(spark):
+    """Eleven distinct words, repeated often but for one edit: fingerprints agree within two bits, sets of five-word
+    shingles do not reach the threshold. The stage follows the fingerprints."""
+    w = [f"word{i}" for i in range(11)]
+    whole = w * 40
+    edited = [*whole[:100], "other", "thing", "here", *whole[100:]]
+    rows = [(1, " ".join(whole)), (2, " ".join(edited)), (3, " ".join(f"else{i}" for i in range(60)))]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count() and not near(rows[0][1], rows[1][1])
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
