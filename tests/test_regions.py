@@ -271,3 +271,21 @@ def test_clustering_prunes_both_columns(spark):
     flat = staged(B.clustered_on(df.select("i", F.lit(1.0).alias("x"), "y"), "x", "y", partitions=4), "clustered")
     assert flat.count() == len(rows)
     assert staged(B.clustered_on(df.limit(0), "x", "y", partitions=4), "clustered").count() == 0
+
+
+def test_equal_regions_are_answered_once(spark):
+    """Queries that differ in their name (and, of neighbours, their number) alone share a region; each gets its rows."""
+    from pointloom.operators import polygons as P
+    from pointloom.sources.points import catalogue, points
+
+    d = "/root/testdata/sf0.001"
+    p, q = points(spark, d), catalogue(spark, d)
+    many = q.unionByName(q.selectExpr("concat('copy', qid) AS qid", "type", "wkt", "minz", "maxz", "num + 1 AS num", "radius"))
+    different, queries = P.once(many, "num")
+    assert different.count() == q.count() and queries.count() == 2 * q.count()
+    for f in (P.refined, P.nearest):
+        got = [(r.qid, r.ux, r.uy, r.uz) for r in f(p, many).collect()]
+        assert sorted((i[4:], *v) for i, *v in got if i.startswith("copy") and f is P.refined) == sorted((i, *v) for i, *v in got if not i.startswith("copy") and f is P.refined)
+        assert sorted(g for g in got if not g[0].startswith("copy")) == sorted((r.qid, r.ux, r.uy, r.uz) for r in f(p, q).collect())
+    more = [r.qid for r in P.nearest(p, many).collect()]
+    assert all(more.count(f"copy{r.qid}") >= more.count(r.qid) for r in q.filter("type = 'nn'").collect())
