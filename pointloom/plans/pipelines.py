@@ -190,9 +190,13 @@ def layout_tiles(spark, d):
 # --- loading -------------------------------------------------------------------------------------
 
 
+#: Points of an arriving file_id's part.
+ARRIVING_ROWS = 1_000_000
+
+
 def _arriving(spark, d):
-    """Files of points as they would arrive, one or more for each file_id."""
-    return staged(points(spark, d).drop("k").repartition(8, "file_id"), "arriving")
+    """Files of points as they would arrive, one or more for each file_id; none of more than some millions of points."""
+    return staged(B.by_group(points(spark, d).drop("k"), "file_id", (*XYZ, "gpstime"), ARRIVING_ROWS), "arriving")
 
 
 def _source(df: DataFrame) -> str:

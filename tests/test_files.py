@@ -131,3 +131,23 @@ def test_large_groups_are_dealt(spark):
         assert dealt.filter("g = 0").select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_arriving_files_are_cut(spark, monkeypatch):
+    """A file_id of many points arrives in several parts, all of its points once."""
+    from pointloom.plans import pipelines
+    from pointloom.sources.points import points
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(pipelines, "ARRIVING_ROWS", 50, raising=False)
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(held, ("64", "false")):
+            spark.conf.set(c, v)
+        a = pipelines._arriving(spark, d)
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    sizes = {(r[0], r.file_id): r["count"] for r in a.groupBy("_metadata.file_path", "file_id").count().collect()}
+    assert sum(sizes.values()) == points(spark, d).count()
+    assert len(sizes) > 20 and max(sizes.values()) < 400
