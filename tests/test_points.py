@@ -1,11 +1,13 @@
 """Properties of keys and ranges, equality of layouts, and sources."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import morton as M
+from pointloom.operators import blocks as B
 from pointloom.operators import polygons as P
 from pointloom.operators import ranges as R
 from pointloom.plans import registry
@@ -184,3 +186,18 @@ def test_numbers_within_groups(spark):
         mine = sorted((x.row, x.v, x.of) for x in got if x.g == g)
         assert [x[0] for x in mine] == list(range(len(mine))) and [x[1] for x in mine] == sorted(v for h, v in data if h == g)
         assert all(x[2] == len(mine) for x in mine)
+
+
+def test_cell_blocks_keep_points_without_a_key(spark):
+    p = points(spark, SF).limit(100).withColumn("k", F.when(F.col("uz") > 2500, F.col("k")))
+    assert 0 < p.filter("k is null").count() < 100
+    b = B.blocks_by_cell(p, level=5, capacity=20).collect()
+    assert sum(r.n for r in b) == 100 and max(r.n for r in b) < 60
+    assert sum(r.n for r in b if r.cell is None) == p.filter("k is null").count()
+
+
+def test_a_key_in_a_filter_stays_compilable(spark, capsys):
+    """The JVM leaves methods of more than 8,000 bytes of code uncompiled."""
+    points(spark, SF).filter("k is not null").select("ux").explain(mode="codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
