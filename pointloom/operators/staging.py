@@ -34,10 +34,14 @@ def staged(df: DataFrame, tag: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Few bytes that become much work or many rows: dealt to as many tasks as a shuffle has, not left in the one or two that
     their bytes alone would make."""
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(tasks_of(df.sparkSession))
 
 
 def bounded(table: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..operators.blocks import parts_of
-from ..operators.staging import fresh, staged
+from ..operators.staging import fresh, staged, tasks_of
 from .files import listed, read_range, write_whole
 from .points import DIMENSIONS, schema
 
@@ -109,7 +109,8 @@ def records(headers: DataFrame, letters: str = "xyz", skip_invalid: bool = False
     its file. The key ``k`` is left to :func:`..functions.morton.morton_encode`. Invalid records (return above the
     pulse's returns, or 0 of some) may be skipped."""
     ranges = headers.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("num") - 1, F.lit(0)), F.lit(RANGE).cast("long")))).filter("num > 0")
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a number, as these few bytes, which become many rows, would else be one task
+    ranges = ranges.repartition(tasks_of(headers.sparkSession), "path", "start")
     wanted = letters.replace("k", "")
 
     def run(parts):
@@ -229,7 +230,8 @@ def write_las(p: DataFrame, folder: str, scale: float = 0.01) -> DataFrame:
     def run(parts):
         from pyspark import TaskContext
 
-        part_id, made, held = TaskContext.get().partitionId(), 0, None
+        part_id, made = TaskContext.get().partitionId(), 0
+        held, rows = [], 0  # put together once they fill a file
 
         def full(table, last):
             nonlocal made
@@ -243,10 +245,16 @@ def write_las(p: DataFrame, folder: str, scale: float = 0.01) -> DataFrame:
             return table
 
         for part in parts:
-            held = part if held is None else pd.concat([held, part])
-            held = yield from full(held, False)
-        if held is not None:
-            yield from full(held, True)
+            if not len(part):
+                continue
+            held.append(part)
+            rows += len(part)
+            if rows >= PART_POINTS or held[0]["file_id"].iloc[0] != part["file_id"].iloc[-1]:
+                held = [(yield from full(pd.concat(held), False))]
+                rows = len(held[0])
+                held = held if rows else []
+        if held:
+            yield from full(pd.concat(held), True)
 
     ranged = p.repartitionByRange(parts_of(p), "file_id", *ORDER).sortWithinPartitions("file_id", *ORDER)
     made = ranged.mapInPandas(run, "file_id int, path string, num long, place long")

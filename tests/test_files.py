@@ -151,3 +151,11 @@ def test_arriving_files_are_cut(spark, monkeypatch):
     sizes = {(r[0], r.file_id): r["count"] for r in a.groupBy("_metadata.file_path", "file_id").count().collect()}
     assert sum(sizes.values()) == points(spark, d).count()
     assert len(sizes) > 20 and max(sizes.values()) < 400
+
+
+def test_ranges_of_files_are_many_tasks(spark, folder, monkeypatch):
+    """Spark would put the few bytes that name them into one."""
+    monkeypatch.setattr(las, "RANGE", 100)
+    got = las.read_las(spark, str(folder), "XYZ")
+    assert got.count() == points(spark, SF).count()
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
