@@ -2,7 +2,8 @@
 
 A batch is written to a folder of its own, cut in blocks, and counts from the moment its rows stand in the manifest;
 readers see the batches of the manifest alone. A batch's name follows from its files: one that failed half-way is
-written over when it is tried again, one that is in the manifest is skipped without opening a file.
+written over when it is tried again, one that is in the manifest is skipped without opening a file. Batches that
+wait are loaded many in one pass.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.morton import morton_encode
 from ..sources import las
 from . import blocks as B
-from .staging import staged
+from .staging import bounded, staged
 
 #: Points of a batch and of a block.
 BATCH_POINTS, BLOCK_POINTS = 1_000_000, 500
+#: Batches that are loaded in one pass and enter the manifest together.
+ROUND_BATCHES = 64
+BLOCKS = "path string, block_ix long, n long, minx double, miny double, maxx double, maxy double, pts array<struct<ux: int, uy: int, uz: int, x: double, y: double, z: double, k: long, classification: short>>, batch string"
 MANIFEST = "path string, num long, batch string"
 ORDER = ("k", "uz", "gpstime", "intensity", "red", "green")
 LETTERS = "XYZxyzitcRG"
@@ -43,17 +47,28 @@ def batched(files: DataFrame, points: int = BATCH_POINTS) -> DataFrame:
 def load_batch(spark: SparkSession, files: DataFrame, target: str) -> bool:
     """Load the files of header rows as one batch; False if they are loaded already. Files that an earlier batch
     loaded are left out, before any is opened."""
-    new = staged(files.join(manifest(spark, target), "path", "left_anti"), "batch-files")
+    return load_batches(spark, files.withColumn("place", F.lit(0).cast("long")), target) > 0
+
+
+def load_batches(spark: SparkSession, files: DataFrame, target: str) -> int:
+    """Load header rows with the number of their batch (``place``) in one pass over their points; the number of batches
+    that were new. Each batch has a folder of its own, of about a file for each file or million points."""
+    new = staged(files.dropDuplicates(["path"]).join(manifest(spark, target), "path", "left_anti"), "batch-files")
     # a set of files has one name, in whatever order they come
-    name, n = new.agg(F.sum(F.xxhash64("path").cast("decimal(38,0)")), F.count("*")).first()
-    if not n:
-        return False
-    batch = f"{n}-{int(name) & (1 << 64) - 1:016x}"
-    points = las.records(new, LETTERS).withColumn("k", morton_encode(F.col("ux"), F.col("uy")))
-    rows = B.numbered_within(points, "path", ORDER).withColumn("block_ix", F.floor(F.col("row") / BLOCK_POINTS))
-    B.packed(rows.groupBy("path", "block_ix")).write.mode("overwrite").parquet(f"{target}/blocks/batch={batch}")
-    _commit(new.select("path", "num", F.lit(batch).alias("batch")), target)
-    return True
+    found = new.groupBy("place").agg(F.sum(F.xxhash64("path").cast("decimal(38,0)")).alias("name"), F.count("*").alias("n"), F.sum("num").alias("num")).collect()
+    if not found:
+        return 0
+    names = spark.createDataFrame([(r.place, f"{r.n}-{int(r.name) & (1 << 64) - 1:016x}") for r in found], "place long, batch string")
+    batches = bounded(staged(new.join(F.broadcast(names), "place").select("path", "num", "batch"), "batches"))
+    # read once: ranges would open the files for their bounds, too
+    points = staged(las.records(new, LETTERS).withColumn("k", morton_encode(F.col("ux"), F.col("uy"))), "batch-points")
+    parts = B.parts_of(new, sum(r.num for r in found))
+    rows = B.numbered_within(points, "path", ORDER, parts).withColumn("block_ix", F.floor(F.col("row") / BLOCK_POINTS))
+    rows = rows.join(batches.select("path", "batch"), "path").withColumn("_part", F.floor(F.col("row") / BATCH_POINTS)).repartition(parts, "path", "_part")
+    made = B.packed(rows.groupBy("batch", "path", "_part", "block_ix")).drop("_part")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/blocks")
+    _commit(batches.select("path", "num", "batch"), target)
+    return len(found)
 
 
 def _commit(rows: DataFrame, target: str) -> None:
@@ -63,9 +78,10 @@ def _commit(rows: DataFrame, target: str) -> None:
 
 def load(spark: SparkSession, files: DataFrame, target: str, points: int = BATCH_POINTS) -> int:
     """Load header rows in batches of about ``points``; the number of batches that were new."""
-    new = staged(batched(files.join(manifest(spark, target), "path", "left_anti"), points), "arrived")
+    new = staged(batched(files.dropDuplicates(["path"]).join(manifest(spark, target), "path", "left_anti"), points), "arrived")
     places = [r.place for r in new.select("place").distinct().orderBy("place").toLocalIterator()]
-    return sum(load_batch(spark, new.filter(F.col("place") == p).drop("place"), target) for p in places)
+    rounds = [places[at : at + ROUND_BATCHES] for at in range(0, len(places), ROUND_BATCHES)]
+    return sum(load_batches(spark, new.filter(F.col("place").between(r[0], r[-1])), target) for r in rounds)
 
 
 def load_stream(spark: SparkSession, inventory: str, target: str, checkpoint: str, schema) -> None:
@@ -80,7 +96,7 @@ def loaded_blocks(spark: SparkSession, target: str) -> DataFrame:
     """The blocks of all batches in the manifest."""
     known = manifest(spark, target).select("batch").distinct()
     try:
-        blocks = spark.read.parquet(f"{target}/blocks")
+        blocks = spark.read.schema(BLOCKS).parquet(f"{target}/blocks")
     except AnalysisException as e:
         raise ValueError(f"nothing was loaded to {target}") from e
     return blocks.join(known, "batch", "left_semi")

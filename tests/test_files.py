@@ -159,3 +159,15 @@ def test_ranges_of_files_are_many_tasks(spark, folder, monkeypatch):
     got = las.read_las(spark, str(folder), "XYZ")
     assert got.count() == points(spark, SF).count()
     assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_batches_that_wait_are_one_pass(spark, folder, tmp_path, monkeypatch):
+    """Batches keep their size and folders, a file named twice is loaded once, and the points are numbered once."""
+    target, heads = str(tmp_path / "target"), las.inventory(spark, str(folder), str(tmp_path / "headers"))
+    passes, numbered = [], loading.B.numbered_within
+    monkeypatch.setattr(loading.B, "numbered_within", lambda *a: passes.append(1) or numbered(*a))
+    every = points(spark, SF).count()
+    made = loading.load(spark, heads.unionByName(heads), target, points=every // 5)
+    assert made > 3 and len(passes) == 1
+    assert loading.loaded_blocks(spark, target).agg(F.sum("n")).first()[0] == every
+    assert len([n for n in os.listdir(f"{target}/blocks") if n.startswith("batch=")]) == loading.manifest(spark, target).select("batch").distinct().count() == made
