@@ -10,7 +10,7 @@ from ..operators import ranges as R
 from ..functions import morton as M
 from ..functions.geometry import in_ranges, inside, literal_edges
 from ..functions.morton import quad_cell
-from ..operators.staging import bounded, staged
+from ..operators.staging import bounded, dealt, staged
 from ..sources.points import SCALE, catalogue, files, points
 from . import stored
 from .base import query, sql_encode
@@ -220,16 +220,19 @@ def morton_ranges_far(spark, d):
 
 @query(_LEAF + "SELECT qid, lo, hi FROM capped")
 def udtf_morton_ranges(spark, d):
-    """The session's table function on a column of texts, one call for each region; boxes are grown by a unit."""
+    """The session's table function on a column of texts, one call for each different region, dealt to all tasks; boxes
+    are grown by a unit."""
     R.register(spark)
     domain = stored.domain(spark, d)
     high = {c: F.col(c) + domain.scale for c in ("maxx", "maxy")}
     q = _boxes(spark, d).withColumns(high)
     corners = [("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny")]
     box = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", *c) for c in corners]), F.lit("))"))
-    q.select("qid", F.when(F.col("type") == "generic", F.col("wkt")).otherwise(box).alias("wkt")).createOrReplaceTempView("range_regions")
+    different, queries = P.once(q.select("qid", F.when(F.col("type") == "generic", F.col("wkt")).otherwise(box).alias("wkt")))
+    dealt(different).createOrReplaceTempView("range_regions")
     at = f"{domain.minx}L, {domain.miny}L, {domain.maxx}L, {domain.maxy}L, {domain.scale}D, {domain.offsetx}L, {domain.offsety}L"
-    return spark.sql(f"SELECT qid, lo, hi FROM range_regions, LATERAL morton_ranges(wkt, {at}, CAST(NULL AS INT), {R.MAX_RANGES})")
+    found = spark.sql(f"SELECT rid, lo, hi FROM range_regions, LATERAL morton_ranges(wkt, {at}, CAST(NULL AS INT), {R.MAX_RANGES})")
+    return P.asked(found, queries).select("qid", "lo", "hi")
 
 
 @query(_LEAF + "SELECT m.qid, p.ux, p.uy, p.uz FROM points p JOIN capped m ON p.k BETWEEN m.lo AND m.hi")

@@ -209,3 +209,14 @@ def test_capacity_blocks_carry_their_columns_only(spark, monkeypatch):
     b = B.blocks_by_capacity(points(spark, SF))
     assert b.agg(F.sum("n")).first()[0] == points(spark, SF).count()
     assert set(seen[0]) == {*B.POINT, "gpstime", "pid", "intensity", "red", "_at"}
+
+
+def test_table_function_answers_equal_texts_once(spark, tmp_path):
+    """Keys that differ by 1,800 name equal regions; few rows still become many tasks."""
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(str(tmp_path / "lineitem.parquet"))
+    keys = [(s, n) for s in (1, 2, 4) for n in (s, s + 1800, s + 3600)]
+    spark.createDataFrame([(n,) for _, n in keys], "s_suppkey long").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = registry.QUERIES["udtf_morton_ranges"](spark, str(tmp_path)).collect()
+    of = {q: sorted((r.lo, r.hi) for r in got if r.qid == str(q)) for _, q in keys}
+    assert all(of[n] == of[s] != [] for s, n in keys)
+    assert spark.table("range_regions").count() == 3 and spark.table("range_regions").rdd.getNumPartitions() > 1
