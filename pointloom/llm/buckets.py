@@ -1,7 +1,7 @@
 """Exact links within MinHash buckets of any size, shared by the near-duplicate operators.
 
 Rows that share a band key are a bucket. Buckets of a bounded size are compared in tasks, many at once, with
-numpy; larger ones lose members in rounds of Spark joins until they are small enough. Both use one rule: all
+numpy (or, for line dedup, by joins alone: :class:`Native`); larger ones lose members in rounds of Spark joins until they are small enough. Both use one rule: all
 members meet one of them, the leader, and what the triangle inequality of the Jaccard distance then proves to
 be linked or without a link leaves the bucket. A bucket that a round does not halve is dealt anew by its members'
 rarest shingles (prefix filtering): two sets of the threshold's similarity share one of the first few of theirs,
@@ -13,10 +13,11 @@ a bucket is lost, whatever its size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, release, stage
@@ -25,6 +26,8 @@ from .common import mix, release, stage
 MEMBERS, SHINGLES = 2048, 1 << 22
 #: Shingles of whole buckets that a task looks at together.
 TOGETHER = 1 << 20
+#: Without Python: a bucket of up to so many members has all its pairs made.
+PAIRED = 512
 #: Similarities are compared with this tolerance, towards further comparison.
 EPS = 1e-9
 
@@ -32,6 +35,48 @@ EPS = 1e-9
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+@dataclass(frozen=True)
+class Native:
+    """Comparison by DataFrame functions alone: ``shingles`` gives the distinct hashes of a row's x, ``agree`` whether the
+    signature values of two rows let them reach the threshold."""
+
+    shingles: Callable[[Column], Column]
+    agree: Callable[[Column, Column], Column]
+
+    def scored(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """``(u, v, j)`` of ``pairs(u, v)`` with the rows ``known(id, x)``."""
+        parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        side = lambda c: known.select(F.col("id").alias(c), F.col("x").alias(f"x{c}")).hint("shuffle_merge")
+        # the sets cost far more than the bytes that Spark sizes partitions by
+        both = pairs.join(side("u"), "u").join(side("v"), "v").repartition(parts)
+        both = both.select("u", "v", self.shingles(F.col("xu")).alias("a"), self.shingles(F.col("xv")).alias("b"))
+        both = both.select("u", "v", (F.size("a") + F.size("b")).alias("all"), F.size(F.array_intersect("a", "b")).alias("n"))
+        return both.select("u", "v", F.when(F.col("all") > F.col("n"), F.col("n") / (F.col("all") - F.col("n"))).otherwise(1.0).alias("j"))
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.explode(self.shingles(F.col("x"))).alias("token"))
+
+    def links(self, members: DataFrame, signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+        """Links ``(u, v)`` that connect the rows of ``members(k, id)``, in buckets of bounded size, as all their pairs of
+        the threshold's similarity would. Each row is compared with the first that may be like it; what is linked to one
+        row then needs no further look at each other."""
+        valued = stage(members.select("k", "id").join(signed.select("id", "values").hint("shuffle_merge"), "id"), "valued")
+        side = lambda c: valued.select("k", F.col("id").alias(c), F.col("values").alias(f"b{c}")).hint("shuffle_merge")
+        met = side("u").join(side("v"), "k").filter("u > v").filter(self.agree(F.col("bu"), F.col("bv")))
+        pairs = stage(met.select("u", "v").distinct(), "pairs")
+        release(valued)
+        known = stage(fetch(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "known", compression="zstd")
+        first = stage(self.scored(pairs.groupBy("u").agg(F.min("v").alias("v")), known), "first")
+        near = first.select("u", F.col("v").alias("low"), F.when(F.col("j") >= threshold, F.col("v")).alias("p"))
+        above = first.filter(F.col("j") >= threshold).select(F.col("u").alias("v"), F.col("v").alias("q"))
+        rest = pairs.join(near.hint("shuffle_merge"), "u").filter("v <> low").join(above.hint("shuffle_merge"), "v", "left")
+        rest = rest.filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+        more = self.scored(rest, known)
+        links = stage(first.unionByName(more).filter(F.col("j") >= threshold).select("u", "v"), "links")
+        release(pairs, known, first)
+        return links
+
+
 def array_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The sets of a column of arrays of hashes."""
     starts = column.offsets.to_numpy().astype(np.int64)
@@ -198,7 +243,7 @@ def _scored(pairs: DataFrame, known: DataFrame, sets: Sets) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long, j double")
 
 
-def _ranked(rows: DataFrame, sets: Sets, threshold: float) -> DataFrame:
+def _ranked(rows: DataFrame, sets: Sets | Native, threshold: float) -> DataFrame:
     """``(id, token)`` of ``rows(id, x)``: of each set's shingles the rarest, one more than a set of the threshold's
     similarity can lack. Two such sets share one of these, the rarest of all that they share."""
 
@@ -215,7 +260,7 @@ def _ranked(rows: DataFrame, sets: Sets, threshold: float) -> DataFrame:
                 ids = piece.column("id").take(pa.array(row[fresh]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(values[fresh].view(np.int64))], ["id", "token"])
 
-    tokens = stage(rows.select("id", "x").mapInArrow(run, "id long, token long"), "tokens")
+    tokens = stage(sets.ranked(rows) if isinstance(sets, Native) else rows.select("id", "x").mapInArrow(run, "id long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("f"))
     each = tokens.join(often.hint("shuffle_merge"), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("all"))
     lacking = (F.size("all") - F.ceil(F.size("all") * threshold - EPS)).cast("int")
@@ -224,20 +269,21 @@ def _ranked(rows: DataFrame, sets: Sets, threshold: float) -> DataFrame:
     return out
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, bound: int) -> DataFrame:
     """Members of crowded buckets, with their bucket's ``left`` and ``all``, dealt to blocks of half the bounds and these
     to new buckets of two, so that each two members meet."""
-    n = F.greatest(F.ceil(F.col("left") * 2 / MEMBERS), F.ceil(F.col("all") * 2 / SHINGLES), F.lit(2)).cast("int")
+    n = F.greatest(F.ceil(F.col("left") * 2 / bound), F.ceil(F.col("all") * 2 / SHINGLES), F.lit(2)).cast("int")
     dealt = members.withColumn("n", n).withColumn("one", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     pairs = dealt.withColumn("two", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("one <> two")
     return pairs.select(F.xxhash64("k", F.least("one", "two"), F.greatest("one", "two")).alias("k"), "id", "size")
 
 
-def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, agree: int = 0) -> DataFrame:
+def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets | Native, threshold: float, agree: int = 0) -> DataFrame:
     """Links ``(u, v)`` whose components are those of all pairs of ``signed(id, bands, size)`` that share a band
     and reach the threshold. ``size`` bounds the shingles of a row; ``fetch`` gives rows ``(id, x)`` for a table
     of ids, ``sets`` the shingle hashes that a column of x stands for. Where ``signed`` has ``values`` (16 bits of
     each value of the signature), rows that agree with no other of their bucket in ``agree`` of them are not fetched.
+    With :class:`Native` as ``sets`` nothing runs in Python, and buckets of up to PAIRED members count as small.
 
     Buckets of equal members count once. Those within MEMBERS and SHINGLES are compared in tasks. In larger
     ones a round compares all members with the leader. Those that reach the threshold are linked to it and
@@ -249,25 +295,39 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
     """
     reach = 2 * threshold - 1
     parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fits = (F.col("n") <= MEMBERS) & (F.col("total") <= SHINGLES)
+    native = isinstance(sets, Native)
+    bound = min(MEMBERS, PAIRED) if native else MEMBERS
+    fits = (F.col("n") <= bound) & (F.col("total") <= SHINGLES)
     # one exchange for the counts and for the members that they choose
     first = signed.select("id", "size", F.explode("bands").alias("k")).filter("k is not null").repartition(parts, "k")
-    counts = first.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all")).filter("n > 1")
-    chosen = counts.groupBy("n", "total", "all").agg(F.min("k").alias("k")).select("k", fits.alias("fits"))
-    members = stage(first.join(chosen.hint("shuffle_merge"), "k").select("k", "id", "size", "fits"), "members")
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"s{i}") for i in (1, 2)]
+    counts = first.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total"), *same).filter("n > 1")
+    chosen = counts.groupBy("n", "total", "s1", "s2").agg(F.min("k").alias("k")).select("k", fits.alias("fits"))
+    members = stage(first.join(chosen.hint("shuffle_hash"), "k").select("k", "id", "size", "fits"), "members")
     small, large = members.filter("fits").drop("fits"), members.filter(~F.col("fits"))
-    if agree:
+    if agree and not native:
         small = stage(_possible(small, signed, agree), "possible")
     crowded = not large.isEmpty()
-    needed = small.select("id").unionByName(large.select("id")) if crowded else small.select("id")
-    rows = stage(fetch(needed.distinct()), "some", compression="zstd")
-    text = rows.hint("shuffle_merge")
-    links = stage(_links(small.join(text, "id"), sets, threshold), "links")
-    if agree:
-        release(small)
-    if not crowded:
-        release(members, rows)
-        return links
+    if native:
+        links = sets.links(small, signed, fetch, threshold)
+        if not crowded:
+            release(members)
+            return links
+        rows = stage(fetch(large.select("id").distinct()), "some", compression="zstd")
+        compared = lambda ready: sets.links(ready, signed, lambda ids: rows.join(ids.hint("shuffle_hash"), "id", "left_semi"), threshold)
+        score = lambda pairs: sets.scored(pairs, rows)
+    else:
+        needed = small.select("id").unionByName(large.select("id")) if crowded else small.select("id")
+        rows = stage(fetch(needed.distinct()), "some", compression="zstd")
+        text = rows.hint("shuffle_merge")
+        compared = lambda ready: stage(_links(ready.join(text, "id"), sets, threshold), "links")
+        score = lambda pairs: _scored(pairs, rows, sets)
+        links = compared(small)
+        if agree:
+            release(small)
+        if not crowded:
+            release(members, rows)
+            return links
     ranked = _ranked(rows.join(large.select("id").distinct().hint("shuffle_merge"), "id", "left_semi"), sets, threshold)
     members = stage(large.select("k", F.lit(False).alias("dealt"), "id", "size", F.lit(None).cast("int").alias("label")), "members")
     turn = 0
@@ -279,7 +339,7 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
         met = stage(members.join(leaders.hint("shuffle_merge"), "k").filter("id <> low"), "met")
         release(members)
         pairs = met.filter("label is null or own is null or label <> own").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-        scored = stage(_scored(pairs, rows, sets).filter(F.col("j") >= reach), "scored")
+        scored = stage(score(pairs).filter(F.col("j") >= reach), "scored")
         links = links.unionByName(scored.filter(F.col("j") >= threshold).select("u", "v"))
         judged = met.join(scored.select(F.col("u").alias("id"), F.col("v").alias("low"), "j").hint("shuffle_merge"), ["id", "low"], "left")
         # what has the leader's label already counts as linked, at a similarity not known
@@ -300,16 +360,16 @@ def linked(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
         rest = stage(rest.join(sizes.hint("shuffle_merge"), "k").select("k", "dealt", "id", "size", "label", "n", "left", "all"), "rest")
         release(merged)
         again = F.col("left") * 2 <= F.col("n")
-        small = (F.col("left") <= MEMBERS) & (F.col("all") <= SHINGLES)
+        small = (F.col("left") <= bound) & (F.col("all") <= SHINGLES)
         slow = rest.filter(~small & ~again)
         anew = slow.filter("not dealt").join(ranked.hint("shuffle_merge"), "id").select(F.xxhash64("k", "token").alias("part"), "k", "id", "size", "left")
         known = anew.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total"), F.first("k").alias("k"), F.first("left").alias("left"))
         known = stage(known.filter("n > 1").select("part", "k", "n", "left", fits.alias("fits")), "parts")
         alike = known.filter("not fits").groupBy("k").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.first("left").alias("left")).filter(F.col("squares") >= F.col("left") * F.col("left")).select("k")
         met = stage(anew.select("part", "id", "size").join(known.join(alike.hint("shuffle_merge"), "k", "left_anti").select("part", "fits").hint("shuffle_merge"), "part"), "anew")
-        blocks = _blocks(slow.join(alike.withColumn("alike", F.lit(True)).hint("shuffle_merge"), "k", "left").filter(F.col("dealt") | F.col("alike")))
+        blocks = _blocks(slow.join(alike.withColumn("alike", F.lit(True)).hint("shuffle_merge"), "k", "left").filter(F.col("dealt") | F.col("alike")), bound)
         ready = rest.filter(small).select("k", "id", "size").unionByName(met.filter("fits").select(F.col("part").alias("k"), "id", "size")).unionByName(blocks)
-        links = links.unionByName(stage(_links(ready.join(text, "id"), sets, threshold), "links"))
+        links = links.unionByName(compared(ready))
         fresh = met.filter("not fits").select(F.col("part").alias("k"), F.lit(True).alias("dealt"), "id", "size", F.lit(None).cast("int").alias("label"))
         members = stage(rest.filter(~small & again).select("k", "dealt", "id", "size", "label").unionByName(fresh), "members")
         release(rest, known, met)

@@ -1,30 +1,31 @@
 """Operator 3: fuzzy line dedup.
 
 Lines are compared as sets of character shingles: the 5 characters at every position; a line of fewer is one
-shingle. MinHash signatures of 8 bands of 4 values find candidates (0.985 of the pairs at a similarity of 0.8,
-0.9998 at 0.9): lines that share a band, in buckets that one task compares unless under 17 of the 32 values agree (at
-0.8: 1 pair in 5,000). :mod:`.buckets` verifies them by their exact Jaccard similarity, in buckets of any size. Distributed union-find joins linked lines, and the first line of each component stays.
+shingle. Shingle hashes fall in 8 bins; the 4 least hashes of a bin, under as many masks, are a band of the line's
+MinHash signature. Lines that share a band (0.985 of the pairs at a similarity of 0.8, 0.9998 at 0.9) are candidates,
+unless under 14 of the 32 values agree. :mod:`.buckets` verifies them by their exact Jaccard similarity, in buckets of
+any size. Distributed union-find joins linked lines, and the first line of each component stays.
 
-Lines are split, counted, joined and removed by DataFrame functions; numpy makes the signatures and compares
-the lines of a bucket inside tasks.
+All of it is DataFrame functions. :func:`line_sets` and :func:`line_bands` are numpy forms of the sets and of a signature
+for callers that hold lines in memory; no query runs them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import linked
+from .buckets import Native, linked
 from .common import mix, release, stage, table
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 8, 4
-#: Of the BANDS * ROWS signature values so many must agree.
-AGREE = 17
+#: Of the BANDS * ROWS signature values so many must agree. Half the bits of two different values differ, so rows that do
+#: not pass for more than DIFFER of all 512 bits are told by those.
+AGREE, DIFFER = 14, 190
 THRESHOLD = 0.8
 #: A line with more than this share of all lines has its rows dealt to SALTS tasks; there are 1,000 such lines at most.
 HOT_SHARE, SALTS = 0.001, 64
@@ -32,6 +33,10 @@ HOT_SHARE, SALTS = 0.001, 64
 TOGETHER = 1 << 19
 #: What no text holds: pads lines of fewer characters than a shingle.
 PAD = 0x110000
+#: Masks under which a band's values are the least hashes of its bin.
+MASKS = [int(x) for x in mix(np.arange(101, 101 + ROWS, dtype=np.uint64)).view(np.int64)]
+#: Where a long holds each of four values.
+LANES = [0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -1 << 48]
 #: Odd factors and offsets, one for each row of a signature.
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix(FACTORS)
@@ -77,7 +82,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
     """Every line with a word: ``(doc_id, th, pos, a, b)``, ``a`` and ``b`` being 128 bits of the line's hash."""
-    lines = _keyed(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
+    word = (F.ascii("line") > 32) | F.col("line").rlike(r"\S")
+    lines = _keyed(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(word)
     return lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), *more)
 
 
@@ -87,21 +93,51 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return stage(each.select(F.monotonically_increasing_id().alias("id"), "a", "b", "first", "n", "line"), "lines", compression="zstd")
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """``(id, bands, values, size)`` of ``lines(id, line)``: the keys of the bands, 16 bits of each signature value,
-    and the number of shingles."""
+def _shingle(points: Column, i: Column) -> Column:
+    """Hash of the shingle at a place of a line in four bytes a character."""
+    return F.xxhash64(F.substring(points, i * 4 + 1, 4 * SHINGLE))
+
+
+def _places(points: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.octet_length(points) / 4 - SHINGLE, F.lit(0)).cast("int"))
 
-    def run(batches):
-        for batch in batches:
-            total = np.cumsum(pc.utf8_length(batch.column("line")).to_numpy())
-            cuts = np.flatnonzero(np.diff(total // TOGETHER, prepend=0))
-            for at, end in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if end > at:
-                    keys, values, size = line_bands(batch.column("line").slice(at, end - at))
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, end - at), bands, pa.array([x.tobytes() for x in values], pa.binary()), pa.array(size.astype(np.int32))], ["id", "bands", "values", "size"])
 
-    return stage(lines.select("id", "line").mapInArrow(run, "id long, bands array<long>, values binary, size int"), "signatures")
+def shingles(line: Column) -> Column:
+    """The distinct shingle hashes of a line."""
+    # an array of one: the line is encoded once, not for each place
+    bound = F.transform(F.array(F.encode(line, "UTF-32")), lambda p: F.transform(_places(p), lambda i: _shingle(p, i)))
+    return F.array_distinct(bound[0])
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """``(id, bands, values, size)`` of ``lines(id, line)``: the keys of the bands (null for an empty bin), for each band
+    16 bits of its values in a long (0 for an empty bin), and the number of shingles."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by id once: both aggregations below then run where the shingles are made
+    points = lines.repartition(parts, "id").select("id", F.encode("line", "UTF-32").alias("points"))
+    found = points.select("id", "points", F.explode(_places(F.col("points"))).alias("i")).select("id", _shingle(F.col("points"), F.col("i")).alias("h"))
+    found = found.select("id", "h", F.col("h").bitwiseAND(F.lit(BANDS - 1).cast("long")).cast("int").alias("bin"))
+    least = found.groupBy("id", "bin").agg(F.count("*").alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{r}") for r, m in enumerate(MASKS)])
+    values = F.lit(0).cast("long")
+    for r in range(ROWS):
+        values = values.bitwiseOR(F.shiftleft(F.shiftrightunsigned(f"m{r}", 48), 16 * r))
+    least = least.select("id", "bin", "n", F.xxhash64("bin", *[f"m{r}" for r in range(ROWS)]).alias("key"), values.alias("values"))
+    of = lambda c: [F.max(F.when(F.col("bin") == b, F.col(c))).alias(f"{c}{b}") for b in range(BANDS)]
+    made = least.groupBy("id").agg(F.sum("n").cast("int").alias("size"), *of("key"), *of("values"))
+    return stage(made.select("id", F.array(*[f"key{b}" for b in range(BANDS)]).alias("bands"), F.array(*[F.coalesce(f"values{b}", F.lit(0).cast("long")) for b in range(BANDS)]).alias("values"), "size"), "signatures")
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether enough signature values of two rows agree. Bins that are empty on both sides agree."""
+    # short, since the JVM compiles no method of more than 8,000 bytes; values are counted only where bits allow it
+    differ = [F.bit_count(x[band].bitwiseXOR(y[band])) for band in range(BANDS)]
+    equal = lambda d: sum((F.when(d.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in LANES[1:]), F.when(d.bitwiseAND(F.lit(LANES[0])) == 0, 1).otherwise(0))
+    agree = F.aggregate(F.zip_with(x, y, lambda a, b: equal(a.bitwiseXOR(b))), F.lit(0), lambda n, m: n + m)
+    return (sum(differ[1:], differ[0]) <= DIFFER) & (agree >= AGREE)
+
+
+#: How lines are compared in buckets: by DataFrame functions alone.
+NATIVE = Native(shingles, _alike)
 
 
 def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,18 +148,20 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = distinct_lines(docs)
     signed = signatures(lines)
     texts = lines.select("id", F.col("line").alias("x"))
-    found = components(linked(signed, lambda ids: texts.join(ids.hint("shuffle_merge"), "id", "left_semi"), line_sets, threshold, AGREE))
+    found = components(linked(signed, lambda ids: texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), NATIVE, threshold))
     release(signed)
-    each = lines.select("id", "a", "b", "first", "n").join(found.hint("shuffle_merge"), F.col("id") == F.col("node"), "left")
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    # lines that stand once and are like no other are through
+    each = lines.select("id", "a", "b", "first", "n").join(found.hint("shuffle_hash"), F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null")
     each = stage(each.select("a", "b", "first", "n", F.coalesce("component", "id").alias("c")), "named")
-    total = each.agg(F.sum("n")).first()[0] or 0
+    total = lines.agg(F.sum("n")).first()[0] or 0
     keeper = each.groupBy("c").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).filter("all > 1").select("c", "keep")
     hot = F.col("n") > total * HOT_SHARE
     repeated = each.join(keeper.hint("shuffle_merge"), "c").select("a", "b", "keep", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     often = F.broadcast(each.filter(hot).select("a", "b", F.lit(SALTS).alias("salts")))  # 1 / HOT_SHARE rows at most
     place = F.struct("doc_id", "th", "pos")
     spread = _lines(docs).join(often, ["a", "b"], "left").withColumn("salt", F.pmod(F.xxhash64(place), F.coalesce("salts", F.lit(1))).cast("int"))
-    gone = spread.join(repeated.hint("shuffle_merge"), ["a", "b", "salt"]).filter(~place.eqNullSafe(F.col("keep")))
+    gone = spread.join(repeated.hint("shuffle_hash"), ["a", "b", "salt"]).filter(~place.eqNullSafe(F.col("keep")))
     return stage(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
 

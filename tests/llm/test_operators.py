@@ -174,6 +174,21 @@ def test_op3_query_row_by_row(spark, tmp_path):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in got} == want and len(got) == len(want)
 
 
+def test_op3_runs_no_python_in_tasks(spark, docs, rows, monkeypatch):
+    """Line dedup is DataFrame functions alone, also in rounds of crowded buckets."""
+    ran = []
+    kinds = [type(docs), type(docs.groupBy("doc_id"))]
+    for kind in kinds:
+        for name in ("mapInArrow", "mapInPandas", "applyInArrow", "applyInPandas"):
+            if hasattr(kind, name):
+                monkeypatch.setattr(kind, name, lambda *_a, _n=name, **_k: ran.append(_n) or pytest.fail(f"{_n} runs Python"))
+    monkeypatch.setattr(buckets, "MEMBERS", 4)
+    base = "a line of some twenty words that are all alike but for the number at its very end which is "
+    many = spark.createDataFrame([(100 + i, base + str(i)) for i in range(12)], "doc_id long, text string")
+    kept = line_dedup.remove_lines(docs.select("doc_id", "text").unionByName(many)).collect()
+    assert not ran and len(kept) == len(rows) + 12 and sum(bool(r.text) for r in kept if (r.doc_id or 0) >= 100) == 1
+
+
 def test_op3_lines_with_one_typo(spark):
     """Lines of some 70 characters with one letter changed are similar at 5-character shingles."""
     rng = np.random.default_rng(11)
