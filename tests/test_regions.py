@@ -122,6 +122,17 @@ def test_range_join_prunes_the_scan(spark):
     assert "GreaterThanOrEqual(k," in p.partition("PushedFilters: [")[2].partition("]")[0]
 
 
+@pytest.mark.parametrize("name", ["join_grid_cell", "join_points_polygons"])
+def test_points_of_equal_regions_follow_each_other(spark, name):
+    """Each task gives its points region by region, so that the product of points and queries is written as runs."""
+    rows = registry.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("part"), "qid", "ux", "uy").collect()
+    region = {}
+    for r in catalogue(spark, SF).select("qid", "wkt", "minz", "maxz").collect():
+        region[r.qid] = (r.wkt, r.minz, r.maxz) if name != "join_morton_ranges_far" else r.wkt
+    runs = [(a.part, region[a.qid]) for a, b in zip(rows, [None, *rows]) if b is None or (a.part, region[a.qid]) != (b.part, region[b.qid])]
+    assert rows and len(runs) == len(set(runs))
+
+
 def test_split_is_one_scan(spark):
     p = plan(registry.QUERIES["q_morton_split"](spark, SF))
     assert p.count("FileScan") == 1 and "GreaterThanOrEqual(k," in p.partition("PushedFilters: [")[2].partition("]")[0]
