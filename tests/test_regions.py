@@ -122,7 +122,7 @@ def test_range_join_prunes_the_scan(spark):
     assert "GreaterThanOrEqual(k," in p.partition("PushedFilters: [")[2].partition("]")[0]
 
 
-@pytest.mark.parametrize("name", ["join_grid_cell", "join_points_polygons"])
+@pytest.mark.parametrize("name", ["join_grid_cell", "join_points_polygons", "join_morton_ranges_far"])
 def test_points_of_equal_regions_follow_each_other(spark, name):
     """Each task gives its points region by region, so that the product of points and queries is written as runs."""
     rows = registry.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("part"), "qid", "ux", "uy").collect()
