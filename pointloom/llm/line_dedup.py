@@ -3,7 +3,7 @@
 Lines are compared as sets of character shingles: the 5 characters at every position; a line of fewer is one
 shingle. Shingle hashes fall in 8 bins; the 4 least hashes of a bin, under as many masks, are a band of the line's
 MinHash signature. Lines that share a band (0.985 of the pairs at a similarity of 0.8, 0.9998 at 0.9) are candidates,
-unless under 14 of the 32 values agree. :mod:`.buckets` verifies them by their exact Jaccard similarity, in buckets of
+unless under 14 of the 32 values agree. :mod:`.line_links` verifies them by their exact Jaccard similarity, in buckets of
 any size. Distributed union-find joins linked lines, and the first line of each component stays.
 
 All of it is DataFrame functions. :func:`line_sets` and :func:`line_bands` are numpy forms of the sets and of a signature
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import Native, linked
 from .common import mix, release, stage, table
 from .components import components
+from .line_links import Rule, linked
 
 SHINGLE = 5
 BANDS, ROWS = 8, 4
@@ -127,17 +127,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     return stage(made.select("id", F.array(*[f"key{b}" for b in range(BANDS)]).alias("bands"), F.array(*[F.coalesce(f"values{b}", F.lit(0).cast("long")) for b in range(BANDS)]).alias("values"), "size"), "signatures")
 
 
-def _alike(x: Column, y: Column) -> Column:
+def _agree(x: list[Column], y: list[Column]) -> Column:
     """Whether enough signature values of two rows agree. Bins that are empty on both sides agree."""
-    # short, since the JVM compiles no method of more than 8,000 bytes; values are counted only where bits allow it
-    differ = [F.bit_count(x[band].bitwiseXOR(y[band])) for band in range(BANDS)]
-    equal = lambda d: sum((F.when(d.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in LANES[1:]), F.when(d.bitwiseAND(F.lit(LANES[0])) == 0, 1).otherwise(0))
-    agree = F.aggregate(F.zip_with(x, y, lambda a, b: equal(a.bitwiseXOR(b))), F.lit(0), lambda n, m: n + m)
-    return (sum(differ[1:], differ[0]) <= DIFFER) & (agree >= AGREE)
-
-
-#: How lines are compared in buckets: by DataFrame functions alone.
-NATIVE = Native(shingles, _alike)
+    # columns and plain operators, so that joins compile it; values are counted only where bits allow it
+    differ = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y)]
+    agree = [F.when(a.bitwiseXOR(b).bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for a, b in zip(x, y) for m in LANES]
+    return (sum(differ[1:], differ[0]) <= DIFFER) & (sum(agree[1:], agree[0]) >= AGREE)
 
 
 def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -148,7 +143,7 @@ def removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = distinct_lines(docs)
     signed = signatures(lines)
     texts = lines.select("id", F.col("line").alias("x"))
-    found = components(linked(signed, lambda ids: texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), NATIVE, threshold))
+    found = components(linked(signed, lambda ids: texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), Rule(shingles, _agree, BANDS, threshold)))
     release(signed)
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     # lines that stand once and are like no other are through

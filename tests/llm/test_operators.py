@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pointloom.llm import buckets, components, decontaminate, fm_index, licenses, line_dedup, pieces, quality, registry, simhash, suffix_family, token_counts, tokens, windows
+from pointloom.llm import buckets, components, decontaminate, fm_index, licenses, line_dedup, line_links, pieces, quality, registry, simhash, suffix_family, token_counts, tokens, windows
 
 from .conftest import SF
 
@@ -235,6 +235,29 @@ def test_op3_crowded_families(spark, monkeypatch, n, edits, words, members):
     assert len(want) <= kept <= len(want) + 0.02 * (len(rows) - len(want)) + 1
 
 
+@pytest.mark.parametrize("block,stars", [(line_links.BLOCK, line_links.STARS), (8, 1)])
+def test_op3_near_copies_are_not_paired_off(spark, monkeypatch, block, stars):
+    """Two groups of near copies and variants far from both, in whole buckets or in blocks: the groups of all pairs are found,
+    and the lines compared follow the lines, not the pairs."""
+    monkeypatch.setattr(line_links, "BLOCK", block)
+    monkeypatch.setattr(line_links, "STARS", stars)
+    compared, true = [], line_links.Rule.true
+    monkeypatch.setattr(line_links.Rule, "true", lambda rule, pairs, known: compared.append(pairs.count()) or true(rule, pairs, known))
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(3, 9))) for _ in range(400)]
+    lines = set()
+    for edits, n in ((2, 150), (3, 150), (14, 60)):
+        base = list(rng.choice(names, 40))
+        for _ in range(n):
+            x = list(base)
+            for k in rng.choice(40, rng.integers(1, edits + 1), replace=False):
+                x[k] = rng.choice(names)
+            lines.add(" ".join(x))
+    rows = [(i, x) for i, x in enumerate(sorted(lines))]
+    kept = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text <> ''").count()
+    assert kept == len(line_groups(rows)) and sum(compared) < 12 * len(rows)
+
+
 @pytest.mark.parametrize("members,together", [(buckets.MEMBERS, buckets.TOGETHER), (16, 100)])
 def test_links_of_a_bucket_are_those_of_all_pairs(spark, monkeypatch, members, together):
     """Members of one crowded bucket, so that no link can be missed by the bands: components against all pairs."""
